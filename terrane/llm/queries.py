@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import decontaminate, licenses, mixing, quality, urls
+from terrane.llm import decontaminate, html, licenses, mixing, quality, simhash, toxicity, urls
 from terrane.llm.oracles import ORACLES
 from terrane.llm.text import table
 
@@ -20,12 +20,29 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components of all documents."""
+    got = simhash.link_documents(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op3_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of the quality rules; the host is the document's source."""
     got = quality.host_quality(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; the model is trained on the labelled rows that aren't held out."""
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main texts of all pages."""
+    got = html.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"), out="text")
+    return got.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of the license scan."""
     got = licenses.scan_licenses(table(spark, sf_dir, "documents"))
@@ -47,4 +64,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_host_quality, op7_licenses, op9_url_filter, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_simhash, op3_host_quality, op4_toxicity, op5_html_text, op7_licenses, op9_url_filter, op10_mixing)}
