@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import decontaminate, html, licenses, mixing, quality, simhash, toxicity, urls
+from terrane.llm import decontaminate, html, licenses, lines, mixing, quality, simhash, tokens, toxicity, urls
 from terrane.llm.oracles import ORACLES
 from terrane.llm.text import table
 
@@ -43,6 +43,11 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, counted in flat token files."""
+    return tokens.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of the license scan."""
     got = licenses.scan_licenses(table(spark, sf_dir, "documents"))
@@ -53,6 +58,11 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' texts without their repeated and near-equal lines."""
+    return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), out="d").select("doc_id", "d.*")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts of all pages' urls."""
     got = urls.filter_urls(table(spark, sf_dir, "pages"), urls.rule_table(spark))
@@ -64,4 +74,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_simhash, op3_host_quality, op4_toxicity, op5_html_text, op7_licenses, op9_url_filter, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_simhash, op3_host_quality, op4_toxicity, op5_html_text, op6_token_counts, op7_licenses, op8_line_dedup, op9_url_filter, op10_mixing)}
