@@ -1 +1 @@
-"""Part of terrane; see README.md."""
+"""Registered queries; importing this package's ``catalogue`` loads them all."""
