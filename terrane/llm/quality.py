@@ -40,9 +40,9 @@ def measure(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataF
     gram = ", ".join(f"h[i+{j}]" for j in range(SHINGLE))
     grams = counted.withColumn("g", F.expr(f"if(size(h) >= {SHINGLE}, transform(sequence(0, size(h)-{SHINGLE}), i -> xxhash64({gram})), cast(array() as array<bigint>))")).drop("h")
     # Most texts repeat no window: only the others sort their windows.
-    ordered = grams.withColumn("o", F.expr("if(size(array_distinct(g)) < size(g), array_sort(transform(g, (x, i) -> struct(x as x, i as i))), null)")).drop("g")
+    ordered = grams.withColumn("o", F.expr("if(size(array_distinct(g)) < size(g), sort_array(transform(g, (x, i) -> struct(x as x, i as i))), null)")).drop("g")
     places = ordered.withColumn("q", F.expr(
-        "array_sort(transform(filter(sequence(0, size(o)-1), j -> coalesce(get(o, j-1).x = o[j].x, false) or coalesce(get(o, j+1).x = o[j].x, false)), j -> o[j].i))"
+        "sort_array(transform(filter(sequence(0, size(o)-1), j -> coalesce(get(o, j-1).x = o[j].x, false) or coalesce(get(o, j+1).x = o[j].x, false)), j -> o[j].i))"
     )).drop("o")
     repeat = F.expr(
         f"if(q is null, 0, {SHINGLE} + aggregate(sequence(0, size(q)-2), 0, (a, i) -> a + least({SHINGLE}, q[i+1] - q[i])))"
