@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.llm import boosting
+from terrane.llm.text import small_batches, with_output
 
 TRAIN_PAGES, SEED = 500, 5
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
@@ -375,8 +376,6 @@ def extract_text(pages: DataFrame, html_col: str = "html", out: str = "main_text
     block becomes one blank, and character references are decoded. Repeated rows are kept. An empty
     table gives no rows.
     """
-    from terrane.llm.text import with_output
-
     forest = trained()
 
     @F.pandas_udf("string")
@@ -384,4 +383,4 @@ def extract_text(pages: DataFrame, html_col: str = "html", out: str = "main_text
         for batch in batches:
             yield pd.Series(main_texts([x if isinstance(x, str) else None for x in batch], forest), dtype=object)
 
-    return with_output(pages, out, texts(pages[html_col]))
+    return with_output(small_batches(pages), out, texts(pages[html_col]))

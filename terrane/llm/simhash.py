@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.llm import vptree
-from terrane.llm.text import with_output
+from terrane.llm.text import small_batches, with_output
 from terrane.operators.components import connected_components
 from terrane.operators.lineage import cut
 
@@ -54,7 +54,7 @@ def add_fingerprints(docs: DataFrame, text_col: str = "text", out: str = "finger
         for batch in batches:
             yield pd.Series(np.array([fingerprint(x) for x in batch], np.uint64).view(np.int64))
 
-    return with_output(docs, out, prints(docs[text_col]))
+    return with_output(small_batches(docs), out, prints(docs[text_col]))
 
 
 def _links(prints: DataFrame) -> DataFrame:

@@ -27,6 +27,18 @@ def with_output(frame: DataFrame, name: str, value: Column) -> DataFrame:
     return frame.select(*[frame[f"`{c}`"] for c in frame.columns if c.lower() != name.lower()], value.alias(name))
 
 
+#: Texts that go to a Python worker at once: whole texts may be long, so fewer than Spark's default.
+TEXTS_AT_ONCE = 1000
+
+
+def small_batches(frame: DataFrame) -> DataFrame:
+    """``frame``; its session from now on sends at most TEXTS_AT_ONCE rows to Python at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(frame.sparkSession.conf.get(key)) <= TEXTS_AT_ONCE:
+        frame.sparkSession.conf.set(key, str(TEXTS_AT_ONCE))
+    return frame
+
+
 def table(spark, folder: str, name: str) -> DataFrame:
     """One of the given Parquet tables."""
     return spark.read.parquet(f"{folder}/{name}.parquet")

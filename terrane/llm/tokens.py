@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from terrane.llm.text import small_batches
 from terrane.operators.lineage import cut
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -75,7 +76,7 @@ def pack(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", text_c
         if size:
             yield row(block, np.concatenate(held).tobytes(), None)
 
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    slim = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return slim.mapInArrow(packed, "file int, block long, data binary, ids array<string>")
 
 

@@ -21,8 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrane.llm.text import small_batches
+
 #: Labelled rows that the model is fitted to, at most: those of the least id hashes.
-MAX_LABELLED = 12_000
+MAX_LABELLED = 8_000
 BUCKETS, FEATURES, FACTORS = 1 << 20, 768, 4
 MIN_ROWS, MIN_Z = 5, 4.0
 EPOCHS, BATCH, RATE, DECAY, SEED = 40, 512, 0.05, 1e-4, 11
@@ -165,6 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Rows without an id or a label don't count; an id with several labels has the largest of them.
     """
+    docs = small_batches(docs)
     usable = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y")).where("_id is not null and y is not null")
     chosen = usable.where(~held_out(F.col("_id"))).groupBy("_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("_id", F.lit(SEED)), "_id").limit(max_labelled)
 
