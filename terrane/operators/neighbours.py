@@ -36,41 +36,43 @@ def _d2(a: str, b: str, axes: list[str]) -> Column:
     return sum(((F.col(f"{a}.{c}") - F.col(f"{b}.{c}")) ** 2 for c in axes), F.lit(0.0))
 
 
-def nearest(points: DataFrame, k: int, axes: list[str], by: list[str] | None = None, node: str = "obs_id") -> DataFrame:
+def nearest(points: DataFrame, k: int, axes: list[str], by: list[str] | None = None, node: str = "obs_id", answers: str = "true") -> DataFrame:
     """by, src, dst, rank: the k nearest other points of each point of its group; ties by id. Distances are rounded to 9 digits.
 
     Cells have about PER_CELL points. A round looks at the cells within a ring; points whose k-th
     neighbour isn't surely within the ring go on to a ring of twice the width. A group's last round looks
-    at all its cells, so the result is exact. Points without coordinates are left out.
+    at all its cells, so the result is exact. Points without coordinates are left out. Only points for
+    which ``answers`` (SQL over id) holds are neighbours of others.
     """
     by = by or []
     base = points.select(*by, F.col(node).alias("id"), *[F.col(c).cast("double").alias(c) for c in axes])
     base = cut(base.where(" and ".join(f"{c} is not null and not isnan({c})" for c in axes)))
-    size = base.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(f"lo_{c}") for c in axes], *[F.max(c).alias(f"hi_{c}") for c in axes])
+    size = base.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *[F.min(c).alias(f"lo_{c}") for c in axes], *[F.max(c).alias(f"hi_{c}") for c in axes])
     span = F.greatest(*[F.col(f"hi_{c}") - F.col(f"lo_{c}") for c in axes], F.lit(1e-12)) if len(axes) > 1 else F.greatest(F.col(f"hi_{axes[0]}") - F.col(f"lo_{axes[0]}"), F.lit(1e-12))
-    per_axis = F.greatest(F.lit(1), F.floor(F.pow(F.col("n") / PER_CELL, F.lit(1.0 / len(axes)))))
-    size = size.withColumn("w", span / per_axis).withColumn("m", per_axis)
+    per_axis = F.greatest(F.lit(1), F.floor(F.pow(F.col("_n") / PER_CELL, F.lit(1.0 / len(axes)))))
+    size = size.withColumn("_w", span / per_axis).withColumn("_m", per_axis)
     joined = base.join(F.broadcast(size), by) if by else base.crossJoin(F.broadcast(size))
-    celled = cut(joined.select(*by, "id", *axes, "w", "m", "n", *[F.floor((F.col(c) - F.col(f"lo_{c}")) / F.col("w")).alias(f"c_{c}") for c in axes]))
+    celled = cut(joined.select(*by, "id", *axes, "_w", "_m", "_n", *[F.floor((F.col(c) - F.col(f"lo_{c}")) / F.col("_w")).alias(f"c_{c}") for c in axes]))
+    known = cut(celled.where(F.expr(answers)))
     todo, ring, out = celled, 1, None
     while True:
-        ring_of = F.least(F.lit(ring), F.col("m"))
-        asked = todo.alias("a").select("*", ring_of.alias("ring"))
+        ring_of = F.least(F.lit(ring), F.col("_m"))
+        asked = todo.alias("a").select("*", ring_of.alias("_ring"))
         for c in axes:
-            asked = asked.withColumn(f"t_{c}", F.explode(F.sequence(F.col(f"c_{c}") - F.col("ring"), F.col(f"c_{c}") + F.col("ring"))))
+            asked = asked.withColumn(f"t_{c}", F.explode(F.sequence(F.col(f"c_{c}") - F.col("_ring"), F.col(f"c_{c}") + F.col("_ring"))))
         asked = asked.alias("a")
         same = reduce(lambda a, b: a & b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in by] + [F.col(f"a.t_{c}") == F.col(f"b.c_{c}") for c in axes])
-        pairs = asked.join(celled.alias("b"), same).where("a.id <> b.id").select(
-            *[F.col(f"a.{c}").alias(c) for c in by], F.col("a.id").alias("src"), F.col("b.id").alias("dst"), F.round(_d2("a", "b", axes), 9).alias("d2"), "a.ring", "a.w", "a.m", "a.n"
+        pairs = asked.join(known.alias("b"), same).where("a.id <> b.id").select(
+            *[F.col(f"a.{c}").alias(c) for c in by], F.col("a.id").alias("src"), F.col("b.id").alias("dst"), F.round(_d2("a", "b", axes), 9).alias("d2"), "a._ring", "a._w", "a._m", "a._n"
         )
         found = cut(pairs.withColumn("rank", pick([F.col("d2"), F.col("dst")], [*by, "src"])).where(F.col("rank") <= k))
         # Everything within ring cells' width has been seen; a full ring has seen the group.
-        sure = found.groupBy(*by, "src").agg(F.count(F.lit(1)).alias("got"), F.max("d2").alias("far"), F.first("ring").alias("ring"), F.first("w").alias("w"), F.first("m").alias("m"), F.first("n").alias("n"))
-        done = cut(sure.where("(got = least(%d, n - 1) and sqrt(far) + 1e-6 < ring * w) or ring >= m" % k).select(*by, "src"))
+        sure = found.groupBy(*by, "src").agg(F.count(F.lit(1)).alias("got"), F.max("d2").alias("far"), F.first("_ring").alias("_ring"), F.first("_w").alias("_w"), F.first("_m").alias("_m"), F.first("_n").alias("_n"))
+        done = cut(sure.where("(got = least(%d, _n - 1) and sqrt(far) + 1e-6 < _ring * _w) or _ring >= _m" % k).select(*by, "src"))
         part = found.join(done, [*by, "src"], "left_semi").select(*by, "src", "dst", "rank", "d2")
         out = part if out is None else out.unionByName(part)
         key = reduce(lambda a, b: a & b, [todo[c] == done[c] for c in by] + [todo["id"] == done["src"]])
-        todo = cut(todo.join(done, key, "left_anti").where((F.col("m") > ring) & (F.col("n") > 1)))
+        todo = cut(todo.join(done, key, "left_anti").where((F.col("_m") > ring) & (F.col("_n") > 1)))
         if todo.limit(1).count() == 0:
             return out
         ring *= 2
