@@ -364,15 +364,15 @@ def describe(s, d):
 
 
 _GD = {
-    "sc": "select target gene, round(abs(rho), 6) score from links where rho is not null",
-    "th": "select round(quantile_cont(score, .9), 6) t from sc",
+    "sc": "select target gene, round(abs(rho) * 0.7310585::double, 9) score from links where rho is not null",
+    "th": "select round(quantile_cont(score, .9), 9) t from sc",
     "top": "select gene, avg(score) top3 from (select *, row_number() over (partition by gene order by score desc) k from sc) where k <= 3 group by gene",
     "g": "select gene, count(*) n, quantile_cont(score, .5) med, avg(score) mean, max(score) mx, stddev_pop(score) sd, avg((score >= (select t from th))::int) frac from sc group by gene",
 }
 
 
 def gene_scores(s, d):
-    return A.links(s, d).where("rho is not null").select(F.col("target").alias("gene"), F.round(F.abs("rho"), 6).alias("score"))
+    return A.links(s, d).where("rho is not null").select(F.col("target").alias("gene"), F.round(F.abs("rho") * 0.7310585, 9).alias("score"))
 
 
 def summarise_genes(scores):
@@ -386,7 +386,7 @@ def summarise_genes(scores):
 @query("AGG-10 AGG-12 WIN-08", "links", "select gene, n, round(med, 7) + 0.0 med, round(mean, 6) + 0.0 mean, round(mx, 6) + 0.0 mx, round(sd, 6) + 0.0 sd, round(top3, 6) + 0.0 top3, round(frac, 6) + 0.0 frac, round(.4 * med + .35 * frac + .25 * top3, 6) + 0.0 divergence from g join top using (gene)", _GD)
 def gene_divergence_relative(s, d):
     sc = gene_scores(s, d)
-    limit = sc.agg(F.round(F.percentile("score", F.lit(0.9)), 6).alias("t"))
+    limit = sc.agg(F.round(F.percentile("score", F.lit(0.9)), 9).alias("t"))
     frac = sc.crossJoin(F.broadcast(limit)).groupBy("gene").agg(F.avg((F.col("score") >= F.col("t")).cast("int")).alias("frac"))
     full = summarise_genes(sc).join(frac, "gene")
     return full.select("gene", "n", r("med", 7).alias("med"), *[r(c).alias(c) for c in ("mean", "mx", "sd", "top3", "frac")], r(0.4 * F.col("med") + 0.35 * F.col("frac") + 0.25 * F.col("top3")).alias("divergence"))

@@ -53,9 +53,9 @@ _TAPS = {
 }
 
 
-@query("SPA-05", "pixel", 'select r2::int "row", c2::int col, round(sum(v * ry.w * cx.w), 5) + 0.0 v from g join ry on ry.src = g."row" join cx on cx.src = g.col group by all', LAT | _TAPS)
+@query("SPA-05", "pixel", 'select r2::int "row", c2::int col, round(sum(v * ry.w * cx.w), 8) + 0.0 v from g join ry on ry.src = g."row" join cx on cx.src = g.col group by all', LAT | _TAPS)
 def zoomed(s, d):
-    return S.zoom(_wave(s, d), (ROWS, COLS), (19, 25)).select("row", "col", r("v", 5).alias("v"))
+    return S.zoom(_wave(s, d), (ROWS, COLS), (19, 25)).select("row", "col", r("v", 8).alias("v"))
 
 
 @query("SPA-06", "pixel", 'select ("row" * 19 // 76)::int "row", (col * 25 // 101)::int col, round(avg(v), 5) + 0.0 v from g group by all', LAT)
