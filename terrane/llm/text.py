@@ -27,6 +27,14 @@ def with_output(frame: DataFrame, name: str, value: Column) -> DataFrame:
     return frame.select(*[frame[f"`{c}`"] for c in frame.columns if c.lower() != name.lower()], value.alias(name))
 
 
+def computed_once(value: Column) -> Column:
+    """``value``, to be selected by itself: filters and projections above can't pull copies of it down.
+
+    It is a generator of one row, which the optimizer neither merges nor sees through.
+    """
+    return F.explode(F.array(value))
+
+
 #: Texts that go to a Python worker at once: whole texts may be long, so fewer than Spark's default.
 TEXTS_AT_ONCE = 1000
 
