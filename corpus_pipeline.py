@@ -12,10 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.llm import decontaminate, lines, mixing, simhash, toxicity
-from terrane.llm.text import table
+from terrane.llm.text import computed_once, table
 from terrane.operators.lineage import checkpoint_folder
 
 
+def _once(found: DataFrame, out: str) -> DataFrame:
+    """``found`` with its column ``out`` computed once, though filters and columns above use parts of it."""
+    return found.select(*[F.col(f"`{c}`") for c in found.columns if c != out], computed_once(F.col(out)).alias(out))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model predicts as toxic go; it is trained on ``labels``."""
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
@@ -23,7 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One line of each component of near-equal lines stays; documents that lose all their lines go."""
-    found = lines.dedup_lines(docs, out="_dedup")
+    found = _once(lines.dedup_lines(docs, out="_dedup"), "_dedup")
     kept = found.where("_dedup.n_removed = 0 or _dedup.n_removed < _dedup.n_lines")
     changed = F.col("_dedup.n_removed") > 0
     values = {"text": F.col("_dedup.text"), "n_chars": F.when(changed, F.char_length("_dedup.text").cast("long")).otherwise(F.col("n_chars"))}
@@ -37,7 +42,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with benchmark windows over at least a twentieth of their words go."""
-    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), out="_found")
+    found = _once(decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), out="_found"), "_found")
     return found.where(~decontaminate.contaminated(F.col("_found.n_hit"), F.col("_found.n_words"))).drop("_found")
 
 
