@@ -381,3 +381,32 @@ def kmeans_domains(s, d):
     rows = VectorAssembler(inputCols=["x", "y", "z"], outputCol="raw").transform(o)
     scaled = StandardScaler(withMean=True, withStd=True, inputCol="raw", outputCol="features").fit(rows).transform(rows)
     return KMeans(k=6, seed=7, initSteps=5, maxIter=40).fit(scaled).transform(scaled).select("obs_id", F.col("prediction").alias("domain"))
+
+
+_PAIRED = LAT | {
+    "mm": 'select "row", col, v a, round(cos("row" / 8.0::double) * sin(col / 12.0::double) * 8 + v / 2, 6) b from g',
+    "qq": "select round(quantile_cont(a, .8), 6) ta, round(quantile_cont(b, .8), 6) tb, greatest(max(a), max(b)) - least(min(a), min(b)) span from mm",
+    "gd": 'select (lead(a) over r - lag(a) over r) / 2 ax, (lead(b) over r - lag(b) over r) / 2 bx, (lead(a) over c - lag(a) over c) / 2 ay, (lead(b) over c - lag(b) over c) / 2 by_ from mm window r as (partition by "row" order by col), c as (partition by col order by "row")',
+    "ss": "select round(covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)), 6) + 0.0 pearson, round((2 * avg(a) * avg(b) + pow(.01 * any_value(span), 2)) * (2 * covar_pop(a, b) + pow(.03 * any_value(span), 2)) / ((avg(a) * avg(a) + avg(b) * avg(b) + pow(.01 * any_value(span), 2)) * (var_pop(a) + var_pop(b) + pow(.03 * any_value(span), 2))), 6) + 0.0 ssim, round(2.0::double * count_if(a >= ta and b >= tb) / (count_if(a >= ta) + count_if(b >= tb)), 6) hotspot_dice from mm, qq",
+}
+
+
+@query("SPA-29 SPA-25", "pixel", "select ss.*, (select round(avg((ax * bx + ay * by_) / (sqrt(ax * ax + ay * ay) * sqrt(bx * bx + by_ * by_))), 6) + 0.0 from gd where ax is not null and ay is not null and ax * ax + ay * ay > 0 and bx * bx + by_ * by_ > 0) gradient_similarity from ss", _PAIRED)
+def map_similarity(s, d):
+    """Correlation, one-window SSIM, Dice of hot sets and mean cosine of gradients of two maps."""
+    m = _wave(s, d).withColumnRenamed("v", "a").withColumn("b", r(F.cos(F.col("row") / 8.0) * F.sin(F.col("col") / 12.0) * 8 + F.col("a") / 2))
+    q = m.agg(F.round(F.percentile("a", F.lit(0.8)), 6).alias("ta"), F.round(F.percentile("b", F.lit(0.8)), 6).alias("tb"), (F.greatest(F.max("a"), F.max("b")) - F.least(F.min("a"), F.min("b"))).alias("span"))
+    c1, c2 = F.pow(0.01 * F.first("span"), F.lit(2.0)), F.pow(0.03 * F.first("span"), F.lit(2.0))
+    ma, mb, cov = F.avg("a"), F.avg("b"), F.covar_pop("a", "b")
+    ssim = (2 * ma * mb + c1) * (2 * cov + c2) / ((ma * ma + mb * mb + c1) * (F.var_pop("a") + F.var_pop("b") + c2))
+    hot_a, hot_b = F.col("a") >= F.col("ta"), F.col("b") >= F.col("tb")
+    whole = m.crossJoin(F.broadcast(q)).agg(
+        r(cov / (F.stddev_pop("a") * F.stddev_pop("b"))).alias("pearson"), r(ssim).alias("ssim"), F.round(2.0 * F.count_if(hot_a & hot_b) / (F.count_if(hot_a) + F.count_if(hot_b)), 6).alias("hotspot_dice")
+    )
+    step = lambda c, w: (F.lead(c).over(w) - F.lag(c).over(w)) / 2
+    across, down = Window.partitionBy("row").orderBy("col"), Window.partitionBy("col").orderBy("row")
+    slopes = m.select(step("a", across).alias("ax"), step("b", across).alias("bx"), step("a", down).alias("ay"), step("b", down).alias("by_"))
+    size = lambda x, y: F.sqrt(F.col(x) * F.col(x) + F.col(y) * F.col(y))
+    live = slopes.where("ax is not null and ay is not null and ax * ax + ay * ay > 0 and bx * bx + by_ * by_ > 0")
+    cosine = live.agg(r(F.avg((F.col("ax") * F.col("bx") + F.col("ay") * F.col("by_")) / (size("ax", "ay") * size("bx", "by_")))).alias("gradient_similarity"))
+    return whole.crossJoin(F.broadcast(cosine))

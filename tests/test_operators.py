@@ -246,3 +246,21 @@ def test_chunks_resume(spark, tmp_path):
 def test_audit_columns(spark):
     f = spark.createDataFrame([(1, None), (2, "x")], "a int, `b.c` string")
     assert [tuple(r) for r in T.audit_columns(f).collect()] == [("a", "int", 0), ("b.c", "string", 1)]
+
+
+def test_table_functions(spark):
+    from terrane.functions.table_functions import register
+
+    register(spark)
+    assert [tuple(x) for x in spark.sql("select * from parse_intervals('chr1:5-9, 2-10-20,oops')").collect()] == [("chr1", 5, 9, 7), ("2", 10, 20, 15)]
+    assert spark.sql("select * from blob(3, 4, 0.0, 0.0, 0.5) where row = 0 and col = 0").first().value == 1.0
+
+
+def test_command_line(spark, capsys):
+    from terrane.__main__ import COMMANDS, main
+    from terrane.plans import catalogue
+
+    assert main(["list"]) == 0 and "evidence_screen COR-06" in capsys.readouterr().out
+    assert set(COMMANDS.values()) <= set(catalogue.QUERIES)
+    with pytest.raises(SystemExit):
+        main(["run", "no_such_query", "x"])
