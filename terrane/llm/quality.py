@@ -70,22 +70,20 @@ def host_verdicts(measured: DataFrame) -> DataFrame:
     The prior has the pooled rate as its mean; its strength follows from the spread of host rates
     beyond what chance gives. With one host, or no spread, the strength is at its maximum.
     """
-    hosts = measured.groupBy("host").agg(
+    hosts = cut(measured.groupBy("host").agg(
         F.count(F.lit(1)).alias("n"), F.sum((base_failed() | soft_failed()).cast("long")).alias("f")
-    )
-    total = hosts.agg(F.sum("n").alias("n_all"), F.sum("f").alias("f_all"), F.count(F.lit(1)).alias("k"))
-    rated = hosts.crossJoin(F.broadcast(total)).withColumn("m", F.expr("cast(f_all as double) / n_all"))
-    spread = rated.agg(F.sum(F.expr("n * pow(cast(f as double) / n - m, 2)")).alias("ss"))
-    prior = (
-        total.crossJoin(F.broadcast(spread))
-        .select(F.expr("cast(f_all as double) / n_all").alias("mean"), F.expr("ss / n_all").alias("v"), "n_all", "k")
-        .withColumn("extra", F.expr(f"greatest(v - mean * (1 - mean) * k / n_all, {MIN_VARIANCE})"))
-        .select("mean", F.expr(f"least({MAX_STRENGTH}, greatest(1D, mean * (1 - mean) / extra - 1))").alias("strength"))
-    )
+    ))
+    # The prior is two sums over the hosts: two rows that reach the driver, and go back as constants.
+    n_all, f_all, k = hosts.agg(F.sum("n"), F.sum("f"), F.count(F.lit(1))).first()
+    if not k:
+        return hosts.select("host", "n", "f", F.lit(0.0).alias("rate"), F.lit(False).alias("strict"))
+    mean = f_all / n_all
+    spread = hosts.agg(F.sum(F.col("n") * F.pow(F.col("f") / F.col("n") - F.lit(mean), F.lit(2.0)))).first()[0] / n_all
+    extra = max(spread - mean * (1 - mean) * k / n_all, MIN_VARIANCE)
+    strength = min(MAX_STRENGTH, max(1.0, mean * (1 - mean) / extra - 1))
     return (
-        hosts.crossJoin(F.broadcast(prior))
-        .withColumn("rate", F.expr("(mean * strength + f) / (strength + n)"))
-        .withColumn("strict", F.expr(f"rate - {Z} * sqrt(rate * (1 - rate) / (strength + n + 1)) > {STRICT_RATE}"))
+        hosts.withColumn("rate", (F.lit(mean * strength) + F.col("f")) / (F.lit(strength) + F.col("n")))
+        .withColumn("strict", F.col("rate") - Z * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.lit(strength) + F.col("n") + 1)) > STRICT_RATE)
         .select("host", "n", "f", "rate", "strict")
     )
 

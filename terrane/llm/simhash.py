@@ -25,6 +25,8 @@ from terrane.operators.lineage import cut
 SHINGLE, SEED = 4, 42
 #: Home fingerprints of a shard, on average; shards of a block are at most MAX_SHARDS.
 SHARD_ROWS, MIN_SHARDS, MAX_SHARDS = 12_000, 8, 4096
+#: A shard of more rows is searched in parts: each takes some home points, and meets all later ones.
+SPLIT_ROWS = 8 * SHARD_ROWS
 #: Fingerprints that the sharding trees are fitted to, for each shard.
 SAMPLE_PER_SHARD = 16
 
@@ -68,13 +70,22 @@ def _links(prints: DataFrame) -> DataFrame:
         tree, first = vptree.build(points, block, shards, np.random.default_rng(SEED + block), first)
         trees.append((block, tree, first))
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = batch.column(0).to_numpy(zero_copy_only=False)
-            for block, tree, _ in trees:
-                for shard, home, at in vptree.route(tree, block, values.view(np.uint64)):
-                    if len(at):
-                        yield pa.record_batch([pa.array(np.full(len(at), shard, np.int32)), pa.array(np.full(len(at), home)), pa.array(values[at])], names=["shard", "home", "fp"])
+    def dealer(parts: dict[int, int]):
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                values = batch.column(0).to_numpy(zero_copy_only=False)
+                for block, tree, _ in trees:
+                    for shard, home, at in vptree.route(tree, block, values.view(np.uint64)):
+                        if len(at):
+                            yield from rows_of(shard, home, values[at], parts.get(shard, 1))
+
+        return prints.select("fp").mapInArrow(deal, "shard int, part int, home boolean, fp long")
+
+    def rows_of(shard: int, home: bool, values: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+        own = (values.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(parts) if home else np.full(len(values), parts, np.uint64)
+        for part in range(parts):
+            here = own >= part
+            yield pa.record_batch([pa.array(np.full(here.sum(), shard, np.int32)), pa.array(np.full(here.sum(), part, np.int32)), pa.array(own[here] == part), pa.array(values[here])], names=["shard", "part", "home", "fp"])
 
     def search(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         block = next(b for b, _, end in trees if key[0] < end)
@@ -83,8 +94,9 @@ def _links(prints: DataFrame) -> DataFrame:
         member, root = vptree.join_shard(values.view(np.uint64), int(rows["home"].sum()), block, int(key[0]))
         return pd.DataFrame({"u": values[member], "v": values[root]})
 
-    dealt = prints.select("fp").mapInArrow(deal, "shard int, home boolean, fp long")
-    return dealt.groupBy("shard").applyInPandas(search, "u long, v long")
+    sizes = dealer({}).groupBy("shard").count().where(F.col("count") > SPLIT_ROWS).collect()  # at most one row a shard
+    dealt = dealer({r["shard"]: -(-r["count"] // SPLIT_ROWS) for r in sizes})
+    return dealt.groupBy("shard", "part").applyInPandas(search, "u long, v long")
 
 
 def near_duplicates(fingerprinted: DataFrame) -> DataFrame:

@@ -56,8 +56,9 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     named = outcomes.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1))
     domains = named.groupBy("domain", "suffix").agg(F.sum("bad").alias("domain_bad"), F.sum("n").alias("domain_n"))
     tops = domains.groupBy("suffix").agg(F.sum("domain_bad").alias("suffix_bad"), F.sum("domain_n").alias("suffix_n"))
-    pooled = tops.agg(F.expr("coalesce(sum(suffix_bad) / nullif(sum(suffix_n), 0), 0D)").alias("pooled"))
-    tops = tops.crossJoin(F.broadcast(pooled)).select("suffix", F.expr(_shrunk("suffix", "pooled")).alias("suffix_rate"))
+    tops = cut(tops)
+    bad, n = tops.agg(F.sum("suffix_bad"), F.sum("suffix_n")).first()
+    tops = tops.select("suffix", F.expr(_shrunk("suffix", f"{bad / n if n else 0.0!r}D")).alias("suffix_rate"))
     domains = domains.join(tops, "suffix").select("domain", F.expr(_shrunk("domain", "suffix_rate")).alias("domain_rate"))
     rated = named.join(domains, "domain").withColumn("rate", F.expr(f"(bad + {STRENGTH} * domain_rate) / (n + {STRENGTH})"))
     return rated.select("host", "rate", F.expr(f"rate - {Z} * sqrt(rate * (1 - rate) / (n + {STRENGTH} + 1))").alias("lower"))

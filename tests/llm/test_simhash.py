@@ -92,6 +92,23 @@ def test_components_match_brute_force(spark):
     assert got == want
 
 
+def test_hot_shards_in_parts_give_the_same(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    points = np.full(3000, r.integers(0, 2**62), dtype=np.uint64)
+    for _ in range(5):
+        points ^= np.uint64(1) << r.integers(0, 64, len(points), dtype=np.uint64)
+    points = np.unique(np.concatenate([points, r.integers(0, 2**62, 500, dtype=np.uint64)])).view(np.int64)
+    rows = spark.createDataFrame([(i, int(p)) for i, p in enumerate(points)], "doc_id long, fp long")
+    whole = sorted(map(tuple, S.near_duplicates(rows).collect()))
+    monkeypatch.setattr(S, "SPLIT_ROWS", 300)
+    assert sorted(map(tuple, S.near_duplicates(rows).collect())) == whole
+    want = np.arange(len(points))
+    for at in range(0, len(points), 512):
+        i, j = np.nonzero(np.bitwise_count(points[at : at + 512, None].view(np.uint64) ^ points.view(np.uint64)[None, :]) <= 4)
+        vptree._merge(want, i + at, j)
+    assert len({c for _, c, _ in whole}) == len(set(want.tolist()))
+
+
 def test_one_row_of_each_group_stays(spark, nasty):
     kept = S.keep_one(nasty)
     assert kept.columns == nasty.columns
