@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from terrane.llm import boosting
 from terrane.llm.text import small_batches, with_output
 
-TRAIN_PAGES, SEED = 500, 5
+TRAIN_PAGES, SEED = 1600, 5
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?:class|id|role|itemprop|aria-label|data-[\w-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _PART = re.compile(r"[a-z]+")
@@ -43,8 +43,8 @@ _KIND = {
 }
 #: Attribute tokens by meaning; a token counts by its beginning.
 MEANINGS = {
-    "good": "article content post entry main story text body prose paragraph chapter lede lead headline", "menu": "nav menu breadcrumb crumb toc tab pager pagination skip toolbar topbar navbar links",
-    "head": "header masthead brand logo banner hero top site", "foot": "footer foot copyright legal colophon bottom imprint", "side": "sidebar side aside widget related recommend popular trending rail more",
+    "good": "article content post entry main story text body prose paragraph chapter lede lead headline", "menu": "nav navigation menu breadcrumb crumb toc tab pager pagination skip toolbar topbar navbar links",
+    "head": "header masthead brand logo banner hero top site", "foot": "footer foot contentinfo copyright legal colophon bottom imprint", "side": "sidebar side aside complementary widget related recommend popular trending rail more",
     "ad": "ad ads advert advertisement adsense sponsor sponsored promo promoted promotion banner dfp outbrain taboola commercial", "notice": "cookie consent notice gdpr alert popup modal overlay paywall newsletter subscribe signup toast message privacy",
     "talk": "comment comments reply replies discussion disqus respond reader feedback thread", "form": "form search login register input contact poll survey", "share": "share social follow tweet facebook like tags byline author meta",
 }
@@ -263,12 +263,16 @@ def _attribute(r: random.Random, *meaning: str) -> str:
 
 
 def _links(r: random.Random, n: int) -> str:
-    items = [f'<a href="/{i}">{_sentence(r, 1, 3)}</a>' for i in range(n)]
+    bare = r.random() < 0.05
+    items = [_sentence(r, 1, 3) if bare else f'<a href="/{i}">{_sentence(r, 1, 3)}</a>' for i in range(n)]
     how = r.random()
     return "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>" if how < 0.6 else r.choice((" ", " | ", "")).join(items)
 
 
 def _boilerplate(r: random.Random) -> str:
+    if r.random() < 0.1:
+        tag = r.choice(("header", "footer", "aside", "nav"))
+        return f"<{tag}>{_sentence(r, 1, 8)}</{tag}>"
     kind = r.choice(("nav", "header", "footer", "aside", "ad", "notice", "talk", "form", "share", "links"))
     if kind == "nav":  # named by tag or class
         tag = r.choice(("nav", "div", "ul"))

@@ -13,6 +13,26 @@ PAGE = """<html><body><header class="site-header"><a href="/">My Site</a><p>The
 <section id="comments"><h2>Comments</h2><div class="comment"><b>Joe</b><p>I really liked this article, it was very informative and well written.</p></div></section>
 <footer><p>Copyright 2024 My Site. All rights reserved.</p></footer></body></html>"""
 
+# ruff: noqa: E501
+TEXT = "This is a sentence of the main article text which goes on for a while. "
+NOISE = "Boilerplate words here for nothing. "
+TEMPLATES = {
+"wp":f"""<body class="home"><div id="page"><header id="masthead"><div class="site-branding"><h1 class="site-title">Blog</h1><p class="site-description">{NOISE}</p></div><nav id="site-navigation"><ul><li><a href=a>Home</a></li><li><a href=b>About</a></li></ul></nav></header><div id="content"><main id="main"><article id="post-1" class="post hentry"><header class="entry-header"><h1 class="entry-title">MAIN title</h1><div class="entry-meta">Posted on <a href=x>May 5</a> by <a href=y>Joe</a></div></header><div class="entry-content"><p>MAIN {TEXT}</p><p>MAIN {TEXT*3}</p><blockquote><p>MAIN quoted text</p></blockquote><div class="sharedaddy share"><a href=z>Tweet</a></div></div><footer class="entry-footer">Posted in <a href=q>News</a></footer></article><div id="comments" class="comments-area"><h2>2 thoughts</h2><ol class="comment-list"><li class="comment"><article class="comment-body"><p>{TEXT}</p></article></li><li class="comment"><article class="comment-body"><p>{TEXT*2}</p></article></li></ol><div id="respond"><form><textarea></textarea><p>{NOISE}</p></form></div></div></main></div><aside id="secondary" class="widget-area"><section class="widget"><h2>Recent Posts</h2><ul><li><a href=1>One</a></li></ul></section><section class="widget"><p>{NOISE*3}</p></section></aside><footer id="colophon"><p>{NOISE}</p></footer></div></body>""",
+"plain div":f"""<html><body><div class="top-bar">{NOISE}</div><div class="wrapper"><div class="col"><h2>MAIN head</h2><p>MAIN {TEXT}</p><p>MAIN {TEXT}</p><table><tr><td>MAIN a</td><td>MAIN b</td></tr></table><p>MAIN {TEXT*2}</p></div><div class="sidebar"><p>{NOISE*2}</p></div></div><div class="footer">{NOISE}</div></body></html>""",
+"notice in article":f"""<body><nav><a href=1>x</a> <a href=2>y</a></nav><main><div class="alert notice">{NOISE*2}</div><article><h1>MAIN t</h1><p>MAIN short.</p><aside class="ad">{NOISE}</aside><p>MAIN {TEXT}</p><form><p>{NOISE}</p></form><ul><li>MAIN one</li><li>MAIN two</li></ul></article></main><section class="comments"><p>{TEXT*2}</p><p>{TEXT}</p></section><footer>x</footer></body>""",
+"tiny":"<body><header>Site header words</header><article><p>MAIN one.</p></article><aside>side words here</aside><footer>foot words here</footer></body>",
+"long comments":f"""<body><header><h1>Site</h1></header><article><h1>MAIN T</h1><p>MAIN {TEXT}</p></article><div class="comments">{''.join(f'<div class="comment"><p>{TEXT*4}</p></div>' for _ in range(12))}</div><footer>f</footer></body>""",
+"no semantic":f"""<body><table><tr><td><a href=1>Home</a><br><a href=2>News</a></td><td><h1>MAIN T</h1><p>MAIN {TEXT*3}</p><p>MAIN {TEXT*2}</p></td></tr></table><p>Copyright 2020 all rights.</p></body>""",
+"section":f"""<body><div role="banner"><p>{NOISE}</p></div><div role="navigation"><ul><li><a href=1>q</a></li></ul></div><section class="story"><h1>MAIN T</h1><div>MAIN {TEXT}</div><div>MAIN {TEXT}</div><div class="promo">{NOISE}</div><div>MAIN {TEXT}<br>MAIN {TEXT}</div></section><div role="complementary">{NOISE*2}</div><div role="contentinfo">{NOISE}</div></body>""",
+"cookie":f"""<body><div id="cookie-consent"><p>{NOISE*3}</p><button>Accept</button></div><header class="hdr"><div class="logo">Logo</div></header><div id="main-content"><h1>MAIN T</h1>{''.join(f'<p>MAIN {TEXT}</p>' for _ in range(8))}<div class="newsletter-signup"><p>{NOISE}</p></div><div class="related-posts"><h3>Related</h3><ul><li><a href=1>Other thing to read today</a></li></ul></div></div></body>""",
+}
+
+
+def test_templates():
+    for name, got in zip(TEMPLATES, H.main_texts(list(TEMPLATES.values()), H.trained()), strict=True):
+        assert all("MAIN" in x for x in got.split("\n")), name
+        assert got.count("MAIN") == TEMPLATES[name].count("MAIN"), name
+
 
 def test_hand_made_page():
     got = H.main_texts([PAGE], H.trained())[0]
