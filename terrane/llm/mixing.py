@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terrane.llm.text import SPACE, split_words
+from terrane.llm.text import SPACE, bounded, split_words
 from terrane.operators.lineage import cut
 
 WEIGHTS, MAX_PASSES, SEED = (1, 2, 3), 3, 17
@@ -120,7 +120,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     lengths = counts.join(t, counts["source"].eqNullSafe(t["_s"])).drop("_s")
     schema = "source string, size long, docs long, source_size long, target double, passes int, extra long"
     plan = cut(lengths.select(F.col("source").cast("string"), "size", "docs", "source_size", "target").groupBy("source").applyInPandas(_plan, schema))
-    p = plan.select(F.col("source").alias("_s"), F.col("size").alias("_size"), "docs", "source_size", "target", "passes", "extra")
+    p = bounded(plan).select(F.col("source").alias("_s"), F.col("size").alias("_size"), "docs", "source_size", "target", "passes", "extra")
     ranges = F.greatest(F.lit(1), (F.col("docs") / RANK_ROWS).cast("int"))
     hashed = F.xxhash64("id", F.lit(seed))
     joined = sized.join(p, sized["source"].eqNullSafe(p["_s"]) & (sized["size"] == p["_size"])).drop("_s", "_size").select(

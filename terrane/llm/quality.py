@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.text import SPACE, split_words
+from terrane.llm.text import SPACE, bounded, split_words
 from terrane.operators.lineage import cut
 
 SHINGLE = 5
@@ -98,7 +98,7 @@ def host_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     An empty table gives no rows.
     """
     measured = cut(measure(docs, id_col, text_col, host_col))
-    verdict = host_verdicts(measured).select(F.col("host").alias("_host"), "rate", "strict")
+    verdict = bounded(cut(host_verdicts(measured))).select(F.col("host").alias("_host"), "rate", "strict")
     joined = measured.join(verdict, measured["host"].eqNullSafe(verdict["_host"]), "left")
     failed = joined.withColumn("base_failed", base_failed()).withColumn("soft_failed", soft_failed())
     return failed.select(

@@ -47,6 +47,15 @@ def small_batches(frame: DataFrame) -> DataFrame:
     return frame
 
 
+#: Rows of a few numbers and short strings that may be broadcast; larger frames are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def bounded(frame: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``frame`` (stored already, as it is counted here), to be broadcast if it has at most ``rows`` rows."""
+    return F.broadcast(frame) if frame.count() <= rows else frame
+
+
 def table(spark, folder: str, name: str) -> DataFrame:
     """One of the given Parquet tables."""
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrane.llm.text import bounded
 from terrane.operators.lineage import cut
 
 #: (rule, verdict): host, then the path that a url's path must start with.
@@ -78,7 +79,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
         hosts.select("host", F.explode(F.expr(suffixes("host"))).alias("rule_host")).join(rules, "rule_host")
         .groupBy("host").agg(F.collect_set(F.struct(F.length("rule").alias("n"), "rule", "verdict", "rule_path")).alias("rules"))
     )
-    ruled = parsed.join(fitting, "host", "left").withColumn("best", F.expr(
+    ruled = parsed.join(bounded(cut(fitting)), "host", "left").withColumn("best", F.expr(
         "array_sort(filter(rules, r -> startswith(path, r.rule_path)), (a, b) -> case when a.n > b.n then -1 when a.n < b.n then 1"
         " when a.rule < b.rule then -1 when a.rule > b.rule then 1 else 0 end)"
     )).select("id", "host", "path", F.expr("get(best, 0).rule").alias("rule"), F.expr("get(best, 0).verdict").alias("by_rule"))
@@ -86,7 +87,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     outcomes = ruled.groupBy("host").agg(
         F.sum(F.expr("if(by_rule = 'block', 1D, 0D)")).alias("bad"), F.sum(F.expr(f"if(by_rule is null, {UNLABELLED}D, 1D)")).alias("n")
     )
-    judged = ruled.join(reputation(outcomes), "host", "left")
+    judged = ruled.join(bounded(cut(reputation(cut(outcomes)))), "host", "left")
     return judged.select(
         F.col("id").alias(id_col), "host", "path", "rule",
         F.expr(f"coalesce(by_rule, if(host <> '' and lower > {BLOCK_RATE}, 'block', 'allow'))").alias("verdict"),
