@@ -383,13 +383,13 @@ def summarise_genes(scores):
     )
 
 
-@query("AGG-10 AGG-12 WIN-08", "links", "select gene, n, round(med, 7) + 0.0 med, round(mean, 6) + 0.0 mean, round(mx, 6) + 0.0 mx, round(sd, 6) + 0.0 sd, round(top3, 6) + 0.0 top3, round(frac, 6) + 0.0 frac, round(.4 * med + .35 * frac + .25 * top3, 6) + 0.0 divergence from g join top using (gene)", _GD)
+@query("AGG-10 AGG-12 WIN-08", "links", "select gene, n, round(med, 10) + 0.0 med, round(mean, 6) + 0.0 mean, round(mx, 6) + 0.0 mx, round(sd, 6) + 0.0 sd, round(top3, 6) + 0.0 top3, round(frac, 6) + 0.0 frac, round(.4 * med + .35 * frac + .25 * top3, 6) + 0.0 divergence from g join top using (gene)", _GD)
 def gene_divergence_relative(s, d):
     sc = gene_scores(s, d)
     limit = sc.agg(F.round(F.percentile("score", F.lit(0.9)), 9).alias("t"))
     frac = sc.crossJoin(F.broadcast(limit)).groupBy("gene").agg(F.avg((F.col("score") >= F.col("t")).cast("int")).alias("frac"))
     full = summarise_genes(sc).join(frac, "gene")
-    return full.select("gene", "n", r("med", 7).alias("med"), *[r(c).alias(c) for c in ("mean", "mx", "sd", "top3", "frac")], r(0.4 * F.col("med") + 0.35 * F.col("frac") + 0.25 * F.col("top3")).alias("divergence"))
+    return full.select("gene", "n", r("med", 10).alias("med"), *[r(c).alias(c) for c in ("mean", "mx", "sd", "top3", "frac")], r(0.4 * F.col("med") + 0.35 * F.col("frac") + 0.25 * F.col("top3")).alias("divergence"))
 
 
 @query("AGG-11", "links", "select gene, round(.6 * med + .4 * top3, 6) + 0.0 absolute_divergence, row_number() over (order by round(.6 * med + .4 * top3, 6) desc, gene) absolute_rank from g join top using (gene)", _GD)
