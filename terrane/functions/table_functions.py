@@ -22,6 +22,7 @@ class Blob:
     """Pixels of a Gaussian spot on a grid of unit coordinates."""
 
     def eval(self, rows: int, cols: int, x0: float, y0: float, sigma: float):
+        x0, y0, sigma = float(x0), float(y0), float(sigma)  # SQL literals come as decimals
         for i in range(rows):
             for j in range(cols):
                 x, y = j / max(cols - 1, 1), i / max(rows - 1, 1)
