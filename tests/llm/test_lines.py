@@ -119,3 +119,47 @@ def test_edges(spark, nasty):
     assert L.dedup_lines(nasty.limit(0)).count() == 0
     same = spark.createDataFrame([(1, "a b\na b\n\nc\n"), (None, "c\nd"), (None, "d")], "doc_id long, text string")
     assert sorted(r.d.text for r in L.dedup_lines(same, out="d").collect()) == ["a b\n\nc\n", "d", "d"]
+
+
+def varied(r, text):
+    """``text`` after an edit: a character or a word replaced, put in or left out."""
+    w = text.split(" ")
+    i = r.randrange(len(w))
+    how = r.randrange(4)
+    if how == 0:
+        w[i] = prose(r, 1)
+    elif how == 1:
+        w.insert(i, prose(r, 1))
+    elif how == 2 and len(w) > 1:
+        del w[i]
+    else:
+        k = r.randrange(len(w[i]) + 1)
+        w[i] = w[i][:k] + "q" + w[i][k + r.randrange(2) :]
+    return " ".join(w)
+
+
+def similarity(a, b):
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y)
+
+
+def similar_pairs(r, low, high, n):
+    """n pairs of lines of low to high words, edited until their similarity is 0.8 to 0.88."""
+    pairs = []
+    while len(pairs) < n:
+        a = b = prose(r, r.randint(low, high))
+        while similarity(a, b) > 0.88:
+            b = varied(r, b)
+        if similarity(a, b) >= 0.8:
+            pairs.append((a, b))
+    return pairs
+
+
+def test_bands_find_pairs_of_all_lengths_and_edits(spark):
+    r = random.Random(11)
+    pairs = [(low, *p) for low, high in ((5, 7), (8, 15), (20, 60), (100, 200)) for p in similar_pairs(r, low, high, 200)]
+    rows = [(2 * i + k, x) for i, (_, *both) in enumerate(pairs) for k, x in enumerate(both)]
+    keys = {q.id: set(q["keys"] or ()) for q in L._signed(spark.createDataFrame(rows, "id long, text string")).collect()}
+    shared = {low: [bool(keys[2 * i] & keys[2 * i + 1]) for i, p in enumerate(pairs) if p[0] == low] for low in (5, 8, 20, 100)}
+    print({low: (sum(x), len(x)) for low, x in shared.items()})
+    assert all(sum(x) >= 0.99 * len(x) for x in shared.values())
