@@ -163,3 +163,29 @@ def test_bands_find_pairs_of_all_lengths_and_edits(spark):
     shared = {low: [bool(keys[2 * i] & keys[2 * i + 1]) for i, p in enumerate(pairs) if p[0] == low] for low in (5, 8, 20, 100)}
     print({low: (sum(x), len(x)) for low, x in shared.items()})
     assert all(sum(x) >= 0.99 * len(x) for x in shared.values())
+
+
+def all_pairs(lines):
+    """The least line of each line's component, all pairs of lines compared."""
+    least = {x: x for x in lines}
+    links = [(a, b) for a in lines for b in lines if a < b and similarity(a, b) >= 0.8]
+    for _ in lines:
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    return least
+
+
+def test_lines_with_few_or_no_blanks_are_compared(spark):
+    r = random.Random(12)
+    lines = []
+    for alphabet, n in (("的一是不了人我在有他这中大来上个国", 40), ("การนวมเปยล", 60), ("abcdefgh", 30), ("xyz\t ", 50)):
+        for _ in range(6):
+            a = "/" + "".join(r.choice(alphabet) for _ in range(r.randint(n, 3 * n))) + "/"
+            i = r.randrange(2, len(a) - 2)
+            lines += [a, a[:i] + a[i + 1 :]]
+    lines += ["abcd", "abce", "abcdefghi", "abcdefgh", "aaaaaaa", "aaaaaaaaaa", "12345 789 1234"]
+    least = all_pairs(lines)
+    first = {x: min(i for i, y in enumerate(lines) if least[y] == least[x]) for x in lines}
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    gone = {q.doc_id for q in L.dedup_lines(docs, out="d").collect() if q.d.n_removed}
+    assert len(gone) >= 20 and gone == {i for i, x in enumerate(lines) if first[x] != i}
