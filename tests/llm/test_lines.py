@@ -189,3 +189,18 @@ def test_lines_with_few_or_no_blanks_are_compared(spark):
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     gone = {q.doc_id for q in L.dedup_lines(docs, out="d").collect() if q.d.n_removed}
     assert len(gone) >= 20 and gone == {i for i, x in enumerate(lines) if first[x] != i}
+
+
+def test_crowded_bands_are_compared_wholly(spark):
+    """Lines of one band that are near-equal to each other, but to neither of the band's partners."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(13)
+    pairs = similar_pairs(r, 10, 40, 40)
+    lines = [x for p in pairs for x in p]
+    docs = spark.createDataFrame(list(enumerate(lines)), "id long, text string")
+    # One band for all.
+    signed = L._signed(docs).withColumn("keys", F.array(F.lit(1).cast("long"))).cache()
+    named = {q.id: q.h for q in signed.collect()}
+    links = {(q.u, q.v) for q in L.near_equal(docs, signed, signed.groupBy("h").agg(F.min("id").alias("first_id"))).collect()}
+    assert links == {tuple(sorted((named[2 * i], named[2 * i + 1]))) for i in range(len(pairs))}
