@@ -17,14 +17,14 @@ from terrane.llm.text import lower_ascii, split_words
 #: Base phrases and their labels.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
-#: Label | keyword that any match contains | name | identifier | address. Written on words without punctuation.
+#: Label | keyword that any match contains (or several: each alternative of the name contains one) | name | identifier | address. Written on words without punctuation.
 SIGNATURES = """
-agpl-3.0 | affero | gnu affero general public license(?: version| v)?(?: 3(?: 0)?)?|agpl v?3(?: 0)? | agpl 3 0(?: only| or later)? | gnu org licenses agpl(?: 3 0)?
-gpl-3.0 | general public | gnu general public license(?: as published by the free software foundation)?(?: either)? (?:version|v) ?3(?: 0)?|gnu gpl v?3 | gpl 3 0(?: only| or later)? | gnu org licenses gpl 3 0
-gpl-2.0 | general public | gnu general public license(?: as published by the free software foundation)?(?: either)? (?:version|v) ?2(?: 0)?|gnu gpl v?2 | gpl 2 0(?: only| or later)? | gnu org licenses (?:old licenses )?gpl 2 0
-gpl | general public | gnu general public licen[cs]e|gnu gpl | gpl | gnu org licenses gpl
-lgpl-3.0 | lesser general | gnu lesser general public license (?:version|v) ?3(?: 0)?|lgpl v?3 | lgpl 3 0(?: only| or later)? | gnu org licenses lgpl 3 0
-lgpl-2.1 | lesser general | gnu lesser general public license (?:version|v) ?2 1|lgpl v?2 1 | lgpl 2 1(?: only| or later)? | gnu org licenses (?:old licenses )?lgpl 2 1
+agpl-3.0 | affero, agpl | gnu affero general public license(?: version| v)?(?: 3(?: 0)?)?|agpl v?3(?: 0)? | agpl 3 0(?: only| or later)? | gnu org licenses agpl(?: 3 0)?
+gpl-3.0 | general public, gnu gpl | gnu general public license(?: as published by the free software foundation)?(?: either)? (?:version|v) ?3(?: 0)?|gnu gpl v?3 | gpl 3 0(?: only| or later)? | gnu org licenses gpl 3 0
+gpl-2.0 | general public, gnu gpl | gnu general public license(?: as published by the free software foundation)?(?: either)? (?:version|v) ?2(?: 0)?|gnu gpl v?2 | gpl 2 0(?: only| or later)? | gnu org licenses (?:old licenses )?gpl 2 0
+gpl | general public, gnu gpl | gnu general public licen[cs]e|gnu gpl | gpl | gnu org licenses gpl
+lgpl-3.0 | lesser general, lgpl | gnu lesser general public license (?:version|v) ?3(?: 0)?|lgpl v?3 | lgpl 3 0(?: only| or later)? | gnu org licenses lgpl 3 0
+lgpl-2.1 | lesser general, lgpl | gnu lesser general public license (?:version|v) ?2 1|lgpl v?2 1 | lgpl 2 1(?: only| or later)? | gnu org licenses (?:old licenses )?lgpl 2 1
 lgpl-2.0 | library general | gnu library general public license(?: version 2)? | lgpl 2 0(?: only| or later)? | gnu org licenses (?:old licenses )?lgpl 2 0
 lgpl | lesser general | gnu lesser general public licen[cs]e | lgpl | gnu org licenses lgpl
 gfdl | documentation license | gnu free documentation license(?: version 1 [123])? | gfdl 1 [123](?: only| or later)? | gnu org licenses fdl
@@ -41,19 +41,19 @@ bsd-3-clause | bsd | bsd 3 clause(?: new| revised)?(?: license)?|(?:new|revised|
 bsd-2-clause | bsd | bsd 2 clause(?: simplified)?(?: license)?|(?:simplified|freebsd) bsd license | bsd 2 clause | opensource org licenses bsd 2 clause
 bsd-0 | bsd | (?:zero clause|0 clause) bsd(?: license)?|bsd zero clause | 0bsd | opensource org licenses 0bsd
 bsd | bsd | bsd (?:style )?licen[cs]e | bsd | opensource org licenses bsd
-cc-by-nc-nd | commons | creative commons attribution non ?commercial no ?deriv(?:s|atives)?(?: works)?(?: [1-4] [05])?(?: international| unported)?|cc by nc nd(?: [1-4] [05])? | cc by nc nd [1-4] [05] | creativecommons org licenses by nc nd
+cc-by-nc-nd | commons, cc by | creative commons attribution non ?commercial no ?deriv(?:s|atives)?(?: works)?(?: [1-4] [05])?(?: international| unported)?|cc by nc nd(?: [1-4] [05])? | cc by nc nd [1-4] [05] | creativecommons org licenses by nc nd
 cc-by-nc-sa | commons | creative commons attribution non ?commercial share ?alike(?: [1-4] [05])?(?: international| unported)? | cc by nc sa [1-4] [05] | creativecommons org licenses by nc sa
 cc-by-nc | commons | creative commons attribution non ?commercial(?: [1-4] [05])?(?: international| unported)? | cc by nc [1-4] [05] | creativecommons org licenses by nc
 cc-by-nd | commons | creative commons attribution no ?deriv(?:s|atives)?(?: [1-4] [05])?(?: international| unported)? | cc by nd [1-4] [05] | creativecommons org licenses by nd
 cc-by-sa | commons | creative commons attribution share ?alike(?: [1-4] [05])?(?: international| unported)? | cc by sa [1-4] [05] | creativecommons org licenses by sa
 cc-by | commons | creative commons attribution(?: [1-4] [05])?(?: international| unported)?(?: license)? | cc by [1-4] [05] | creativecommons org licenses by
-cc0 | cc0 | cc0(?: 1 0)?(?: universal)?|creative commons zero | cc0 1 0 | creativecommons org publicdomain zero
+cc0 | cc0, creative commons | cc0(?: 1 0)?(?: universal)?|creative commons zero | cc0 1 0 | creativecommons org publicdomain zero
 cc-by-nc-nd | cc by | cc by nc nd | cc by nc nd | by nc nd deed
 cc-by-nc-sa | cc by | cc by nc sa | cc by nc sa | by nc sa deed
 cc-by-nc | cc by | cc by nc | cc by nc | by nc deed
 cc-by-sa | cc by | cc by sa | cc by sa | by sa deed
 cc-by-nd | cc by | cc by nd | cc by nd | by nd deed
-mpl-2.0 | mozilla | mozilla public license (?:version|v) ?2(?: 0)?|mpl v?2(?: 0)? | mpl 2 0 | mozilla org mpl 2 0
+mpl-2.0 | mozilla, mpl | mozilla public license (?:version|v) ?2(?: 0)?|mpl v?2(?: 0)? | mpl 2 0 | mozilla org mpl 2 0
 mpl-1.1 | mozilla | mozilla public license (?:version|v) ?1 1 | mpl 1 1 | mozilla org mpl mpl 1 1
 mpl | mozilla | mozilla public licen[cs]e | mpl | mozilla org mpl
 epl-2.0 | eclipse | eclipse public license (?:version |v ?)?2(?: 0)? | epl 2 0 | eclipse org legal epl 2 0
@@ -79,7 +79,7 @@ postgresql | postgresql | postgresql licen[cs]e | postgresql | opensource org li
 php-3.01 | php license | php license(?: version 3 01?)? | php 3 01? | php net license
 ruby | ruby license | ruby license | ruby | ruby lang org en about license
 openssl | openssl | openssl license | openssl | openssl org source license
-ncsa | ncsa | (?:university of illinois )?ncsa(?: open source)? license | ncsa | otm illinois edu uiuc openSource
+ncsa | ncsa | (?:university of illinois )?ncsa(?: open source)? license | ncsa | otm illinois edu uiuc opensource
 afl-3.0 | academic free | academic free license(?: version| v)?(?: 3 0)? | afl 3 0 | opensource org licenses afl 3 0
 osl-3.0 | open software | open software license(?: version| v)?(?: 3 0)? | osl 3 0 | opensource org licenses osl 3 0
 upl | universal permissive | universal permissive license(?: version| v)?(?: 1 0)? | upl 1 0 | opensource org licenses upl
@@ -97,14 +97,30 @@ KINDS = {"identifier": (4, 1.0), "grant": (3, 0.95), "address": (2, 0.9), "name"
 BASE_SCORE = 0.5
 
 
+def _by_keyword(keywords: str, alternatives: str) -> list[tuple[str, str]]:
+    """(keyword, alternatives) for each keyword: those alternatives that contain it."""
+    names = keywords.split(", ")
+    if len(names) == 1:
+        return [(keywords, alternatives)]
+    parts, depth = [""], 0
+    for c in alternatives:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            parts.append("")
+        else:
+            parts[-1] += c
+    return [(k, "|".join(p for p in parts if k == next(x for x in names if x in p))) for k in names]
+
+
 def rules() -> list[tuple[int, int, str, str, str, float]]:
     """(order, priority, label, keyword, pattern, confidence) of each rule, best first."""
     made = []
     for line in filter(None, (x.strip() for x in SIGNATURES.splitlines())):
-        label, keyword, alternatives, identifier, address = (x.strip() for x in line.split(" | "))
+        label, keywords, alternatives, identifier, address = (x.strip() for x in line.split(" | "))
+        named = _by_keyword(keywords, alternatives)
         for kind, keep, pattern in (
-            ("identifier", "spdx license", IDENTIFIER + f"(?:{identifier})"), ("grant", keyword, GRANT + f"(?:{alternatives})"),
-            ("address", address.split("(")[0].strip(), address), ("name", keyword, f"(?:{alternatives})"),
+            ("identifier", "spdx license", IDENTIFIER + f"(?:{identifier})"), *(("grant", k, GRANT + f"(?:{a})") for k, a in named),
+            ("address", address.split("(")[0].strip(), address), *(("name", k, f"(?:{a})") for k, a in named),
         ):
             made.append((*KINDS[kind], label, keep, f"(?<= )(?:{pattern})(?= )"))
     made.sort(key=lambda r: -r[0])

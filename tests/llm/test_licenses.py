@@ -51,3 +51,19 @@ def test_edges(spark, nasty):
     got = L.scan_licenses(nasty).collect()
     assert len(got) == nasty.count() and all(r.score == 0 and r.labels == [] for r in got)
     assert L.scan_licenses(nasty.limit(0)).count() == 0
+
+
+def test_keywords_lose_no_match(spark, monkeypatch):
+    """The brute force runs all rules on every text here."""
+    named = {
+        "released under the GNU GPL v3": "gpl-3.0", "GNU GPL v2": "gpl-2.0", "the GNU GPL": "gpl", "AGPL v3": "agpl-3.0", "available under the LGPL v3": "lgpl-3.0", "LGPL v2.1": "lgpl-2.1",
+        "Creative Commons Zero": "cc0", "MPL v2": "mpl-2.0", "see otm.illinois.edu/uiuc_openSource": "ncsa", "CC BY-NC-ND 4.0": "cc-by-nc-nd",
+    }
+    rows = list(enumerate([*named, *TEXTS]))
+    got = {r.doc_id: r for r in L.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    every = [(i, p, label, "", pattern, score) for i, p, label, _, pattern, score in L.rules()]
+    monkeypatch.setattr(L, "rules", lambda: every)
+    for i, t in rows:
+        n_words, _, found, _, score = brute(t)
+        assert (got[i].n_words, sorted((d.label, d["first"], d["last"], d.score) for d in got[i].detections), got[i].score) == (n_words, found, score)
+        assert t not in named or named[t] in got[i].labels
