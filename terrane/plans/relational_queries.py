@@ -346,9 +346,9 @@ def weighted_gather(s, d):
 
 
 # ---- aggregates ----
-@query("AGG-01", "links", "select target, round(sum(importance), 0) total, row_number() over (order by round(sum(importance), 0) desc, target) place from links group by target")
+@query("AGG-01", "links", "select target, round(sum(importance::decimal(18, 2)), 0)::double total, row_number() over (order by round(sum(importance::decimal(18, 2)), 0) desc, target) place from links group by target")
 def target_order(s, d):
-    g = A.links(s, d).groupBy("target").agg(F.round(F.sum("importance"), 0).alias("total"))
+    g = A.links(s, d).groupBy("target").agg(F.round(F.sum(F.col("importance").cast("decimal(18,2)")), 0).cast("double").alias("total"))
     return g.withColumn("place", F.row_number().over(Window.orderBy(F.desc("total"), "target")).cast("long"))
 
 
