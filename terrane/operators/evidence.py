@@ -1,14 +1,16 @@
 """Which drivers track a target everywhere, and which in one domain only.
 
 From pairs (gene, enh, domain, x, y): correlations per domain and overall come from one grouping by
-domain; overall moments are added up from the domains' sums, so the long table is shuffled once and
-pre-aggregated before that.
+domain; overall moments are put together from the domains' (means and central co-moments, so that large
+values or counts cost no digits): the long table is shuffled once and pre-aggregated before that.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,31 +32,39 @@ class Thresholds:
 KEYS = ["gene", "enh"]
 
 
-def domain_sums(pairs: DataFrame, by: list[str] = KEYS) -> DataFrame:
-    """Sums of x, y, xx, yy, xy and n by group and domain."""
+def domain_moments(pairs: DataFrame, by: list[str] = KEYS) -> DataFrame:
+    """n, means mx and my, and central sums cxx, cyy and cxy, by group and domain."""
+    n = F.count(F.lit(1))
     return pairs.groupBy(*by, "domain").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("x")).alias("sxx"),
-        F.sum(F.col("y") * F.col("y")).alias("syy"), F.sum(F.col("x") * F.col("y")).alias("sxy"),
+        n.alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), (F.var_pop("x") * n).alias("cxx"), (F.var_pop("y") * n).alias("cyy"), (F.covar_pop("x", "y") * n).alias("cxy")
     )
 
 
-def from_sums(policy: str = "zero") -> Column:
-    """Pearson's r of summed moments; 0 where it isn't defined."""
-    n = F.col("n")
-    cxy, cxx, cyy = F.col("sxy") - F.col("sx") * F.col("sy") / n, F.col("sxx") - F.col("sx") * F.col("sx") / n, F.col("syy") - F.col("sy") * F.col("sy") / n
-    spread = F.sqrt(F.greatest(cxx, F.lit(0.0)) * F.greatest(cyy, F.lit(0.0)))
-    # Differences of sums leave rounding errors: a constant column counts as such from 1e-9.
+def overall_moments(moments: DataFrame, by: list[str] = KEYS) -> DataFrame:
+    """The moments of all domains of a group together; a group has one row a domain."""
+    whole = moments.groupBy(*by).agg(
+        F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mx")) / F.sum("n")).alias("mx"), (F.sum(F.col("n") * F.col("my")) / F.sum("n")).alias("my"),
+        F.collect_list(F.struct("n", "mx", "my", "cxx", "cyy", "cxy")).alias("parts"),
+    )
+    add = lambda own, a, b: F.expr(f"aggregate(parts, 0D, (s, p) -> s + p.{own} + p.n * (p.{a} - {a}) * (p.{b} - {b}))").alias(own)
+    return whole.select(*by, "n", "mx", "my", add("cxx", "mx", "mx"), add("cyy", "my", "my"), add("cxy", "mx", "my"))
+
+
+def from_moments(policy: str = "zero") -> Column:
+    """Pearson's r; 0 where it isn't defined."""
+    spread = F.sqrt(F.greatest("cxx", F.lit(0.0)) * F.greatest("cyy", F.lit(0.0)))
+    # Rounding leaves errors: a constant column counts as such from 1e-9.
     good = spread > (1e-9 if policy == "zero" else 1e-8)
     if policy == "zero_std":
-        good = good & (n >= 8)
-    return F.when(good, cxy / spread).otherwise(0.0)
+        good = good & (F.col("n") >= 8)
+    return F.when(good, F.col("cxy") / spread).otherwise(0.0)
 
 
 def evidence(pairs: DataFrame, by: list[str] = KEYS, policy: str = "zero") -> DataFrame:
     """Per group: global and best regional correlation, its domain, advantage, specificity and evidence score."""
-    sums = domain_sums(pairs, by)
-    local = sums.select(*by, "domain", "n", r(from_sums(policy)).alias("local"))
-    overall = sums.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]).select(*by, r(from_sums(policy)).alias("global_concordance"))
+    moments = domain_moments(pairs, by)
+    local = moments.select(*by, "domain", "n", r(from_moments(policy)).alias("local"))
+    overall = overall_moments(moments, by).select(*by, r(from_moments(policy)).alias("global_concordance"))
     ranked = local.withColumn("place", pick([F.col("local").desc(), F.col("domain")], by))
     best = ranked.groupBy(*by).agg(
         F.max(F.when(F.col("place") == 1, F.col("local"))).alias("max_regional_concordance"), F.max(F.when(F.col("place") == 1, F.col("domain"))).alias("best_domain"),
@@ -102,18 +112,41 @@ def permutation_p(observed: DataFrame, null: DataFrame, by: list[str], n: int) -
     return with_q_values(p, "permutation_pvalue", [by[0]], "permutation_qvalue").withColumn("permutation_qvalue", r("permutation_qvalue"))
 
 
-def toroidal_null(pixels: DataFrame, shifts: DataFrame, rows: int, cols: int, by: list[str] = KEYS) -> DataFrame:
-    """Per group and shift: the largest domain correlation after x is rolled around the grid.
+def toroidal_null(pixels: DataFrame, shifts: list[tuple[int, int]], rows: int, cols: int, by: list[str] = KEYS) -> DataFrame:
+    """Per group and shift (perm: its place in ``shifts``, as (dy, dx)): the largest domain correlation after x is rolled around the grid.
 
-    pixels: by, row, col, domain, x, y. The few shifts are broadcast; the rolled copy meets the still one
-    by an equi join on (group, pixel).
+    pixels: by, row, col, domain, x, y; cells without a pixel count in neither. A group's pixels are one array
+    (bounded by the grid), shuffled once; all shifts are laid over it at once in NumPy, as sums by domain are
+    products with the domains' indicators.
     """
-    moved = pixels.select(*by, "row", "col", "x").crossJoin(F.broadcast(shifts)).select(
-        *by, "perm", "x", F.pmod(F.col("row") + F.col("dy"), F.lit(rows)).cast("int").alias("row"), F.pmod(F.col("col") + F.col("dx"), F.lit(cols)).cast("int").alias("col")
-    )
-    still = pixels.select(*by, "row", "col", "domain", "y")
-    sums = domain_sums(moved.join(still, [*by, "row", "col"]), [*by, "perm"])
-    return sums.select(*by, "perm", r(from_sums("zero_std")).alias("local")).groupBy(*by, "perm").agg(F.max("local").alias("null_max"))
+    cell = (F.col("row") * cols + F.col("col")).cast("int").alias("cell")
+    packed = pixels.groupBy(*by).agg(F.collect_list(F.struct(cell, "domain", "x", "y")).alias("grid")).select(*by, *[F.col(f"grid.{c}").alias(f"_{c}") for c in ("cell", "domain", "x", "y")])
+    at = np.arange(rows * cols)
+    source = np.stack([((at // cols - dy) % rows) * cols + (at % cols - dx) % cols for dy, dx in shifts]) if shifts else np.empty((0, rows * cols), int)
+
+    def largest(frames):
+        for frame in frames:
+            out = []
+            for row in frame.itertuples(index=False):
+                x, y, domain = np.full(rows * cols, np.nan), np.full(rows * cols, np.nan), np.full(rows * cols, -1)
+                cells = np.asarray(row[-4], int)
+                # Centred, so that sums of squares cost no digits.
+                domain[cells], x[cells], y[cells] = row[-3], np.asarray(row[-2], float) - np.mean(row[-2]), np.asarray(row[-1], float) - np.mean(row[-1])
+                moved = x[source]
+                there = np.isfinite(moved) & np.isfinite(y)
+                moved, still = np.where(there, moved, 0.0), np.where(there, y, 0.0)
+                kinds = np.unique(domain[domain >= 0])
+                of = (domain[:, None] == kinds[None, :]).astype(float)
+                n, sx, sy = there @ of, moved @ of, still @ of
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    cxx, cyy, cxy = (moved * moved) @ of - sx * sx / n, (still * still) @ of - sy * sy / n, (moved * still) @ of - sx * sy / n
+                    spread = np.sqrt(np.maximum(cxx, 0) * np.maximum(cyy, 0))
+                    local = np.where((spread > 1e-8) & (n >= 8), cxy / spread, 0.0)
+                out.append((*row[:-4], np.round(local, 6).max(axis=1)))
+            yield pd.DataFrame([(*keys, k, v) for *keys, values in out for k, v in enumerate(values.tolist())], columns=[*by, "perm", "null_max"])
+
+    kinds = ", ".join(f"`{c}` {packed.schema[c].dataType.simpleString()}" for c in by)
+    return packed.mapInPandas(largest, f"{kinds}, perm int, null_max double").withColumn("null_max", r("null_max"))
 
 
 def elbow(scores: DataFrame, rank: str, score: str) -> DataFrame:

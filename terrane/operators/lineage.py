@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 from uuid import uuid4
 
@@ -40,3 +41,13 @@ def store(frame: DataFrame) -> DataFrame:
     frame.write.parquet(path)
     atexit.register(_discard, spark, path)
     return spark.read.parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets the cluster drop shuffle files that nothing refers to any more.
+
+    Spark drops them when the driver collects its garbage, by default every half hour: a job of many steps
+    asks for it between steps, so that its disk holds the steps at work only.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terrane.functions.numeric import adjusted, average_rank, correlation, entropy, moments, pick, r, with_q_values
 from terrane.operators import evidence as E
+from terrane.operators.lineage import cut
 from terrane.plans.registry import query
 from terrane.sources import adapters as A
 
@@ -56,18 +59,20 @@ def evidence_screen_rank(s, d):
     return E.ranked(E.gene_complexity(_screen(s, d), ["gene"]), order, "screen_rank").withColumn("screen_rank", F.col("screen_rank").cast("long"))
 
 
-# ---- permutation: pixels are observations placed on a 20 by 25 torus by their id ----
-_PERMS = 19
+# ---- permutation: observations fill a torus of 25 columns by their id ----
+_PERMS, _COLS = 99, 25
 _PIX = {
-    "pix": "select gene, enh, obs_id // 25 \"row\", obs_id % 25 col, (obs_id // 25 >= 10)::int * 3 + least(obs_id % 25 * 3 // 25, 2) domain, x, y from paired where obs_id < 500 and enh < 12",
+    "side": f"select ((max(obs_id) + {_COLS}) // {_COLS})::int h from obs",
+    "pix": f"select gene, enh, (obs_id // {_COLS})::int \"row\", (obs_id % {_COLS})::int col, (obs_id // {_COLS} * 2 >= h)::int * 3 + (obs_id % {_COLS} * 3 // {_COLS})::int domain, x, y from paired, side",
     "sums": f"select gene, enh, domain, {_SUMS} from pix group by all",
     "loc": f"select gene, enh, domain, n, {_R.format(_COR.format(eps='1e-8', more='and n >= 8'))} local from sums",
     "glo": EV["glo"].replace(_CORR, _R.format(_COR.format(eps="1e-8", more="and n >= 8"))),
     **{k: EV[k] for k in ("rk", "best", "adv", "ev")},
-    "perm": "select p perm, (7 * p + 3) % 20 dy, (11 * p + 5) % 25 dx from (select unnest(range(19)) p)",
-    "nsum": f"select gene, enh, perm, domain, {_SUMS} from (select a.gene, a.enh, perm, b.domain, a.x, b.y from pix a, perm, pix b where a.gene = b.gene and a.enh = b.enh and b.row = (a.row + dy) % 20 and b.col = (a.col + dx) % 25) group by all",
+    "perm": f"select p perm, (7 * p + 3) % h dy, (11 * p + 5) % {_COLS} dx from (select unnest(range({_PERMS})) p), side",
+    "nsum": f"select gene, enh, perm, domain, {_SUMS} from (select a.gene, a.enh, perm, b.domain, a.x, b.y from pix a, perm, side, pix b where a.gene = b.gene and a.enh = b.enh and b.row = (a.row + dy) % h and b.col = (a.col + dx) % {_COLS}) group by all",
     "nmax": f"select gene, enh, perm, max({_R.format(_COR.format(eps='1e-8', more='and n >= 8'))}) m from nsum group by all",
-    "pv": "select ev.*, (1 + (select count(*) from nmax where nmax.gene = ev.gene and nmax.enh = ev.enh and m >= max_regional_concordance)) / 20.0::double permutation_pvalue from ev",
+    "hit": "select ev.gene, ev.enh, count_if(m >= max_regional_concordance) k from ev join nmax using (gene, enh) group by all",
+    "pv": f"select ev.*, (1 + coalesce(k, 0)) / {_PERMS + 1}.0::double permutation_pvalue from ev left join hit using (gene, enh)",
     "bh": "select *, permutation_pvalue * count(*) over (partition by gene) / row_number() over (partition by gene order by permutation_pvalue) b from pv",
     "qv": "select * exclude (b), round(least(1.0::double, min(b) over (partition by gene order by permutation_pvalue range between current row and unbounded following)), 6) + 0.0 permutation_qvalue from bh",
     "cl2": "select *, case when global_concordance >= .35 then 'core_concordant' when max_regional_concordance >= .2 and regional_evidence_score >= .005 and permutation_qvalue <= .1 then 'regional_candidate' else 'unsupported' end predicted_class from qv",
@@ -76,21 +81,18 @@ _PIX = {
 
 
 def _torus(s, d):
-    """Pairs on the 20 by 25 torus; the torus has 500 pixels by definition."""
-    rows = A.paired(s, d).where("obs_id < 500 and enh < 12")
-    col = (F.col("obs_id") % 25).cast("int")
-    domain = (F.col("obs_id") >= 250).cast("int") * 3 + F.least((col * 3 / 25).cast("int"), F.lit(2))
-    return rows.select("gene", "enh", (F.col("obs_id") / 25).cast("int").alias("row"), col.alias("col"), domain.alias("domain"), "x", "y")
-
-
-def _shifts(s, rows=20, cols=25):
-    return s.range(_PERMS).select(F.col("id").cast("int").alias("perm"), ((7 * F.col("id") + 3) % rows).cast("int").alias("dy"), ((11 * F.col("id") + 5) % cols).cast("int").alias("dx"))
+    """All pairs on the torus, and its number of rows; the last row may be incomplete."""
+    height = A.observations(s, d).agg(F.max("obs_id")).first()[0] // _COLS + 1
+    row, col = (F.col("obs_id") / _COLS).cast("int"), (F.col("obs_id") % _COLS).cast("int")
+    domain = (2 * row >= height).cast("int") * 3 + (col * 3 / _COLS).cast("int")
+    return A.paired(s, d).select("gene", "enh", row.alias("row"), col.alias("col"), domain.alias("domain"), "x", "y"), height
 
 
 def _confirmed(s, d):
-    pix = _torus(s, d)
-    observed = E.evidence(pix, policy="zero_std")
-    return E.permutation_p(observed, E.toroidal_null(pix, _shifts(s), 20, 25), E.KEYS, _PERMS)
+    """Evidence on the torus with the p- and q-values of all shifts."""
+    pix, height = _torus(s, d)
+    shifts = [((7 * p + 3) % height, (11 * p + 5) % _COLS) for p in range(_PERMS)]
+    return E.permutation_p(E.evidence(pix, policy="zero_std"), E.toroidal_null(pix, shifts, height, _COLS), E.KEYS, _PERMS)
 
 
 @query("COR-07 COR-09 COR-01 WIN-04", "paired", "select * from fin", _PIX)
@@ -100,14 +102,16 @@ def permutation_evidence(s, d):
 
 
 _THR = {"th": "select unnest([.20, .25, .30, .35])::double core_threshold"}
-_SRCI = EV | {
-    "conf": "select gene, enh, case when enh % 3 = 0 then .05 else .2 end::double q from cl where enh % 2 = 0",
+# The screen's tables keep their names, the permutation stage's get a prefix.
+_STAGE2 = {f"p_{k}": re.sub(rf"\b({'|'.join(_PIX)})\b(?=[ ,.)]|$)(?! \w+_)", lambda m: f"p_{m[1]}", v) for k, v in _PIX.items()}
+_SRCI = EV | _STAGE2 | {
+    "conf": "select gene, enh, permutation_qvalue q from p_qv",
     "jn": "select cl.* exclude (predicted_class), coalesce(q, 1.0::double) permutation_qvalue from cl left join conf using (gene, enh)",
     **_THR,
     "lg": "select *, case when global_concordance >= core_threshold then 'core_concordant' when max_regional_concordance >= .2 and regional_evidence_score >= .005 and permutation_qvalue <= .1 then 'regional_candidate' else 'unsupported' end predicted_class from jn, th",
     **_complexity("lg", "gene, core_threshold"),
     "mx": "select *, case when n_core >= 1 and n_regional_candidates >= 1 then complexity_score else 0 end mixed from gc",
-    "piv": "select gene, round(avg(mixed), 6) + 0.0 srci, count_if(mixed > 0) threshold_stability, max(case when core_threshold = .35::double then n_core end) n_core_strict, max(case when core_threshold = .35::double then n_regional_candidates end) n_regional_strict from mx group by gene",
+    "piv": "select gene, sum(round(mixed * 1e6)::bigint)::bigint / 4e6::double srci, count_if(mixed > 0) threshold_stability, max(case when core_threshold = .35::double then n_core end) n_core_strict, max(case when core_threshold = .35::double then n_regional_candidates end) n_regional_strict from mx group by gene",
     "qs": "select gene, count_if(permutation_qvalue <= .1) n_q010_enhancers, min(permutation_qvalue) min_enhancer_q from jn group by gene",
     "ex": "select gene, round(avg(y), 6) + 0.0 rna_mean, round(count_if(y > 0)::double / count(*), 6) + 0.0 rna_detected_fraction from targets group by gene",
     "src": "select piv.*, n_q010_enhancers, min_enhancer_q, rna_mean, rna_detected_fraction, row_number() over (order by srci desc, n_regional_strict desc, n_core_strict desc, gene) srci_rank from piv left join qs using (gene) left join ex using (gene)",
@@ -116,14 +120,10 @@ _SRCI = EV | {
 }
 
 
-def _confirm_stub(classed):
-    """A confirmed part of the screen with given q-values: every other driver."""
-    return classed.where("enh % 2 = 0").select("gene", "enh", F.when(F.col("enh") % 3 == 0, 0.05).otherwise(0.2).alias("q"))
-
-
 def _srci(s, d):
     screened = _screen(s, d)
-    joined = screened.drop("predicted_class").join(_confirm_stub(screened), E.KEYS, "left").withColumn("permutation_qvalue", F.coalesce("q", F.lit(1.0))).drop("q")
+    confirmed = _confirmed(s, d).select("gene", "enh", F.col("permutation_qvalue").alias("q"))
+    joined = cut(screened.drop("predicted_class").join(confirmed, E.KEYS, "left").withColumn("permutation_qvalue", F.coalesce("q", F.lit(1.0))).drop("q"))
     thresholds = s.createDataFrame([(x,) for x in (0.20, 0.25, 0.30, 0.35)], "core_threshold double")
     at_all = joined.crossJoin(F.broadcast(thresholds))
     regional = (F.col("max_regional_concordance") >= 0.2) & (F.col("regional_evidence_score") >= 0.005) & (F.col("permutation_qvalue") <= 0.1)
@@ -133,7 +133,7 @@ def _srci(s, d):
     wide = mixed.groupBy("gene").pivot("core_threshold", [0.20, 0.25, 0.30, 0.35]).agg(F.max("mixed").alias("m"), F.max("n_core").alias("c"), F.max("n_regional_candidates").alias("g")).fillna(0.0)
     scores = [F.col(f"`{t}_m`") for t in ("0.2", "0.25", "0.3", "0.35")]
     source = wide.select(
-        "gene", r(sum(scores, F.lit(0.0)) / 4).alias("srci"), sum(((x > 0).cast("long") for x in scores), F.lit(0)).cast("long").alias("threshold_stability"),
+        "gene", (sum((F.round(x * 1e6).cast("long") for x in scores), F.lit(0)) / 4e6).alias("srci"), sum(((x > 0).cast("long") for x in scores), F.lit(0)).cast("long").alias("threshold_stability"),
         F.col("`0.35_c`").alias("n_core_strict"), F.col("`0.35_g`").alias("n_regional_strict"),
     )
     q = joined.groupBy("gene").agg(F.count_if(F.col("permutation_qvalue") <= 0.1).alias("n_q010_enhancers"), F.min("permutation_qvalue").alias("min_enhancer_q"))
@@ -241,8 +241,8 @@ def class_summary(s, d):
 
 @query("AGG-23", "paired", "select a.gene, round(avg(a.local - b.local), 6) + 0.0 mean_gain, round(min(a.local - b.local), 6) + 0.0 min_gain, round(max(a.local - b.local), 6) + 0.0 max_gain, round(avg((a.local > b.local)::int), 6) + 0.0 share from loc a join loc b on a.gene = b.gene and a.domain = b.domain and a.enh = 0 and b.enh = 2 group by a.gene", EV)
 def paired_gains(s, d):
-    sums = E.domain_sums(A.paired(s, d).where("enh in (0, 2)"))
-    local = sums.select("gene", "enh", "domain", r(E.from_sums()).alias("local"))
+    sums = E.domain_moments(A.paired(s, d).where("enh in (0, 2)"))
+    local = sums.select("gene", "enh", "domain", r(E.from_moments()).alias("local"))
     both = local.groupBy("gene", "domain").pivot("enh", [0, 2]).agg(F.max("local")).withColumn("g", F.col("0") - F.col("2"))
     return both.groupBy("gene").agg(r(F.avg("g")).alias("mean_gain"), r(F.min("g")).alias("min_gain"), r(F.max("g")).alias("max_gain"), r(F.avg((F.col("g") > 0).cast("int"))).alias("share"))
 

@@ -240,7 +240,7 @@ def simulated_recovery(s, d):
     domain = (F.least((F.col("row") * 2 / 48).cast("int"), F.lit(1)) * 3 + F.least((F.col("col") * 3 / 64).cast("int"), F.lit(2))).alias("domain")
     pix = m.select(F.lit(0).alias("gene"), "enh", "row", "col", domain, F.col("activity").alias("x"), F.col("gene").alias("y"))
     observed = E.evidence(pix, policy="zero_std")
-    shifts = s.range(39).select(F.col("id").cast("int").alias("perm"), ((7 * F.col("id") + 11) % 48).cast("int").alias("dy"), ((13 * F.col("id") + 17) % 64).cast("int").alias("dx"))
+    shifts = [((7 * p + 11) % 48, (13 * p + 17) % 64) for p in range(39)]
     confirmed = E.permutation_p(observed, E.toroidal_null(pix, shifts, 48, 64), E.KEYS, 39)
     classed = E.classify(confirmed, E.Thresholds(core=0.65, local=0.45, evidence=0.03), with_q=True)
     truth = m.select("enh", "truth").distinct()
