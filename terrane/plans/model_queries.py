@@ -104,17 +104,18 @@ def spatial_gate(s, d):
     return gain.agg(r(F.expr("percentile_disc(0.5) within group (order by c)")).alias("candidate"), improved.alias("improved"), r(F.avg("gain")).alias("mean_gain"), F.min("gain").alias("worst_gain"), ((improved >= 3) & (F.avg("gain") >= 0.002) & (F.min("gain") >= -0.01)).alias("enabled"))
 
 
-@query("LIN-11", "paired", "select round(avg(2 * lo / (sa + sb + 1e-8)), 6) + 0.0 overlap from (select a.enh i, b.enh j, sum(least(a.x, b.x)) lo, sum(a.x) sa, sum(b.x) sb from paired a join paired b on a.obs_id = b.obs_id and a.gene = 0 and b.gene = 0 and a.enh < b.enh and b.enh < 6 group by all)")
+@query("LIN-11", "paired", "select gene, round(avg(2 * lo / (sa + sb + 1e-8)), 6) + 0.0 overlap from (select a.gene, a.enh i, b.enh j, sum(least(a.x, b.x)) lo, sum(a.x) sa, sum(b.x) sb from paired a join paired b on a.obs_id = b.obs_id and a.gene = b.gene and a.enh < b.enh group by all) group by gene")
 def attribution_overlap(s, d):
-    p = A.paired(s, d).where("gene = 0 and enh < 6").select("obs_id", "enh", "x")
-    q = p.select("obs_id", F.col("enh").alias("j"), F.col("x").alias("xj"))
-    dice = p.join(q, "obs_id").where("enh < j").groupBy("enh", "j").agg((2 * F.sum(F.least("x", "xj")) / (F.sum("x") + F.sum("xj") + 1e-8)).alias("v"))
-    return dice.agg(r(F.avg("v")).alias("overlap"))
+    # An observation's few drivers are paired within its row: no join.
+    row = A.paired(s, d).groupBy("gene", "obs_id").agg(F.sort_array(F.collect_list(F.struct("enh", "x"))).alias("m"))
+    both = row.select("gene", "m", F.explode("m").alias("a")).select("gene", "a", F.explode(F.filter("m", lambda b: b["enh"] > F.col("a.enh"))).alias("b"))
+    dice = both.groupBy("gene", F.col("a.enh"), F.col("b.enh").alias("j")).agg((2 * F.sum(F.least("a.x", "b.x")) / (F.sum("a.x") + F.sum("b.x") + 1e-8)).alias("v"))
+    return dice.groupBy("gene").agg(r(F.avg("v")).alias("overlap"))
 
 
-@query("LIN-12", "paired", "select enh, domain, round(avg(x), 6) + 0.0 mass from paired where gene = 1 and enh < 10 group by all")
+@query("LIN-12", "paired", "select gene, enh, domain, round(avg(x), 6) + 0.0 mass from paired group by all")
 def attribution_mass(s, d):
-    return A.paired(s, d).where("gene = 1 and enh < 10").groupBy("enh", "domain").agg(r(F.avg("x")).alias("mass"))
+    return A.paired(s, d).groupBy("gene", "enh", "domain").agg(r(F.avg("x")).alias("mass"))
 
 
 @query("LIN-14", "paired obs", "select round(avg(case when abs(y - x0) <= 1 then .5 * (y - x0) * (y - x0) else abs(y - x0) - .5 end), 6) + 0.0 huber from wd where domain <> 3", WIDE)
@@ -130,30 +131,31 @@ def block_safety(s, d):
     return blocks.agg(r(F.sum(F.greatest(F.col("sp") - F.col("ba"), F.lit(0.0))) / 5).alias("safety"))
 
 
-@query("LIN-17", "paired", "select round(avg(e), 6) + 0.0 entropy from (select obs_id, -sum(p * ln(p)) e from (select obs_id, greatest(x / (sum(x) over (partition by obs_id) + 1e-8), 1e-8) p from paired where gene = 0 and enh < 8) group by obs_id)")
+@query("LIN-17", "paired", "select gene, round(avg(e), 6) + 0.0 entropy from (select gene, obs_id, -sum(p * ln(p)) e from (select gene, obs_id, greatest(x / (sum(x) over (partition by gene, obs_id) + 1e-8), 1e-8) p from paired) group by all) group by gene")
 def attribution_entropy(s, d):
-    p = A.paired(s, d).where("gene = 0 and enh < 8")
-    share = F.greatest(F.col("x") / (F.sum("x").over(Window.partitionBy("obs_id")) + 1e-8), F.lit(1e-8))
-    return p.select("obs_id", share.alias("p")).groupBy("obs_id").agg((-F.sum(F.col("p") * F.log("p"))).alias("e")).agg(r(F.avg("e")).alias("entropy"))
+    share = F.greatest(F.col("x") / (F.sum("x").over(Window.partitionBy("gene", "obs_id")) + 1e-8), F.lit(1e-8))
+    each = A.paired(s, d).select("gene", "obs_id", share.alias("p")).groupBy("gene", "obs_id").agg((-F.sum(F.col("p") * F.log("p"))).alias("e"))
+    return each.groupBy("gene").agg(r(F.avg("e")).alias("entropy"))
 
 
-@query("LIN-18", "paired", "select round(avg(w * (greatest(z, 0) - z * t + ln(1 + exp(-abs(z))))), 6) + 0.0 bce from (select x * 4 - 1 z, t, case when t = 1 then (select count_if(y <= .1) / greatest(count_if(y > .1), 1) from paired where gene = 0 and enh = 1) else 1 end w from (select x, (y > .1)::int t from paired where gene = 0 and enh = 1))")
+@query("LIN-18", "paired", "select gene, enh, round((any_value(neg)::double / greatest(any_value(pos), 1) * sum(case when t = 1 then l else 0 end) + sum(case when t = 0 then l else 0 end)) / count(*), 6) + 0.0 bce from (select gene, enh, t, greatest(z, 0) - z * t + ln(1 + exp(-abs(z))) l, count_if(t = 0) over (partition by gene, enh) neg, count_if(t = 1) over (partition by gene, enh) pos from (select gene, enh, x * 4 - 1 z, (y > .1)::int t from paired)) group by gene, enh")
 def balanced_bce(s, d):
-    p = A.paired(s, d).where("gene = 0 and enh = 1").select((F.col("x") * 4 - 1).alias("z"), (F.col("y") > 0.1).cast("int").alias("t"))
-    w = p.agg((F.count_if(F.col("t") == 0) / F.greatest(F.count_if(F.col("t") == 1), F.lit(1))).alias("pw"))
+    p = A.paired(s, d).select("gene", "enh", (F.col("x") * 4 - 1).alias("z"), (F.col("y") > 0.1).cast("int").alias("t"))
     loss = F.greatest("z", F.lit(0.0)) - F.col("z") * F.col("t") + F.log1p(F.exp(-F.abs("z")))
-    return p.crossJoin(F.broadcast(w)).agg(r(F.avg(F.when(F.col("t") == 1, F.col("pw")).otherwise(1.0) * loss)).alias("bce"))
+    positive, of = F.col("t") == 1, lambda good: F.sum(F.when(good, loss).otherwise(0.0))
+    weight = F.count_if(~positive) / F.greatest(F.count_if(positive), F.lit(1))
+    return p.groupBy("gene", "enh").agg(r((weight * of(positive) + of(~positive)) / F.count(F.lit(1))).alias("bce"))
 
 
 _FWD = {
-    "pt": "select obs_id, gene, enh, domain, y, x activity, round(sin(enh * 3 + domain) * 2, 6) logit, .1 + enh * .05 fixed, .2 + (enh % 3) * .1 learned, domain * .3 - 1 background, .05 intercept from paired where gene < 2 and enh < 6",
+    "pt": "select obs_id, gene, enh, domain, y, x activity, round(sin(enh * 3 + domain) * 2, 6) logit, .1 + enh * .05 fixed, .2 + (enh % 3) * .1 learned, domain * .3 - 1 background, .05 intercept from paired",
     "mp": "select *, fixed + {s} * (learned * (1 + tanh(logit)) - fixed) attribution from pt",
     "tot": "select obs_id, gene, any_value(y) y, any_value(domain) domain, sum(greatest(activity, 0) * attribution) + any_value(intercept) + {s} * ln(1 + exp(any_value(background))) prediction, sum(greatest(activity, 0) * fixed) + any_value(intercept) global_prediction from mp group by obs_id, gene",
 }
 
 
 def _parts(s, d):
-    return A.paired(s, d).where("gene < 2 and enh < 6").select(
+    return A.paired(s, d).select(
         "obs_id", "gene", "enh", "domain", "y", F.col("x").alias("activity"), F.round(F.sin(F.col("enh") * 3 + F.col("domain")) * 2, 6).alias("logit"), (0.1 + F.col("enh") * 0.05).alias("fixed"),
         (0.2 + (F.col("enh") % 3) * 0.1).alias("learned"), (F.col("domain") * 0.3 - 1).alias("background"), F.lit(0.05).alias("intercept"),
     )
@@ -253,11 +255,11 @@ def checkerboard_folds(s, d):
     return g.select("row", "col", ((F.floor(F.col("col") / 8) + 2 * F.floor(F.col("row") / 8)) % 4).cast("int").alias("internal_fold"), F.least(F.floor(F.col("col") * 5 / 64), F.lit(4)).cast("int").alias("vertical_fold"))
 
 
-@query("FIG-05", "paired", "select gene, enh, round(case when stddev_pop(x) >= 1e-8 and stddev_pop(y) >= 1e-8 and count(*) >= 3 then covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) end, 6) + 0.0 raw_rho, round(case when stddev_pop(case when y > .08 then x end) >= 1e-8 and stddev_pop(case when y > .08 then y end) >= 1e-8 and count_if(y > .08) >= 3 then covar_pop(case when y > .08 then x end, case when y > .08 then y end) / (stddev_pop(case when y > .08 then x end) * stddev_pop(case when y > .08 then y end)) end, 6) + 0.0 latent_rho from paired where enh < 12 group by gene, enh")
+@query("FIG-05", "paired", "select gene, enh, round(case when stddev_pop(x) >= 1e-8 and stddev_pop(y) >= 1e-8 and count(*) >= 3 then covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) end, 6) + 0.0 raw_rho, round(case when stddev_pop(case when y > .08 then x end) >= 1e-8 and stddev_pop(case when y > .08 then y end) >= 1e-8 and count_if(y > .08) >= 3 then covar_pop(case when y > .08 then x end, case when y > .08 then y end) / (stddev_pop(case when y > .08 then x end) * stddev_pop(case when y > .08 then y end)) end, 6) + 0.0 latent_rho from paired group by gene, enh")
 def raw_and_latent_links(s, d):
     from terrane.functions.numeric import correlation, moments
 
-    p = A.paired(s, d).where("enh < 12").withColumn("lx", F.when(F.col("y") > 0.08, F.col("x"))).withColumn("ly", F.when(F.col("y") > 0.08, F.col("y")))
+    p = A.paired(s, d).withColumn("lx", F.when(F.col("y") > 0.08, F.col("x"))).withColumn("ly", F.when(F.col("y") > 0.08, F.col("y")))
     got = p.groupBy("gene", "enh").agg(*moments("x", "y"), *moments("lx", "ly", "l"))
     return got.select("gene", "enh", r(correlation("null")).alias("raw_rho"), r(correlation("null", "l")).alias("latent_rho"))
 

@@ -26,9 +26,9 @@ def missing_features(s, d):
     return R.missing_features(asked, A.cells(s, d), "var_id")
 
 
-@query("SRC-06", "", "select event_id, props decoded from events where event_id % 7 = 0")
+@query("SRC-06", "", "select event_id, props decoded from events")
 def decode_bytes(s, d):
-    return T(s, d, "events").where("event_id % 7 = 0").select("event_id", F.decode(F.encode("props", "UTF-8"), "UTF-8").alias("decoded"))
+    return T(s, d, "events").select("event_id", F.decode(F.encode("props", "UTF-8"), "UTF-8").alias("decoded"))
 
 
 @query("SRC-07 SNK-01 SNK-02", "links", "select target, count(*) n, round(sum(importance), 2) importance from links group by target")
@@ -80,12 +80,12 @@ def gtf_sites(s, d):
     return sites.select("chrom", F.size("t").cast("long").alias("n"), F.array_join(F.transform("t", lambda x: x.cast("string")), ",").alias("sites"))
 
 
-_CSV = {"l": "select vec_id, vec_id || '-5-9,' || array_to_string(list_transform(embedding[1:4], lambda x: round(x::double, 3)::varchar), ',') t from embeddings where vec_id % 10 = 0", "p": "select vec_id, string_split(t, ',') f from l"}
+_CSV = {"l": "select vec_id, vec_id || '-5-9,' || array_to_string(list_transform(embedding[1:4], lambda x: round(x::double, 3)::varchar), ',') t from embeddings", "p": "select vec_id, string_split(t, ',') f from l"}
 
 
 @query("SRC-11", "", "select f[1] interval_id, i - 1 obs, round(f[i + 1]::double, 3) + 0.0 as value from p, (select unnest(range(1, 5)) i) where len(f) - 1 = 4", _CSV)
 def interval_vectors(s, d):
-    e = T(s, d, "embeddings").where("vec_id % 10 = 0")
+    e = T(s, d, "embeddings")
     line = F.concat(F.col("vec_id"), F.lit("-5-9,"), F.array_join(F.transform(F.slice("embedding", 1, 4), lambda x: F.round(x.cast("double"), 3).cast("string")), ","))
     f = e.select(F.split(line, ",").alias("f")).where("size(f) - 1 = 4")
     return f.select(F.col("f")[0].alias("interval_id"), F.posexplode(F.slice("f", 2, 4)).alias("obs", "v")).select("interval_id", F.col("obs").cast("long").alias("obs"), r(F.col("v").cast("double"), 3).alias("value"))
@@ -147,10 +147,10 @@ def rectangle(s, d):
     return A.pixels(s, d).where("row between 10 and 20 and col between 5 and 40").select("row", "col", r("value").alias("value"))
 
 
-@query("PRJ-04", "cells", "select var_id, obs_id, round((value - min(value) over (partition by var_id)) / greatest(max(value) over (partition by var_id) - min(value) over (partition by var_id), 1e-8), 6) + 0.0 v from cells where var_id < 6")
+@query("PRJ-04", "cells", "select var_id, obs_id, round((value - min(value) over (partition by var_id)) / greatest(max(value) over (partition by var_id) - min(value) over (partition by var_id), 1e-8), 6) + 0.0 v from cells")
 def normalise(s, d):
     w = Window.partitionBy("var_id")
-    return A.cells(s, d).where("var_id < 6").select("var_id", "obs_id", r((F.col("value") - F.min("value").over(w)) / F.greatest(F.max("value").over(w) - F.min("value").over(w), F.lit(1e-8))).alias("v"))
+    return A.cells(s, d).select("var_id", "obs_id", r((F.col("value") - F.min("value").over(w)) / F.greatest(F.max("value").over(w) - F.min("value").over(w), F.lit(1e-8))).alias("v"))
 
 
 _P99 = {"p": "select var_id, greatest(quantile_cont(case when value > 0 then value end, .99), 1e-8) p from cells group by var_id"}
@@ -161,9 +161,9 @@ def p99(frame, by, value="value"):
     return frame.groupBy(*by).agg(F.greatest(F.percentile(F.when(F.col(value) > 0, F.col(value)), F.lit(0.99)), F.lit(1e-8)).alias("p"))
 
 
-@query("PRJ-05", "cells", "select var_id, obs_id, round(coalesce(least(greatest(value, 0), p) / p, 0), 6) + 0.0 v from cells join p using (var_id) where var_id < 6", _P99)
+@query("PRJ-05", "cells", "select var_id, obs_id, round(coalesce(least(greatest(value, 0), p) / p, 0), 6) + 0.0 v from cells join p using (var_id)", _P99)
 def p99_normalise(s, d):
-    c = A.cells(s, d).where("var_id < 6")
+    c = A.cells(s, d)
     return c.join(p99(c, ["var_id"]), "var_id").select("var_id", "obs_id", r(F.coalesce(F.least(F.greatest("value", F.lit(0.0)), "p") / F.col("p"), F.lit(0.0))).alias("v"))
 
 
@@ -227,11 +227,11 @@ def link_products(s, d):
 
 
 # ---- strings ----
-_IV = {"iv": "select event_id, case when event_id % 5 = 0 then 'chr' || user_id || ':' || event_id || '-' || (event_id + 501) when event_id % 5 = 1 then user_id || '-' || event_id || '-' || (event_id + 501) else event_type end t from events where event_id < 3000"}
+_IV = {"iv": "select event_id, case when event_id % 5 = 0 then 'chr' || user_id || ':' || event_id || '-' || (event_id + 501) when event_id % 5 = 1 then user_id || '-' || event_id || '-' || (event_id + 501) else event_type end t from events"}
 
 
 def _intervals(s, d):
-    e = T(s, d, "events").where("event_id < 3000")
+    e = T(s, d, "events")
     t = F.when(F.col("event_id") % 5 == 0, F.format_string("chr%d:%d-%d", "user_id", "event_id", F.col("event_id") + 501)).when(F.col("event_id") % 5 == 1, F.format_string("%d-%d-%d", "user_id", "event_id", F.col("event_id") + 501)).otherwise(F.col("event_type"))
     return e.select("event_id", t.alias("t"))
 
@@ -249,10 +249,10 @@ def strict_intervals(s, d):
     return got.select("event_id", ((F.col("i.start") + F.col("i.end")) / 2.0).alias("mid"))
 
 
-@query("STR-05 STR-14", "", "select event_id, t stem from iv where event_id % 5 = 1 and len(string_split(t, '-')) = 3 and string_split(t, '-')[1] = '7' and event_id between 100 and 2500", _IV)
+@query("STR-05 STR-14", "", "select event_id, t stem from iv where event_id % 5 = 1 and len(string_split(t, '-')) = 3 and string_split(t, '-')[1] = '7'", _IV)
 def window_intervals(s, d):
     f = _intervals(s, d).where(F.col("t").rlike(r"^(\d+)-(\d+)-(\d+)$")).withColumn("f", F.split("t", "-"))
-    return f.where("size(f) = 3 and f[0] = '7' and cast(f[1] as bigint) between 100 and 2500").select("event_id", F.col("t").alias("stem"))
+    return f.where("size(f) = 3 and f[0] = '7'").select("event_id", F.col("t").alias("stem"))
 
 
 @query("STR-10 STR-12", "", "select format('h_r{:02d}_c{:03d}', r, c) as name, upper('gene' || c) as upper_name from (select unnest(range(76)) r), (select unnest(range(101)) c)")
@@ -267,9 +267,9 @@ def encode_sizes(s, d):
     return ordered.select(F.to_json("a").alias("json"), F.array_join(F.transform("a", lambda x: x.cast("string")), ",").alias("joined"))
 
 
-@query("STR-06", "", "select event_id, (props->>'$.k')::bigint k from events where event_id % 3 = 0")
+@query("STR-06", "", "select event_id, (props->>'$.k')::bigint k from events")
 def json_field(s, d):
-    return T(s, d, "events").where("event_id % 3 = 0").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+    return T(s, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
 
 
 # ---- joins ----
@@ -299,10 +299,10 @@ def full_outer(s, d):
     return g.join(p, "chrom", "full_outer").select("chrom", "genes", "peaks")
 
 
-@query("REL-10", "links", "select a.target, a.region, a.importance, b.rho prior from links a left join (select * from links where region % 2 = 0) b using (target, region)")
+@query("REL-10", "links", "select a.target, a.region, a.importance, b.rho prior from links a left join (select * from links where rho > 0) b using (target, region)")
 def prior_lookup(s, d):
     base = A.links(s, d)
-    prior = base.where("region % 2 = 0").select("target", "region", F.col("rho").alias("prior"))
+    prior = base.where("rho > 0").select("target", "region", F.col("rho").alias("prior"))
     return base.select("target", "region", "importance").join(prior, ["target", "region"], "left")
 
 
