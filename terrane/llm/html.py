@@ -30,6 +30,10 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\
 _ATTRIBUTE = re.compile(r"(?:class|id|role|itemprop|aria-label|data-[\w-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _PART = re.compile(r"[a-z]+")
 RAW = frozenset("script style noscript textarea title template svg iframe object select option canvas math".split())
+#: Raw elements that run to the end of the page if they have no end tag; of others only the start tag and the text up to the next tag go.
+TO_THE_END = frozenset("script style textarea title".split())
+#: An option's end tag may be left out: it ends where the next one begins, or its list ends.
+_OPTION_END = re.compile(r"</option\b[^>]*(?:>|\Z)|(?=</?(?:optgroup|select|datalist)\b|<option\b)", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 #: Start tags that end an open paragraph.
@@ -84,7 +88,9 @@ def parse(source: str, page: int, nodes: Nodes, marked: str | None = None) -> No
     """Adds a page's block elements and text blocks. Raw elements and comments give nothing; tags that are
     cut off at the end are dropped. Texts that hold ``marked`` are labelled 1, and the mark goes."""
     root = nodes.add(page, -1, "body", 0)
-    stack: list[tuple[str, int]] = [("", root)]
+    # Tag, its node (-1: inline) and the node that owns what stands in it; how many of each tag are open.
+    stack: list[tuple[str, int, int]] = [("", root, root)]
+    opened: dict[str, int] = {}
     pieces: list[str] = []
     linked = anchors = 0
 
@@ -96,18 +102,23 @@ def parse(source: str, page: int, nodes: Nodes, marked: str | None = None) -> No
                 label = 0
                 if marked and marked in text:
                     label, text = 1, " ".join(text.replace(marked, " ").split())
-                owner = next(i for _, i in reversed(stack) if i >= 0)
-                nodes.add(page, owner, "#text", 0, text, min(linked, len(text)), label)
+                nodes.add(page, stack[-1][2], "#text", 0, text, min(linked, len(text)), label)
             pieces.clear()
             linked = 0
 
     def close(depth: int) -> None:
         nonlocal anchors
-        if any(i >= 0 for _, i in stack[depth:]):
+        if any(i >= 0 for _, i, _ in stack[depth:]):
             flush()
-        anchors -= sum(t == "a" for t, _ in stack[depth:])
+        for t, _, _ in stack[depth:]:
+            anchors -= t == "a"
+            opened[t] -= 1
         del stack[depth:]
 
+    def enter(tag: str, node: int) -> None:
+        stack.append((tag, node, node if node >= 0 else stack[-1][2]))
+        opened[tag] = opened.get(tag, 0) + 1
+
     at, size = 0, len(source)
     while at < size:
         m = _TOKEN.search(source, at)
@@ -124,7 +135,7 @@ def parse(source: str, page: int, nodes: Nodes, marked: str | None = None) -> No
         if not tag or (at == size and not m[0].endswith(">")):
             continue
         if m[1] or m[4]:
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if opened.get(tag) else ():
                 if stack[depth][0] == tag:
                     close(depth)
                     break
@@ -132,8 +143,13 @@ def parse(source: str, page: int, nodes: Nodes, marked: str | None = None) -> No
         tail = m[3] or m[6] or ""
         if tag in RAW:
             if not tail.endswith("/"):
-                end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(source, at)
-                at = end.end() if end else size
+                end = _OPTION_END.search(source, at) if tag == "option" else re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(source, at)
+                if end:
+                    at = end.end()
+                elif tag in TO_THE_END or (next_tag := source.find("<", at)) < 0:
+                    at = size
+                else:
+                    at = next_tag
             continue
         if tag == "br":
             pieces.append(" ")
@@ -144,13 +160,13 @@ def parse(source: str, page: int, nodes: Nodes, marked: str | None = None) -> No
             continue
         if tag in INLINE:
             anchors += tag == "a"
-            stack.append((tag, -1))
+            enter(tag, -1)
             continue
         if tag in ("html", "body", "head"):
             flush()
             continue
         flush()
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and opened.get("p"):
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth][0] == "p":
                     close(depth)
@@ -160,21 +176,25 @@ def parse(source: str, page: int, nodes: Nodes, marked: str | None = None) -> No
         if tag in SIBLINGS:
             ends, stops = SIBLINGS[tag]
             found = 0
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if any(opened.get(x) for x in ends) else ():
                 if stack[depth][0] in stops:
                     break
                 if stack[depth][0] in ends:
                     found = depth
             if found:
                 close(found)
-        owner = next(i for _, i in reversed(stack) if i >= 0)
-        stack.append((tag, nodes.add(page, owner, _KIND.get(tag, "other"), meanings(tail))))
+        enter(tag, nodes.add(page, stack[-1][2], _KIND.get(tag, "other"), meanings(tail)))
     flush()
 
 
 _STOPS = re.compile(r"[.!?;:]")
 
 
+def levels_of(depth: np.ndarray) -> list[np.ndarray]:
+    """The indexes of the nodes of each depth."""
+    return np.split(np.argsort(depth, kind="stable"), np.cumsum(np.bincount(depth))[:-1]) if len(depth) else []
+
+
 def describe(nodes: Nodes) -> np.ndarray:
     """Features of all nodes, rows in their order."""
     n = len(nodes.parent)
@@ -188,7 +208,7 @@ def describe(nodes: Nodes) -> np.ndarray:
     long = leaf & (words >= 12)
     is_p = (kind == KINDS.index("p")).astype(float)
     sums = np.stack([chars, words, stops, linked, leaf.astype(float), long.astype(float), is_p, np.ones(n)], axis=1)
-    inner = [np.flatnonzero(depth == d) for d in range(int(depth.max()) + 1)] if n else []
+    inner = levels_of(depth)
     for at in inner[:0:-1]:
         np.add.at(sums, parent[at], sums[at])
     # Meanings and telling tags of all ancestors, the node itself left out.
@@ -231,7 +251,7 @@ def decode(nodes: Nodes, margin: np.ndarray) -> np.ndarray:
     parent, depth = np.array(nodes.parent, np.int64), np.array(nodes.depth, np.int64)
     words = np.array([t.count(" ") + 1 if t else 0 for t in nodes.text], float)
     gain = np.clip(margin, -8, 8) * (1 + np.log1p(words))
-    levels = [np.flatnonzero(depth == d) for d in range(int(depth.max()) + 1)] if len(depth) else []
+    levels = levels_of(depth)
     for at in levels[:0:-1]:
         np.add.at(gain, parent[at], np.maximum(gain[at], 0))
     kept = gain > 0

@@ -86,3 +86,26 @@ def test_edges(spark):
     assert [t for i, t in got if i in (1, 2, 4)] == ["", "", ""] and len(got) == len(rows)
     assert len(next(t for i, t in got if i == 5)) == 60000 * 17 - 1
     assert H.extract_text(pages.limit(0)).count() == 0
+
+
+def test_deep_nesting_takes_proportional_time():
+    import time
+
+    from terrane.llm import html as H
+
+    forest = H.trained()
+    for tag, end in (("div", "</div>"), ("div", ""), ("b", ""), ("option", ""), ("p", ""), ("li", "")):
+        began = time.time()
+        H.main_texts([f"<{tag}>" * 60_000 + "words of some text" + end * 60_000], forest)
+        assert time.time() - began < 6, tag
+
+
+def test_raw_elements_without_an_end():
+    from terrane.llm import html as H
+
+    forest = H.trained()
+    body = " ".join(f"Sentence number {i} of an article that is long enough to be one." for i in range(20))
+    page = "<html><body><datalist><option value=a></datalist><article><p>{}</p></article><select><option>x</option></select></body></html>"
+    assert H.main_texts([page.format(body)], forest) == [body]
+    assert H.main_texts(["<body><iframe src=x><article><p>" + body + "</p></article>"], forest) == [body]
+    assert H.main_texts(["<body><script>var x = 1; <article><p>" + body + "</p></article>"], forest) == [""]
