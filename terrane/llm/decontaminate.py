@@ -74,12 +74,18 @@ def _item_fingerprints(items: DataFrame, short: list[int]) -> DataFrame:
     return long
 
 
-def _covered(spans: str) -> str:
-    """Number of positions in the union of half-open spans (s, e), sorted by start."""
-    return (
-        f"aggregate({spans}, struct(0L as n, 0 as upto), (a, x) -> struct(a.n + greatest(0, x.e - greatest(a.upto, x.s)) as n,"
-        " greatest(a.upto, x.e) as upto), a -> a.n)"
-    )
+def _runs(words: str, d: str) -> str:
+    """SQL for the runs (s, e) of document words ``w`` on diagonal ``d`` that hold whole windows of an item's words."""
+    differ = f"filter(sequence(0, size({words}) - 1), j -> not coalesce(get(w, {d} + j) = {words}[j], false))"
+    made = f"transform(sequence(1, size(c) - 1), i -> struct({d} + c[i - 1] + 1 as s, {d} + c[i] as e))"
+    return f"transform(array(concat(array(-1), {differ}, array(size({words})))), c -> filter({made}, r -> r.e - r.s >= least(size({words}), {SPAN})))[0]"
+
+
+def _joined(places: str) -> str:
+    """SQL for the runs (s, e; e past the end) of consecutive numbers among ``places``, which are sorted and distinct."""
+    starts = "filter(o, (x, k) -> k = 0 or o[k - 1] < x - 1)"
+    ends = "filter(o, (x, k) -> k = size(o) - 1 or o[k + 1] > x + 1)"
+    return f"transform(array({places}), o -> zip_with({starts}, {ends}, (x, y) -> struct(x as s, y + 1 as e)))[0]"
 
 
 def find_contamination(
@@ -107,27 +113,26 @@ def find_contamination(
 
     words = split_words(lower_ascii(F.col(text_col)))
     prints = _fingerprints(words, short, [F.col(id_col).alias("_0")], docs)
-    hits = (
+    hits = cut(
         prints.join(hint(index), "f")
         .select("_0", "key", (F.col("p") - F.col("q")).alias("diagonal")).distinct()
-        .join(fits, "key")
-        .groupBy("_0").agg(F.collect_list(F.struct("item", "diagonal", "words")).alias("_hits"))
+        .groupBy("_0", "key").agg(F.collect_list("diagonal").alias("d")).join(fits, "key")
+        .groupBy("_0").agg(F.collect_list(F.struct("item", "words", "d")).alias("_hits"))
     )
-    joined = docs.join(hits, docs[id_col].eqNullSafe(hits["_0"]), "left").drop("_0")
+    # Few hits go to where the texts are; more meet them in a shuffle.
+    weight = hits.agg(F.sum(F.expr("1 + aggregate(_hits, 0, (a, h) -> a + size(h.words) + size(h.d))"))).first()[0] or 0
+    here = F.broadcast(hits) if weight <= 4 * broadcast_rows else hits
+    joined = docs.join(here, docs[id_col].eqNullSafe(here["_0"]), "left").drop("_0")
     tokens = joined.withColumn("_w", split_words(lower_ascii(joined[text_col])))
-    cuts = tokens.withColumn("_hits", F.expr(
-        "transform(_hits, h -> struct(h.item as item, h.diagonal as d, least(size(h.words), %d) as least_run, concat(array(-1),"
-        " filter(sequence(0, size(h.words)-1), j -> not coalesce(get(_w, h.diagonal + j) = h.words[j], false)), array(size(h.words))) as cuts))" % SPAN
-    ))
-    runs = cuts.withColumn("_hits", F.expr(
-        "filter(transform(_hits, h -> struct(h.item as item, filter(transform(sequence(1, size(h.cuts)-1),"
-        " i -> struct(h.d + h.cuts[i-1] + 1 as s, h.d + h.cuts[i] as e)), r -> r.e - r.s >= h.least_run) as runs)), h -> size(h.runs) > 0)"
+    runs = tokens.withColumn("_hits", F.expr(
+        f"filter(transform(array(_w), w -> transform(_hits, h -> struct(h.item as item, flatten(transform(h.d, d -> {_runs('h.words', 'd')})) as runs)))[0], h -> size(h.runs) > 0)"
     ))
-    spans = runs.withColumn("_spans", F.expr("coalesce(array_sort(array_distinct(flatten(transform(_hits, h -> h.runs)))), array())"))
+    places = "array_sort(array_distinct(flatten(transform(flatten(transform(_hits, h -> h.runs)), r -> sequence(r.s, r.e - 1)))))"
+    spans = runs.withColumn("_places", F.expr(f"coalesce({places}, cast(array() as array<int>))"))
     value = F.struct(
         F.size("_w").cast("long").alias("n_words"),
-        F.expr(_covered("_spans")).alias("n_hit"),
-        F.col("_spans").alias("spans"),
+        F.size("_places").cast("long").alias("n_hit"),
+        F.expr(f"if(size(_places) > 0, {_joined('_places')}, cast(array() as array<struct<s:int,e:int>>))").alias("spans"),
         F.expr("coalesce(array_sort(array_distinct(filter(transform(_hits, h -> h.item), x -> x is not null))), cast(array() as array<string>))").alias("items"),
         F.expr("size(array_distinct(coalesce(transform(_hits, h -> h.item), cast(array() as array<string>))))").cast("long").alias("n_items"),
     )

@@ -75,3 +75,15 @@ def test_edges(spark, nasty):
     assert D.find_contamination(nasty.limit(0), bench).count() == 0
     none = D.find_contamination(nasty, bench.limit(0), out="c").agg(F.sum("c.n_hit")).first()[0]
     assert none == 0
+
+
+def test_repetitive_texts_take_proportional_time_and_spans_are_joined(spark):
+    import time
+
+    items = [(1, "zz " * 40), (2, "zz " * 14 + "q")]
+    began = time.time()
+    docs = spark.createDataFrame([(1, "zz " * 50_000), (2, "a " + "zz " * 20 + "b " + "zz " * 15 + "q c")], "doc_id long, text string")
+    got = {r.doc_id: r.c for r in D.find_contamination(docs, spark.createDataFrame(items, "item_id long, text string"), out="c").collect()}
+    assert time.time() - began < 30
+    assert [tuple(s) for s in got[1].spans] == [(0, 50_000)] and got[1].n_hit == 50_000 and got[1]["items"] == ["1", "2"]
+    assert [tuple(s) for s in got[2].spans] == [(1, 21), (22, 38)] and got[2].n_hit == 36
