@@ -38,7 +38,7 @@ tot as (select sum(n) na, sum(f)::double / sum(n) mean, count(*) k from hosts),
 sp as (select sum(n * pow(f::double / n - mean, 2)) / any_value(na) v, any_value(na) na, any_value(mean) mean, any_value(k) k from hosts, tot),
 pr as (select mean, least(1000.0::double, greatest(1.0::double, mean * (1 - mean) / greatest(v - mean * (1 - mean) * k / na, 1e-6) - 1)) s from sp),
 rt as (select source, n, s, (mean * s + f) / (s + n) rate from hosts, pr),
-st as (select source, rate - 2.0 * sqrt(rate * (1 - rate) / (s + n + 1)) > 0.5 strict from rt)
+st as (select source, rate - 2.0 * sqrt(rate * (1 - rate) / (s + n + 1)) > (select mean from pr) strict from rt)
 select doc_id, n_words::bigint n_words, word_chars::bigint word_chars, n_symbols::bigint n_symbols, n_dup_lines::bigint n_dup_lines,
        n_repeat_words::bigint n_repeat_words, base_failed, not base_failed and not (strict and soft) kept
 from f join st on f.source is not distinct from st.source
@@ -56,13 +56,22 @@ best as (select r, rule, verdict from (
   from p join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)) where k = 1),
 j as (select p.*, rule, verdict v from p left join best using (r)),
 o as (select host, sum(case when v = 'block' then 1.0::double else 0 end) bad, sum(case when v is null then 0.5::double else 1 end) n from j group by host),
-named as (select *, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') dom, string_split(host, '.')[-1] top from o),
+sfx as (select *, case when regexp_matches(array_to_string(list_slice(string_split(host, '.'), -2, -1), '.'), '^(ac|co|com|edu|go|gob|gov|gouv|mil|ne|net|nom|or|org|sch)\.[a-z][a-z]$')
+        then array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') else string_split(host, '.')[-1] end top from o),
+named as (select *, array_to_string(list_slice(string_split(host, '.'), case when contains(top, '.') then -3 else -2 end, -1), '.') dom from sfx),
 dom as (select dom, top, sum(bad) bad, sum(n) n from named group by all),
 top as (select top, sum(bad) bad, sum(n) n from dom group by top),
-tops as (select top, (bad + 10 * (select coalesce(sum(bad) / nullif(sum(n), 0), 0) from top)) / (n + 10) rate from top),
-doms as (select dom, (bad + 10 * rate) / (n + 10) rate from dom join tops using (top)),
-hosts as (select host, named.n, (bad + 10 * rate) / (named.n + 10) rate from named join doms using (dom)),
-bound as (select host, rate - 1.0 * sqrt(rate * (1 - rate) / (n + 11)) low from hosts)
+allp as (select sum(bad) bad, sum(n) n from top),
+pairs as (select 't' lvl, t.bad, t.n, a.bad pb, a.n pn from top t, allp a union all
+          select 'd', d.bad, d.n, t.bad, t.n from dom d join top t using (top) union all
+          select 'h', h.bad, h.n, d.bad, d.n from named h join dom d using (dom, top)),
+mom as (select lvl, sum(n * pow(bad / n - pb / pn, 2)) spread, sum(pb / pn * (1 - pb / pn) * (1 - n / pn)) chance,
+               sum(pb / pn * (1 - pb / pn) * (1 - n / pn) * greatest(n - 1, 0)) most from pairs where n > 0 and pn > 0 group by lvl),
+st as (select lvl, case when coalesce(most, 0) = 0 or spread <= chance then 1000.0::double else least(1000.0::double, greatest(1.0::double, most / (spread - chance) - 1)) end s from mom),
+tops as (select top, (bad + s * (select coalesce(bad / nullif(n, 0), 0) from allp)) / (n + s) rate from top, st where lvl = 't'),
+doms as (select dom, top, (bad + s * rate) / (n + s) rate from dom join tops using (top), st where lvl = 'd'),
+hosts as (select host, named.n, s, (bad + s * rate) / (named.n + s) rate from named join doms using (dom, top), st where lvl = 'h'),
+bound as (select host, rate - 1.0 * sqrt(rate * (1 - rate) / (s + n + 1)) low from hosts)
 select page_id, host, path, rule, coalesce(v, case when host <> '' and low > 0.5 then 'block' else 'allow' end) verdict
 from j left join bound using (host)
 """

@@ -2,8 +2,8 @@
 
 Every document is measured by fixed rules. Failures are then added up by host, each host's rate is
 shrunk by a beta prior fitted to all hosts (method of moments), and the host's verdict is joined
-back: documents of a host whose rate is surely high must pass the soft rules too; elsewhere only the
-base rules reject. A third of all rows may belong to one host: sums are formed on the map side, and
+back: documents of a host that surely fails more often than the corpus as a whole must pass the soft
+rules too; elsewhere only the base rules reject. A third of all rows may belong to one host: sums are formed on the map side, and
 the join back is left to adaptive execution, which splits a hot host's rows.
 """
 
@@ -20,8 +20,8 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 #: Soft rules: symbols per 100 words, repeated lines per 100 words, mean word length.
 MAX_SYMBOLS, MAX_DUP_LINES, WORD_CHARS = 10, 5, (2, 15)
-#: A host is strict when the posterior mean less Z posterior deviations exceeds this rate.
-STRICT_RATE, Z = 0.5, 2.0
+#: A host is strict when the posterior mean less Z posterior deviations exceeds the pooled rate.
+Z = 2.0
 MAX_STRENGTH, MIN_VARIANCE = 1000.0, 1e-6
 
 
@@ -83,7 +83,7 @@ def host_verdicts(measured: DataFrame) -> DataFrame:
     strength = min(MAX_STRENGTH, max(1.0, mean * (1 - mean) / extra - 1))
     return (
         hosts.withColumn("rate", (F.lit(mean * strength) + F.col("f")) / (F.lit(strength) + F.col("n")))
-        .withColumn("strict", F.col("rate") - Z * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.lit(strength) + F.col("n") + 1)) > STRICT_RATE)
+        .withColumn("strict", F.col("rate") - Z * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.lit(strength) + F.col("n") + 1)) > F.lit(mean))
         .select("host", "n", "f", "rate", "strict")
     )
 

@@ -2,7 +2,8 @@
 
 Pages that a rule fits are labelled outcomes. They are added up by host, and shrunk by a chain of
 beta-binomial priors: the suffix's rate has the pooled rate as its prior mean, the registered
-domain's the suffix's, and the host's the domain's. A page without a rule is blocked if the lower
+domain's the suffix's, and the host's the domain's. Each level's prior strength is fitted to the data:
+the less the rates of a level differ beyond chance, the more they are drawn to their parents'. A page without a rule is blocked if the lower
 posterior bound of its host's rate is above ``BLOCK_RATE``. Labels come from rules that may name one
 path of a host, so pages without a rule count as good by ``UNLABELLED``: a host isn't judged by its
 blocked path alone.
@@ -18,7 +19,10 @@ from terrane.operators.lineage import cut
 
 #: (rule, verdict): host, then the path that a url's path must start with.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-STRENGTH, UNLABELLED, BLOCK_RATE, Z = 10.0, 0.5, 0.5, 1.0
+UNLABELLED, BLOCK_RATE, Z = 0.5, 0.5, 1.0
+STRENGTHS = (1.0, 1000.0)
+#: Second labels that make a suffix of two labels with a country's label of two letters, as in co.uk (fixed values).
+SECOND_LABELS = ("ac", "co", "com", "edu", "go", "gob", "gov", "gouv", "mil", "ne", "net", "nom", "or", "org", "sch")
 
 
 def host_of(url: Column) -> Column:
@@ -44,25 +48,50 @@ def suffixes(host: str) -> str:
     return f"transform(sequence(1, size(split({host}, '[.]'))), i -> array_join(slice(split({host}, '[.]'), i, size(split({host}, '[.]'))), '.'))"
 
 
-def _shrunk(child: str, parent: str) -> str:
-    return f"({child}_bad + {STRENGTH} * {parent}) / ({child}_n + {STRENGTH})"
+def suffix_of(host: Column) -> Column:
+    """The last label, or the last two where they are a country's suffix such as co.uk."""
+    two = F.substring_index(host, ".", -2)
+    return F.when(two.rlike(rf"\A({'|'.join(SECOND_LABELS)})\.[a-z]{{2}}\z"), two).otherwise(F.substring_index(host, ".", -1))
+
+
+def domain_of(host: Column, suffix: Column) -> Column:
+    """The suffix and the label before it; a host without such a label is its own domain."""
+    return F.when(F.contains(suffix, F.lit(".")), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+
+
+def _strength(children: DataFrame) -> float:
+    """The beta prior's strength for rates (bad of n) around their parents' (parent_bad of parent_n), by moments.
+
+    The spread of the children's rates is compared with what chance gives at strength infinity and at 0.
+    """
+    rated = children.where("n > 0 and parent_n > 0").select("bad", "n", F.try_divide("bad", "n").alias("r"), F.try_divide("parent_bad", "parent_n").alias("m"), (1 - F.try_divide("n", "parent_n")).alias("free"))
+    v = F.col("m") * (1 - F.col("m")) * F.col("free")
+    spread, chance, most = rated.agg(F.sum(F.col("n") * F.pow(F.col("r") - F.col("m"), F.lit(2.0))), F.sum(v), F.sum(v * F.greatest(F.col("n") - 1, F.lit(0.0)))).first()
+    if not most or spread <= chance:
+        return STRENGTHS[1]
+    return min(STRENGTHS[1], max(STRENGTHS[0], most / (spread - chance) - 1))
 
 
 def reputation(outcomes: DataFrame) -> DataFrame:
     """From host, bad, n (doubles; one row per host): host, rate, lower, by the chain of priors.
 
-    The suffix is the last label, the registered domain the last two; a host of one label is its own
-    domain. Weight-free inputs (n = 0 everywhere) get a rate of 0.
+    Weight-free inputs (n = 0 everywhere) get a rate of 0.
     """
-    named = outcomes.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1))
-    domains = named.groupBy("domain", "suffix").agg(F.sum("bad").alias("domain_bad"), F.sum("n").alias("domain_n"))
-    tops = domains.groupBy("suffix").agg(F.sum("domain_bad").alias("suffix_bad"), F.sum("domain_n").alias("suffix_n"))
-    tops = cut(tops)
-    bad, n = tops.agg(F.sum("suffix_bad"), F.sum("suffix_n")).first()
-    tops = tops.select("suffix", F.expr(_shrunk("suffix", f"{bad / n if n else 0.0!r}D")).alias("suffix_rate"))
-    domains = domains.join(tops, "suffix").select("domain", F.expr(_shrunk("domain", "suffix_rate")).alias("domain_rate"))
-    rated = named.join(domains, "domain").withColumn("rate", F.expr(f"(bad + {STRENGTH} * domain_rate) / (n + {STRENGTH})"))
-    return rated.select("host", "rate", F.expr(f"rate - {Z} * sqrt(rate * (1 - rate) / (n + {STRENGTH} + 1))").alias("lower"))
+    named = outcomes.withColumn("suffix", suffix_of(F.col("host"))).withColumn("domain", domain_of(F.col("host"), F.col("suffix")))
+    sums = [F.sum("bad").alias("bad"), F.sum("n").alias("n")]
+    domains = cut(named.groupBy("domain", "suffix").agg(*sums))
+    tops = cut(domains.groupBy("suffix").agg(*sums))
+    bad, n = tops.agg(*sums).first()
+    bad, n = bad or 0.0, n or 0.0
+    parent = lambda frame: frame.withColumnsRenamed({"bad": "parent_bad", "n": "parent_n"})
+    of_tops = _strength(tops.select("*", F.lit(bad).alias("parent_bad"), F.lit(n).alias("parent_n")))
+    of_domains = _strength(domains.join(parent(tops), "suffix"))
+    of_hosts = _strength(named.join(parent(domains), ["domain", "suffix"]))
+    shrunk = lambda mean, strength: (F.col("bad") + strength * mean) / (F.col("n") + strength)
+    top_rates = tops.select("suffix", shrunk(F.lit(bad / n if n else 0.0), of_tops).alias("suffix_rate"))
+    domain_rates = domains.join(top_rates, "suffix").select("domain", "suffix", shrunk(F.col("suffix_rate"), of_domains).alias("domain_rate"))
+    rated = named.join(domain_rates, ["domain", "suffix"]).withColumn("rate", shrunk(F.col("domain_rate"), of_hosts))
+    return rated.select("host", "rate", F.expr(f"rate - {Z} * sqrt(rate * (1 - rate) / (n + {of_hosts + 1!r}D))").alias("lower"))
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:

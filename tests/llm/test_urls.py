@@ -19,11 +19,43 @@ def test_hosts_paths_and_rules(spark):
     assert {r.verdict for r in none} == {"allow"}
 
 
+def strength(children):
+    """The prior's strength for (bad, n) around (parent's bad, parent's n), by moments."""
+    spread = chance = most = 0.0
+    for bad, n, parent_bad, parent_n in children:
+        m, free = parent_bad / parent_n, 1 - n / parent_n
+        spread += n * (bad / n - m) ** 2
+        chance += m * (1 - m) * free
+        most += m * (1 - m) * free * max(n - 1, 0)
+    return 1000.0 if not most or spread <= chance else min(1000.0, max(1.0, most / (spread - chance) - 1))
+
+
 def test_reputation_follows_the_chain(spark):
-    rows = [("a.x.com", 90.0, 100.0), ("b.x.com", 0.0, 0.0), ("y.com", 0.0, 100.0), ("z.org", 0.0, 50.0)]
-    got = {r.host: r for r in U.reputation(spark.createDataFrame(rows, "host string, bad double, n double")).collect()}
-    pooled = 90 / 250
-    com = (90 + 10 * pooled) / 210
-    x = (90 + 10 * com) / 110
-    assert abs(got["b.x.com"].rate - x) < 1e-12 and abs(got["a.x.com"].rate - (90 + 10 * x) / 110) < 1e-12
-    assert got["a.x.com"].lower > 0.5 and got["y.com"].rate < got["b.x.com"].rate
+    hosts = {"a.x.com": (90.0, 100.0), "b.x.com": (30.0, 40.0), "x.com": (28.0, 40.0), "y.com": (0.0, 100.0), "w.y.com": (3.0, 60.0), "z.org": (0.0, 50.0), "a.b.co.uk": (5.0, 9.0), "c.co.uk": (0.0, 9.0)}
+    parents = {"a.x.com": ("x.com", "com"), "b.x.com": ("x.com", "com"), "x.com": ("x.com", "com"), "y.com": ("y.com", "com"), "w.y.com": ("y.com", "com"), "z.org": ("z.org", "org"), "a.b.co.uk": ("b.co.uk", "co.uk"), "c.co.uk": ("c.co.uk", "co.uk")}
+    domains, tops = {}, {}
+    for h, (b, n) in hosts.items():
+        for level, key in ((domains, parents[h]), (tops, parents[h][1])):
+            was = level.get(key, (0.0, 0.0))
+            level[key] = (was[0] + b, was[1] + n)
+    total = tuple(map(sum, zip(*tops.values())))
+    s_top = strength([(*t, *total) for t in tops.values()])
+    s_domain = strength([(*d, *tops[k[1]]) for k, d in domains.items()])
+    s_host = strength([(*v, *domains[parents[h]]) for h, v in hosts.items()])
+    assert 1 < s_host < 1000
+    got = {r.host: r for r in U.reputation(spark.createDataFrame([(h, *v) for h, v in hosts.items()], "host string, bad double, n double")).collect()}
+    for h, (b, n) in hosts.items():
+        t, d = tops[parents[h][1]], domains[parents[h]]
+        rate = (t[0] + s_top * total[0] / total[1]) / (t[1] + s_top)
+        rate = (d[0] + s_domain * rate) / (d[1] + s_domain)
+        rate = (b + s_host * rate) / (n + s_host)
+        assert abs(got[h].rate - rate) < 1e-9 and abs(got[h].lower - rate + (rate * (1 - rate) / (n + s_host + 1)) ** 0.5) < 1e-9
+
+
+def test_reputation_decides_where_no_rule_fits(spark):
+    rules = U.rule_table(spark, (("spam.com/a/", "block"), ("good.com/", "allow"), ("net/x/", "block")))
+    rows = [("http://spam.com/a/1", 60), ("http://spam.com/b/1", 3), ("http://www.spam.com/c", 1), ("http://good.com/1", 80), ("http://fine.org/1", 30), ("http://one.net/x/", 1), ("http://one.net/y/", 9)]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(u for u, n in rows for _ in range(n))], "page_id long, url string")
+    got = {(r.host, r.path): r for r in U.filter_urls(pages, rules).collect()}
+    assert got["spam.com", "/b/1"].rule is None and got["spam.com", "/b/1"].verdict == "block"
+    assert got["fine.org", "/1"].verdict == "allow" and got["one.net", "/y/"].verdict == "allow" and got["good.com", "/1"].verdict == "allow"
