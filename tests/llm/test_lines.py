@@ -97,7 +97,7 @@ def test_verified_links_are_similar(spark):
     docs = spark.createDataFrame(rows, "id long, text string")
     from pyspark.sql import functions as F
 
-    links = L.near_equal(store(L._signed(docs)))
+    links = L.near_equal(docs, store(L._signed(docs)))
     texts = {content(x) for _, t in rows for x in t.split("\n")}
     named = {r.h: r.x for r in spark.createDataFrame([(x,) for x in texts], "x string").select("x", F.xxhash64("x").alias("h")).collect()}
     for r in links.collect():
@@ -198,13 +198,13 @@ def test_crowded_keys_are_compared_wholly(spark):
     from pyspark.sql import functions as F
 
     r = random.Random(13)
-    pairs = similar_pairs(r, 10, 40, 60)
+    pairs = similar_pairs(r, 10, 40, 80)
     lines = [x for p in pairs for x in p]
     docs = spark.createDataFrame(list(enumerate(lines)), "id long, text string")
     # One key for all.
     signed = store(L._signed(docs).withColumn("keys", F.array(F.lit(1).cast("long"))))
     named = {q.id: q.h for q in signed.collect()}
-    links = {(q.u, q.v) for q in L.near_equal(signed).collect()}
+    links = {(q.u, q.v) for q in L.near_equal(docs, signed).collect()}
     assert links == {tuple(sorted((named[2 * i], named[2 * i + 1]))) for i in range(len(pairs))}
 
 
@@ -213,7 +213,7 @@ def test_keys_that_banding_does_not_part(spark):
     r = random.Random(14)
     base = [prose(r, 1) for _ in range(30)]
     lines = []
-    for i in range(60):
+    for i in range(150):
         w = list(base)
         for k in r.sample(range(30), 5):
             w[k] = prose(r, 1)
@@ -232,3 +232,27 @@ def test_repetitive_long_lines(spark):
     lines = ["ab " * 900, "ab " * 300 + "ab", "abcdefgh " * 500, "abcdefgh " * 100, "x" * 5000, "x" * 4000, prose(random.Random(1), 3000)]
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     assert {q.doc_id for q in L.dedup_lines(docs, out="d").collect() if q.d.n_removed} == {1, 3, 5}
+
+
+def test_sketches_tell_near_equal_lines(spark):
+    import pyarrow as pa
+
+    from terrane.llm import shingles
+
+    r = random.Random(15)
+    pairs = [p for low, high in ((1, 6), (7, 30), (30, 200), (200, 2000)) for p in similar_pairs(r, low, high, 150)]
+    _, times, s, t, _ = (x.to_pylist() for x in shingles.signed(pa.array([x for p in pairs for x in p])))
+    bits = [((s[i] ^ s[i + 1]) & (1 << 64) - 1).bit_count() + ((t[i] ^ t[i + 1]) & (1 << 64) - 1).bit_count() for i in range(0, len(s), 2) if times[i] == times[i + 1]]
+    assert len(bits) > 500 and max(bits) <= L.MOST_BITS
+
+
+def test_similarity_is_exact():
+    import pyarrow as pa
+
+    from terrane.llm import shingles
+
+    r = random.Random(16)
+    pairs = [(a, b) for low, high in ((1, 6), (7, 30), (100, 400)) for a, b in similar_pairs(r, low, high, 60)]
+    pairs += [(a, varied(r, varied(r, varied(r, a)))) for a, _ in pairs] + [("", "x"), ("😀" * 7, "😀" * 6), ("abcd", "abcd"), ("abcd", "abcde")]
+    got = shingles.alike(pa.array([a for a, _ in pairs]), pa.array([b for _, b in pairs]), 0.8)
+    assert got.tolist() == [similarity(a, b) >= 0.8 for a, b in pairs]
