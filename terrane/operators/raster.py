@@ -7,6 +7,7 @@ copied nine times; larger kernels are one equi join a direction with a small tab
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -99,16 +100,25 @@ def gaussian(frame: DataFrame, sigma: float, size: tuple[int, int], mode: str =
 
 
 def components(hot: DataFrame, cols: int, rows: int, by: list[str] | None = None) -> DataFrame:
-    """by, row, col, component: 8-connected components of the hot pixels, named by their least pixel."""
+    """by, row, col, component: 8-connected components of the hot pixels, named by their least pixel.
+
+    Groups are numbered, so that no two share a node's id; null is a group of its own.
+    """
     by = by or []
     cell = F.col("row").cast("bigint") * cols + F.col("col")
-    group = F.xxhash64(*by).bitwiseAND(F.lit((1 << 30) - 1)) * (rows * cols) if by else F.lit(0)
-    named = cut(hot.select(*by, "row", "col", (group + cell).alias("id")))
+    if by:
+        numbers = cut(hot.select(*[F.col(c).alias(f"_{c}") for c in by]).distinct().withColumn("_group", F.monotonically_increasing_id()))
+        here = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+        grouped = hot.join(numbers, here)
+    else:
+        grouped = hot.withColumn("_group", F.lit(0).cast("bigint"))
+    named = cut(grouped.select(*by, "_group", "row", "col", (F.col("_group") * (rows * cols) + cell).alias("id")))
     ahead = F.explode(F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr, dc in ((0, 1), (1, -1), (1, 0), (1, 1))]))
-    asked = named.select(*by, "id", "row", "col", ahead.alias("o")).select(*by, F.col("id").alias("u"), (F.col("row") + F.col("o.dr")).alias("row"), (F.col("col") + F.col("o.dc")).alias("col"))
-    edges = asked.join(named.withColumnRenamed("id", "v"), [*by, "row", "col"]).select("u", "v")
+    asked = named.select("_group", "id", "row", "col", ahead.alias("o")).select("_group", F.col("id").alias("u"), (F.col("row") + F.col("o.dr")).alias("row"), (F.col("col") + F.col("o.dc")).alias("col"))
+    edges = asked.join(named.select("_group", "row", "col", F.col("id").alias("v")), ["_group", "row", "col"]).select("u", "v")
     groups = connected_components(edges)
-    return named.join(groups, named["id"] == groups["node"], "left").select(*by, "row", "col", F.coalesce("component", "id").alias("component"))
+    least = F.coalesce("component", "id") - F.col("_group") * (rows * cols)
+    return named.join(groups, named["id"] == groups["node"], "left").select(*by, "row", "col", least.alias("component"))
 
 
 def component_stats(comps: DataFrame, by: list[str] | None = None) -> DataFrame:

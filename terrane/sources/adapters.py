@@ -20,14 +20,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def observations(spark: SparkSession, folder: str) -> DataFrame:
-    """obs_id, x, y, z, label, domain: the domain is a 2 by 3 grid over the bounds of y and x."""
+def _placed(spark: SparkSession, folder: str) -> DataFrame:
+    """obs_id, x, y, z, label, domain, embedding: bounds are one row, laid beside the scan."""
     base = table(spark, folder, "embeddings").select(
-        F.col("vec_id").alias("obs_id"), *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate("xyz")], "label"
+        F.col("vec_id").alias("obs_id"), *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate("xyz")], "label", "embedding"
     )
     bounds = base.agg(*[f(c).alias(f"{n}_{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))])
     cell = lambda c, k: F.least(F.floor((F.col(c) - F.col(f"lo_{c}")) / (F.col(f"hi_{c}") - F.col(f"lo_{c}")) * k), F.lit(k - 1))
-    return base.crossJoin(F.broadcast(bounds)).select("obs_id", "x", "y", "z", "label", (cell("y", 2) * 3 + cell("x", 3)).cast("int").alias("domain"))
+    return base.crossJoin(F.broadcast(bounds)).select("obs_id", "x", "y", "z", "label", (cell("y", 2) * 3 + cell("x", 3)).cast("int").alias("domain"), "embedding")
+
+
+def observations(spark: SparkSession, folder: str) -> DataFrame:
+    """obs_id, x, y, z, label, domain: the domain is a 2 by 3 grid over the bounds of y and x."""
+    return _placed(spark, folder).drop("embedding")
 
 
 def cells(spark: SparkSession, folder: str) -> DataFrame:
@@ -44,10 +49,9 @@ def targets(spark: SparkSession, folder: str) -> DataFrame:
 def paired(spark: SparkSession, folder: str) -> DataFrame:
     """obs_id, domain, gene, enh, x, y: every driver of every gene at every observation, planted ones included.
 
-    Both sides come from the same row's array, so pairing is two explodes and no join.
+    Both sides come from the same row's array, so pairing is two explodes and no join but with the bounds.
     """
-    base = table(spark, folder, "embeddings").select(F.col("vec_id").alias("obs_id"), "embedding")
-    rows = base.join(observations(spark, folder).select("obs_id", "domain"), "obs_id")
+    rows = _placed(spark, folder).select("obs_id", "domain", "embedding")
     genes = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(GENES - 1))).alias("gene"))
     both = genes.select("*", F.explode(F.sequence(F.lit(0), F.lit(VARS - FIRST_DRIVER - 1))).alias("enh"))
     y = F.greatest(F.get("embedding", F.col("gene") + FIRST_GENE).cast("double"), F.lit(0.0))
