@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.operators import raster as S
-from terrane.operators.lineage import cut
-
 #: Distinct rounded values that a mixture is fitted to, at most.
 MAX_VALUES = 200_000
 
@@ -38,46 +36,106 @@ def mixture(counts: DataFrame, rounds: int = 100) -> dict[str, float]:
     return {f"{k}_{name}": float(v[i]) for name, i in (("low", low), ("high", high)) for k, v in (("mu", mu), ("sd", sd), ("w", w))}
 
 
-def _neighbours() -> F.Column:
-    return F.explode(F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in ((0, 1), (0, -1), (1, 0), (-1, 0))]))
-
+def _rasters(grid: DataFrame, size: tuple[int, int], by: list[str], solve, out: str) -> DataFrame:
+    """by, row, col, v and column ``out`` (double; null where ``solve`` gives NaN) of each raster.
 
-def random_walker(grid: DataFrame, bright: float, dark: float, beta: float, rounds: int) -> DataFrame:
-    """row, col, v, p: Jacobi steps for the probability of meeting bright seeds first; seeds are fixed."""
-    limits = grid.agg(F.percentile("v", F.lit(bright)).alias("hi"), F.percentile("v", F.lit(dark)).alias("lo"))
-    now = cut(grid.crossJoin(F.broadcast(limits)).select("row", "col", "v", F.when(F.col("v") >= F.col("hi"), 1.0).when(F.col("v") <= F.col("lo"), 0.0).alias("fixed")))
-    asked = now.select("row", "col", F.col("v").alias("v0"), _neighbours().alias("o")).select(F.col("row").alias("r0"), F.col("col").alias("c0"), "v0", (F.col("row") + F.col("o.dr")).alias("row"), (F.col("col") + F.col("o.dc")).alias("col"))
-    edges = cut(asked.join(now.select("row", "col", "v"), ["row", "col"]).select("r0", "c0", "row", "col", F.exp(-beta * (F.col("v0") - F.col("v")) ** 2).alias("w")))
-    state = now.withColumn("p", F.coalesce("fixed", F.lit(0.5)))
-    for k in range(rounds):
-        mean = edges.join(state.select("row", "col", "p"), ["row", "col"]).groupBy(F.col("r0").alias("row"), F.col("c0").alias("col")).agg((F.sum(F.col("w") * F.col("p")) / F.sum("w")).alias("q"))
-        state = now.join(mean, ["row", "col"], "left").select("row", "col", "v", "fixed", F.coalesce("fixed", "q", F.lit(0.0)).alias("p"))
-        if k % 4 == 3:
-            state = cut(state)
-    return state
+    solve: from the values and whether there is a pixel, as arrays, to an array. A raster is bounded by its
+    size and is worked on in one task; rasters are dealt over all tasks.
+    """
 
+    def work(frame: pd.DataFrame) -> pd.DataFrame:
+        v, there = np.zeros(size), np.zeros(size, bool)
+        at = frame["row"].to_numpy(), frame["col"].to_numpy()
+        v[at], there[at] = frame["v"], True
+        return frame.assign(**{out: solve(v, there)[at]})
 
-def _dilate(mask: DataFrame, column: str) -> DataFrame:
-    return S.square_sum(mask, value=column, out="_s").withColumn(column, (F.col("_s") > 0).cast("int")).drop("_s")
+    kinds = ", ".join(f"`{c}` {grid.schema[c].dataType.simpleString()}" for c in [*by, "row", "col", "v"])
+    rows = grid.where("v is not null and not isnan(v)").select(*by, "row", "col", "v")
+    return rows.groupBy(*by).applyInPandas(work, f"{kinds}, {out} double").withColumn(out, F.nanvl(out, F.lit(None).cast("double")))
 
 
-def _erode(mask: DataFrame, column: str) -> DataFrame:
-    return S.square_sum(mask, value=column, out="_s").withColumn(column, (F.col("_s") == 9).cast("int")).drop("_s")
+def _scaled(v: np.ndarray, there: np.ndarray) -> np.ndarray:
+    low, high = v[there].min(), v[there].max()
+    return np.where(there, (v - low) / max(high - low, 1e-8), 0.0)
 
 
-def active_contour(grid: DataFrame, seed: float, cap: float, edge: float, rounds: int) -> DataFrame:
-    """row, col of a mask grown from bright seeds over capped pixels with weak gradients, closed in each round."""
-    from pyspark.sql.window import Window
+def walk(v: np.ndarray, there: np.ndarray, bright: float, dark: float, beta: float, tolerance: float = 1e-10) -> np.ndarray:
+    """Probability that a random walk on the pixels meets a bright seed before a dark one.
 
-    slope = lambda a, b: (F.coalesce(F.lead("v").over(Window.partitionBy(b).orderBy(a)), F.col("v")) - F.coalesce(F.lag("v").over(Window.partitionBy(b).orderBy(a)), F.col("v"))) / 2
-    sloped = cut(grid.withColumn("e", F.sqrt(slope("row", "col") ** 2 + slope("col", "row") ** 2)))
-    limits = sloped.agg(F.percentile("v", F.lit(seed)).alias("hi"), F.percentile("v", F.lit(cap)).alias("lo"), F.percentile("e", F.lit(edge)).alias("te"))
-    state = cut(sloped.crossJoin(F.broadcast(limits)).select("row", "col", (F.col("v") >= F.col("hi")).cast("int").alias("m"), ((F.col("v") >= F.col("lo")) & (F.col("e") <= F.col("te"))).alias("ok"), (F.col("v") >= F.col("lo")).alias("candidate")))
+    Steps across a difference d of the scaled values weigh exp(-beta d^2). Seeds are fixed; the others' linear
+    system is symmetric and positive, and solved by conjugate gradients. Pixels that no seed reaches get 0.
+    """
+    scaled = _scaled(v, there)
+    one = there & (scaled >= np.quantile(scaled[there], bright))
+    zero = there & (scaled <= np.quantile(scaled[there], dark)) & ~one
+    free = there & ~one & ~zero
+    right = np.exp(-beta * (scaled[:, 1:] - scaled[:, :-1]) ** 2) * (there[:, 1:] & there[:, :-1])
+    down = np.exp(-beta * (scaled[1:] - scaled[:-1]) ** 2) * (there[1:] & there[:-1])
+
+    def around(x):
+        total = np.zeros_like(x)
+        total[:, :-1] += right * x[:, 1:]
+        total[:, 1:] += right * x[:, :-1]
+        total[:-1] += down * x[1:]
+        total[1:] += down * x[:-1]
+        return total
+
+    degree = np.maximum(around(np.ones(v.shape)), 1e-300)
+    p = np.zeros(v.shape)
+    left = np.where(free, around(one.astype(float)), 0.0)
+    ready = left / degree
+    step, size = ready.copy(), (left * ready).sum()
+    target = tolerance**2 * max(size, 1e-300)
+    for _ in range(20 * free.sum()):
+        if size <= target:
+            break
+        pulled = np.where(free, degree * step - around(step), 0.0)
+        length = size / (step * pulled).sum()
+        p += length * step
+        left -= length * pulled
+        ready = left / degree
+        size, before = (left * ready).sum(), size
+        step = ready + size / before * step
+    return np.where(one, 1.0, np.where(there, p, np.nan))
+
+
+def random_walker(grid: DataFrame, size: tuple[int, int], bright: float = 0.95, dark: float = 0.55, beta: float = 25.0, least: float = 0.7, gate: float = 0.82, by: list[str] | None = None) -> DataFrame:
+    """by, row, col, v, p of the pixels whose walks meet bright seeds first with ``least`` or more, and that are in the values' top part (``gate``)."""
+    by = by or []
+
+    def solve(v, there):
+        p = walk(v, there, bright, dark, beta)
+        return np.where(there & (p >= least) & (v >= np.quantile(v[there], gate)), p, np.nan)
+
+    return _rasters(grid, size, by, solve, "p").where("p is not null")
+
+
+def _square(mask: np.ndarray, every: bool) -> np.ndarray:
+    """Dilation by a 3 by 3 square, or erosion (``every``); beyond the grid nothing is set."""
+    padded = np.pad(mask, 1)
+    shifted = [padded[i : i + mask.shape[0], j : j + mask.shape[1]] for i in range(3) for j in range(3)]
+    return np.logical_and.reduce(shifted) if every else np.logical_or.reduce(shifted)
+
+
+def contour(v: np.ndarray, there: np.ndarray, seed: float, cap: float, edge: float, rounds: int) -> np.ndarray:
+    """A mask grown from bright seeds over capped pixels with weak gradients, closed in each round, until it stands still."""
+    slope = np.hypot(*np.gradient(np.where(there, v, 0.0)))
+    capped = there & (v >= np.quantile(v[there], cap))
+    weak = capped & (slope <= np.quantile(slope[there], edge))
+    mask = there & (v >= np.quantile(v[there], seed))
     for _ in range(rounds):
-        grown = _dilate(state.withColumn("d", F.col("m")), "d").withColumn("m", F.greatest("m", (F.col("d").cast("boolean") & F.col("ok")).cast("int"))).drop("d")
-        closed = _erode(_dilate(grown, "m"), "m")
-        state = cut(closed.withColumn("m", (F.col("m").cast("boolean") & F.col("candidate")).cast("int")))
-    return state.where("m = 1").select("row", "col")
+        grown = mask | (_square(mask, every=False) & weak)
+        if (grown == mask).all():
+            break
+        mask = _square(_square(grown, every=False), every=True) & capped
+    return mask
+
+
+def active_contour(grid: DataFrame, size: tuple[int, int], seed: float = 0.95, cap: float = 0.84, edge: float = 0.70, rounds: int = 20, by: list[str] | None = None) -> DataFrame:
+    """by, row, col of each raster's ``contour``."""
+    by = by or []
+    solve = lambda v, there: np.where(contour(v, there, seed, cap, edge, rounds), 1.0, np.nan)
+    return _rasters(grid, size, by, solve, "m").where("m is not null").select(*by, "row", "col")
 
 
 def diffusion_clusters(smooth: DataFrame, weight: float = 0.55) -> DataFrame:

@@ -193,20 +193,26 @@ def mixture_mask(s, d):
     return g.withColumn("posterior", p[1] / (p[0] + p[1] + 1e-12)).where("posterior >= 0.5").select("row", "col", r("posterior").alias("posterior"))
 
 
+def _largest(mask):
+    """The pixels of the two largest components of a mask."""
+    return S.keep_largest(S.components(mask.select("row", "col"), COLS, ROWS)).select("row", "col")
+
+
 @query("SPA-20")
 def random_walker_mask(s, d):
-    """Probability of reaching the bright seeds before the dark ones, by Jacobi steps on the pixel graph."""
+    """Probability of reaching the bright seeds before the dark ones, solved on the pixel graph; the largest components."""
     from terrane.operators.masks import random_walker
 
-    return random_walker(_wave(s, d), 0.95, 0.55, 0.05, 12).where("p >= 0.7").select("row", "col", r("p", 4).alias("p"))
+    found = random_walker(_wave(s, d), (ROWS, COLS))
+    return found.join(_largest(found), ["row", "col"]).select("row", "col", r("p", 4).alias("p"))
 
 
 @query("SPA-21")
 def active_contour_mask(s, d):
-    """Seeds grown over weak gradients, and closed, a few times."""
+    """Seeds grown over weak gradients, and closed, up to twenty times; the largest components."""
     from terrane.operators.masks import active_contour
 
-    return active_contour(_wave(s, d), 0.95, 0.84, 0.70, 4)
+    return _largest(active_contour(_wave(s, d), (ROWS, COLS)))
 
 
 @query("SPA-22")

@@ -264,3 +264,39 @@ def test_command_line(spark, capsys):
     assert set(COMMANDS.values()) <= set(catalogue.QUERIES)
     with pytest.raises(SystemExit):
         main(["run", "no_such_query", "x"])
+
+
+def test_random_walk_probabilities_are_harmonic():
+    from terrane.operators.masks import walk
+
+    r = np.random.default_rng(3)
+    v, there = r.normal(size=(14, 17)).cumsum(0).cumsum(1), r.random((14, 17)) > 0.1
+    beta, p = 25.0, walk(v, there, 0.9, 0.4, 25.0)
+    scaled = (v - v[there].min()) / (v[there].max() - v[there].min())
+    hi, lo = np.quantile(scaled[there], 0.9), np.quantile(scaled[there], 0.4)
+    assert np.isnan(p[~there]).all()
+    for i, j in np.argwhere(there):
+        if scaled[i, j] >= hi or scaled[i, j] <= lo:
+            assert p[i, j] == (scaled[i, j] >= hi)
+            continue
+        near = [(a, b) for a, b in ((i - 1, j), (i + 1, j), (i, j - 1), (i, j + 1)) if 0 <= a < 14 and 0 <= b < 17 and there[a, b]]
+        w = [np.exp(-beta * (scaled[i, j] - scaled[x]) ** 2) for x in near]
+        assert abs(p[i, j] - (np.dot(w, [p[x] for x in near]) / sum(w) if near else 0)) < 1e-6
+
+
+def test_contour_grows_within_its_bounds():
+    from terrane.operators.masks import contour
+
+    y, x = np.indices((40, 50))
+    v = np.exp(-((y - 20) ** 2 + (x - 25) ** 2) / 120.0)
+    there = np.ones(v.shape, bool)
+    mask, few = contour(v, there, 0.95, 0.84, 0.7, 20), contour(v, there, 0.95, 0.84, 0.7, 1)
+    assert (mask[few]).all() and mask.sum() >= few.sum() >= 0.05 * v.size and (v[mask] >= np.quantile(v, 0.84)).all()
+
+
+def test_components_of_groups_that_a_hash_could_mix(spark):
+    from terrane.operators import raster as S
+
+    rows = [(g, 0, c) for g in range(40) for c in (0, 1, 3)]
+    got = S.components(spark.createDataFrame(rows, "gene int, row int, col int"), 5, 4, by=["gene"]).collect()
+    assert {(x.gene, x.col, x.component) for x in got} == {(g, c, 0 if c < 2 else 3) for g, _, c in rows}
