@@ -58,10 +58,25 @@ def squared_error(g: np.ndarray, w: np.ndarray, b: float) -> float:
     return float(v @ g @ v / max(g[0, 0], 1))
 
 
-def nested_gate(per_fold: dict, shared: list[int], spatial: list[int], test_fold, min_folds: int = 3, least_mean: float = 0.002, worst: float = 0.01, alpha: float = 1e-3) -> tuple[bool, list[dict]]:
+def gate_opens(gains: list[float], policy: str = "robust", min_folds: int = 3, least_mean: float = 0.002, worst: float = 0.01) -> bool:
+    """Whether relative gains by fold open a gate.
+
+    strict: every fold improves; majority: ``min_folds`` folds do; robust: these do, the mean gain is at least
+    ``least_mean``, and no fold loses more than ``worst``. No folds at all are an error.
+    """
+    if not gains:
+        raise ValueError("a gate needs a fold to be judged by")
+    improved = sum(g > 0 for g in gains)
+    rules = {"strict": improved == len(gains), "majority": improved >= min_folds, "robust": improved >= min_folds and float(np.mean(gains)) >= least_mean and min(gains) >= -worst}
+    if policy not in rules:
+        raise ValueError(f"no gate policy is called {policy!r}; there are {', '.join(rules)}")
+    return bool(rules[policy])
+
+
+def nested_gate(per_fold: dict, shared: list[int], spatial: list[int], test_fold, min_folds: int = 3, least_mean: float = 0.002, worst: float = 0.01, alpha: float = 1e-3, policy: str = "robust") -> tuple[bool, list[dict]]:
     """Whether spatial features beat shared ones in nested refits; and a row for each validation fold.
 
-    per_fold: Gram matrices over (1, all features, target); shared and spatial: indexes of features.
+    per_fold: Gram matrices over (1, all features, target); shared and spatial: indexes of features; policy: see ``gate_opens``.
     """
     pickup = lambda g, cols: g[np.ix_([0, *[c + 1 for c in cols], g.shape[0] - 1], [0, *[c + 1 for c in cols], g.shape[0] - 1])]
     rows = []
@@ -74,9 +89,7 @@ def nested_gate(per_fold: dict, shared: list[int], spatial: list[int], test_fold
             errors.append(squared_error(pickup(per_fold[held], cols), w, b))
         gain = (errors[0] - errors[1]) / max(errors[0], 1e-12)
         rows.append({"validation_fold": int(held), "global_mse": errors[0], "spatial_mse": errors[1], "relative_gain": gain, "improved": gain > 0})
-    gains = [r["relative_gain"] for r in rows]
-    enabled = sum(g > 0 for g in gains) >= min_folds and float(np.mean(gains)) >= least_mean and min(gains) >= -worst
-    return bool(enabled), rows
+    return gate_opens([r["relative_gain"] for r in rows], policy, min_folds, least_mean, worst), rows
 
 
 def prediction_metrics(observed: Column, predicted: Column) -> list[Column]:

@@ -6,11 +6,14 @@ engines' generators or the order of rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.operators.raster import gaussian
 
+SEED = 90_417
 SCENARIOS = ("single", "redundant", "complementary", "spatial_complementary", "partial_switching", "unrelated_missing_factor")
 
 
@@ -38,35 +41,59 @@ def grid(spark: SparkSession, rows: int, cols: int) -> DataFrame:
     return placed.withColumn("tissue", ((F.col("x") - 0.5) / 0.48) ** 2 + ((F.col("y") - 0.5) / 0.43) ** 2 <= 1)
 
 
-def decomposition(spark: SparkSession, scenario: str = "complementary", rows: int = 48, cols: int = 64, drivers: int = 4, noise: float = 0.0, seed: int = 20260814) -> DataFrame:
+def smooth_field(base: DataFrame, value: Column, sigma: float, size: tuple[int, int], name: str, scaled: bool = False) -> DataFrame:
+    """row, col and ``name``: the values after a Gaussian filter; ``scaled`` to a standard deviation of 1 over the tissue."""
+    smooth = gaussian(base.select("row", "col", value.alias("v")), sigma, size)
+    if not scaled:
+        return smooth.withColumnRenamed("v", name)
+    spread = smooth.join(base.where("tissue").select("row", "col"), ["row", "col"]).agg((F.stddev_pop("v") + 1e-8).alias("_spread"))
+    return smooth.crossJoin(F.broadcast(spread)).select("row", "col", (F.col("v") / F.col("_spread")).alias(name))
+
+
+def decomposition(spark: SparkSession, scenario: str = "complementary", rows: int = 48, cols: int = 64, drivers: int = 4, noise: float = 0.0, seed: int = SEED) -> DataFrame:
     """row, col, tissue, enh, activity, attribution, gene: a gene made of known parts of its drivers.
 
-    Drivers from the third on are unrelated (smooth noise). In the last scenario the true driver isn't
-    among the candidates.
+    Drivers from the third on are unrelated: smooth fields. The gene's noise is a smooth field of standard
+    deviation ``noise``, the drivers' noise is white and half as strong. In the last scenario the true driver
+    isn't among the candidates.
     """
     if scenario not in SCENARIOS:
-        raise ValueError(f"unknown scenario {scenario!r}; expected one of {SCENARIOS}")
+        raise ValueError(f"no scenario is called {scenario!r}; there are {', '.join(SCENARIOS)}")
     if drivers < 2:
-        raise ValueError("at least 2 drivers")
-    base = grid(spark, rows, cols)
+        raise ValueError(f"a decomposition has two drivers or more, not {drivers}")
+    size, base = (rows, cols), grid(spark, rows, cols)
+    fields = [smooth_field(base, uniform(seed + 100 + i, "row", "col"), 2.5, size, f"_field{i}") for i in range(2, drivers)]
+    if scenario == "unrelated_missing_factor":
+        fields.append(smooth_field(base, uniform(seed + 5, "row", "col"), 2.0, size, "_field1"))
+    if noise:
+        fields.append(smooth_field(base, normal(seed + 7, "row", "col"), 1.2, size, "_noise", scaled=True))
+    placed = reduce(lambda frame, field: frame.join(field, ["row", "col"]), fields, base)
     t = F.col("tissue").cast("double")
     left, right, top = blob(0.30, 0.50, 0.16) * t, blob(0.70, 0.50, 0.16) * t, blob(0.50, 0.28, 0.15) * t
     zero, west = F.lit(0.0), (F.col("x") <= 0.5).cast("double")
     blend = F.least(F.greatest((0.58 - F.col("x")) / 0.16, zero), F.lit(1.0)) * t
     both = (west * t, (1 - west) * t)
-    parts = {
-        "single": ((left, right), (t, zero)), "redundant": ((left, F.greatest(left + 0.025 * noise * normal(seed, "row", "col"), zero) * t), (0.5 * t, 0.5 * t)), "complementary": ((left, right), both),
-        "spatial_complementary": ((left + 0.80 * right, 0.80 * left + 0.40 * right), both), "partial_switching": ((left + 0.25 * top, right + 0.25 * top), (blend, t - blend)), "unrelated_missing_factor": ((right, uniform(seed + 5, "row", "col") * t), (zero, zero)),
-    }
-    (a0, a1), (w0, w1) = parts[scenario]
-    rest = [(uniform(seed + 100 + i, "row", "col") * t, zero) for i in range(2, drivers)]
-    every = F.array(*[F.struct(F.lit(i).alias("enh"), a.alias("activity"), w.alias("attribution")) for i, (a, w) in enumerate([(a0, w0), (a1, w1), *rest])])
+    if scenario == "single":
+        (a0, a1), (w0, w1) = (left, right), (t, zero)
+    elif scenario == "redundant":
+        (a0, a1), (w0, w1) = (left, F.greatest(left + 0.025 * noise * normal(seed, "row", "col"), zero) * t), (0.5 * t, 0.5 * t)
+    elif scenario == "complementary":
+        (a0, a1), (w0, w1) = (left, right), both
+    elif scenario == "spatial_complementary":
+        (a0, a1), (w0, w1) = (left + 0.80 * right, 0.80 * left + 0.40 * right), both
+    elif scenario == "partial_switching":
+        (a0, a1), (w0, w1) = (left + 0.25 * top, right + 0.25 * top), (blend, t - blend)
+    else:
+        (a0, a1), (w0, w1) = (right, F.col("_field1") * t), (zero, zero)
     clean = left if scenario == "unrelated_missing_factor" else a0 * w0 + a1 * w1
-    gene = F.greatest(clean + noise * normal(seed + 7, "row", "col") * t, zero)
-    return base.select("row", "col", "tissue", gene.alias("gene"), F.explode(every).alias("e")).select("row", "col", "tissue", "gene", "e.*")
+    gene = F.greatest(clean + noise * F.col("_noise") * t, zero) if noise else clean
+    jitter = lambda i: 0.5 * noise * normal(seed + 200 + i, "row", "col") * t
+    every = [(a0, w0), (a1, w1), *((F.col(f"_field{i}") * t, zero) for i in range(2, drivers))]
+    listed = F.array(*[F.struct(F.lit(i).alias("enh"), (F.greatest(a + jitter(i), zero) if noise else a).alias("activity"), w.alias("attribution")) for i, (a, w) in enumerate(every)])
+    return placed.select("row", "col", "tissue", gene.alias("gene"), F.explode(listed).alias("e")).select("row", "col", "tissue", "gene", "e.*")
 
 
-def mixed_complexity(spark: SparkSession, rows: int = 48, cols: int = 64, noise: float = 0.04, seed: int = 20260814) -> DataFrame:
+def mixed_complexity(spark: SparkSession, rows: int = 48, cols: int = 64, noise: float = 0.04, seed: int = SEED) -> DataFrame:
     """row, col, tissue, gene, enh, activity, truth, truth_domain: 10 core, 3 regional, 2 redundant regional, 5 unrelated drivers."""
     base = grid(spark, rows, cols)
     t = F.col("tissue").cast("double")

@@ -71,7 +71,7 @@ def prediction_metrics(s, d):
     return got.select("domain", "n", r("mse").alias("mse"), r("r2", 5).alias("r2"), r("pearson").alias("pearson"))
 
 
-@query("LIN-07 LIN-09 ATT-05")
+@query("LIN-07 LIN-09")
 def nested_feature_gate(s, d):
     """Global drivers against drivers by domain (the native spatial model), in nested refits by fold."""
     w = _wide(s, d)
@@ -265,7 +265,7 @@ def raw_and_latent_links(s, d):
 
 
 # ---- run management ----
-@query("SNK-05 SNK-10 SNK-06 SNK-09")
+@query("SNK-05 SNK-10 SNK-06")
 def resumable_chunks(s, d):
     """Targets' summaries in chunks; the second run finds all chunks done and adds nothing."""
     from terrane.sources.tables import run_chunks, scratch
@@ -277,7 +277,7 @@ def resumable_chunks(s, d):
     return run_chunks(rows, "chunk", work, path)
 
 
-@query("SNK-03 SNK-04 SNK-07 SRC-01 SRC-16")
+@query("SNK-03 SNK-04 SRC-01")
 def star_and_manifest(s, d):
     """The star schema and a manifest written and read back: rows by part, and the manifest's count."""
     from terrane.sources.tables import read_manifest, scratch, write_manifest, write_star

@@ -300,3 +300,21 @@ def test_components_of_groups_that_a_hash_could_mix(spark):
     rows = [(g, 0, c) for g in range(40) for c in (0, 1, 3)]
     got = S.components(spark.createDataFrame(rows, "gene int, row int, col int"), 5, 4, by=["gene"]).collect()
     assert {(x.gene, x.col, x.component) for x in got} == {(g, c, 0 if c < 2 else 3) for g, _, c in rows}
+
+
+def test_gate_policies():
+    assert L.gate_opens([0.1, 0.1, 0.1, -0.005]) and not L.gate_opens([0.1, 0.1, 0.1, -0.02]) and not L.gate_opens([0.001] * 4)
+    assert L.gate_opens([0.1, 0.1, 0.1, -0.5], "majority") and not L.gate_opens([0.1, 0.1, -0.1], "majority")
+    assert L.gate_opens([0.001], "strict") and not L.gate_opens([0.1, 0.0], "strict")
+    for bad in (([], "robust"), ([0.1], "lenient")):
+        with pytest.raises(ValueError):
+            L.gate_opens(*bad)
+
+
+def test_simulated_noise_is_smooth_and_scaled(spark):
+    m = M.decomposition(spark, "single", noise=0.04).where("tissue and enh = 0")
+    clean = M.decomposition(spark, "single").where("tissue and enh = 0").select("row", "col", F.col("gene").alias("clean"))
+    rows = {(x.row, x.col): x.gene - x.clean for x in m.join(clean, ["row", "col"]).where("clean > 0.2").collect()}
+    v = np.array(list(rows.values()))
+    near = np.array([(rows[r, c], rows[r, c + 1]) for r, c in rows if (r, c + 1) in rows])
+    assert 0.02 < v.std() < 0.06 and np.corrcoef(near.T)[0, 1] > 0.6
