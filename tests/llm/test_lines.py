@@ -193,10 +193,11 @@ def test_lines_with_few_or_no_blanks_are_compared(spark):
     assert len(gone) >= 20 and gone == {i for i, x in enumerate(lines) if first[x] != i}
 
 
-def test_crowded_keys_are_compared_wholly(spark):
+def test_crowded_keys_are_compared_wholly(spark, monkeypatch):
     """Lines of one key that are near-equal to each other, but to neither of the key's partners."""
     from pyspark.sql import functions as F
 
+    monkeypatch.setattr(L, "CROWDED", 8)
     r = random.Random(13)
     pairs = similar_pairs(r, 10, 40, 80)
     lines = [x for p in pairs for x in p]
@@ -208,18 +209,20 @@ def test_crowded_keys_are_compared_wholly(spark):
     assert links == {tuple(sorted((named[2 * i], named[2 * i + 1]))) for i in range(len(pairs))}
 
 
-def test_keys_that_banding_does_not_part(spark):
+def test_keys_that_banding_does_not_part(spark, monkeypatch):
     """Lines made of one template: too alike to be parted, too different to be near-equal, but for a few."""
+    monkeypatch.setattr(L, "CROWDED", 8)
     r = random.Random(14)
     base = [prose(r, 1) for _ in range(30)]
     lines = []
-    for i in range(150):
+    for i in range(120):
         w = list(base)
         for k in r.sample(range(30), 5):
             w[k] = prose(r, 1)
         lines.append(" ".join(w))
         if i % 10 == 0:
             lines.append(lines[-1] + " q")
+    lines += [" ".join(base) + f" {i}" for i in range(40)]
     least = all_pairs(lines)
     first = {x: min(i for i, y in enumerate(lines) if least[y] == least[x]) for x in lines}
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
