@@ -6,6 +6,7 @@ the next one's docs. All but the last return the columns of ``documents``; ``n_c
 
 from __future__ import annotations
 
+import atexit
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from terrane.llm import decontaminate, lines, mixing, simhash, toxicity
 from terrane.llm.text import computed_once, table
-from terrane.operators.lineage import checkpoint_folder
+from terrane.operators.lineage import checkpoint_folder, discard
 
 
 def _once(found: DataFrame, out: str) -> DataFrame:
@@ -64,10 +65,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES applied to ``documents``; each stage's rows are stored in the shared checkpoint folder."""
+    """STAGES applied to ``documents``; each stage's rows are stored in the shared checkpoint folder.
+
+    A stage's folder goes when the next one's is written; the last one's, which the result reads, at the end of the program.
+    """
     docs = table(spark, sf_dir, "documents")
     base = f"{checkpoint_folder(spark).rstrip('/')}/pipeline-{uuid4().hex}"
+    atexit.register(discard, spark, base)
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
+        if before:
+            discard(spark, before)
+        before = f"{base}/{name}"
     return docs

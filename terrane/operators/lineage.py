@@ -11,10 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (tests), a temporary one of this session."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset, a temporary one of this session, in local mode only.
+
+    On a cluster a machine's own folder would be lost with the machine, so an unset folder is an error there.
+    """
     sc = spark.sparkContext
     if (found := sc.getCheckpointDir()) is None:
-        found = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="terrane-checkpoint-")
+        if (found := spark.conf.get("spark.checkpoint.dir", None)) is None:
+            if not (sc.master == "local" or sc.master.startswith("local[")):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            found = tempfile.mkdtemp(prefix="terrane-checkpoint-")
         sc.setCheckpointDir(found)
     return found
 
@@ -25,8 +31,8 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
-def _discard(spark: SparkSession, path: str) -> None:
-    """Removes a folder of this session when the program ends, if the session is still there."""
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a folder of this session, if the session is still there: at the end of the program it may not be."""
     try:
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
@@ -39,7 +45,7 @@ def store(frame: DataFrame) -> DataFrame:
     spark = frame.sparkSession
     path = f"{checkpoint_folder(spark).rstrip('/')}/table-{uuid4().hex}"
     frame.write.parquet(path)
-    atexit.register(_discard, spark, path)
+    atexit.register(discard, spark, path)
     return spark.read.parquet(path)
 
 
