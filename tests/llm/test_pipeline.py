@@ -25,3 +25,14 @@ def test_empty_table(spark, tmp_path):
 
 def test_names():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+
+
+def test_stages_take_nasty_rows(spark, nasty):
+    """Null ids and texts, repeated rows and clashing columns go through every stage."""
+    folder = "/root/testdata/sf0.001"
+    now = nasty
+    for name, stage in P.STAGES[:-1]:
+        now = spark.createDataFrame(stage(spark, now, folder).collect(), nasty.schema)
+        assert now.columns == nasty.columns, name
+    mixed = P.STAGES[-1][1](spark, now, folder)
+    assert mixed.count() == now.count() > 0
