@@ -13,62 +13,64 @@ from terrane.plans.registry import query
 from terrane.plans.relational_queries import _FOLD, folds
 from terrane.sources import adapters as A
 
-#: Rows for models: gene 0's signal, four drivers side by side, and a fold.
+#: Rows for models: each gene's signal, its first four drivers side by side (a model's features), and a fold.
 WIDE = _FOLD | {
-    "wd": "select p.obs_id, any_value(p.domain) domain, any_value(fd.fold) fold, any_value(y) y, max(case when enh = 0 then x end) x0, max(case when enh = 1 then x end) x1, max(case when enh = 2 then x end) x2, max(case when enh = 3 then x end) x3 from paired p join fd using (obs_id) where gene = 0 and enh < 4 group by p.obs_id",
+    "wd": "select p.gene, p.obs_id, any_value(p.domain) domain, any_value(fd.fold) fold, any_value(y) y, max(case when enh = 0 then x end) x0, max(case when enh = 1 then x end) x1, max(case when enh = 2 then x end) x2, max(case when enh = 3 then x end) x3 from paired p join fd using (obs_id) where enh < 4 group by p.gene, p.obs_id",
 }
 FEATURES = ["x0", "x1", "x2", "x3"]
 
 
 def _wide(s, d):
-    p = A.paired(s, d).where("gene = 0 and enh < 4")
-    wide = p.groupBy("obs_id").agg(F.first("domain").alias("domain"), F.first("y").alias("y"), *[F.max(F.when(F.col("enh") == i, F.col("x"))).alias(f"x{i}") for i in range(4)])
+    p = A.paired(s, d).where("enh < 4")
+    wide = p.groupBy("gene", "obs_id").agg(F.first("domain").alias("domain"), F.first("y").alias("y"), *[F.max(F.when(F.col("enh") == i, F.col("x"))).alias(f"x{i}") for i in range(4)])
     return wide.join(folds(s, d), "obs_id")
 
 
-@query("LIN-01", "paired obs", "select obs_id, round(y - (my - sl * mx + sl * x0), 6) + 0.0 residual from wd, (select case when stddev_pop(x0) < 1e-8 then 0 else covar_pop(x0, y) / var_pop(x0) end sl, avg(x0) mx, avg(y) my from wd)", WIDE)
+@query("LIN-01", "paired obs", "select gene, obs_id, round(y - (my - sl * mx + sl * x0), 6) + 0.0 residual from wd join (select gene, case when stddev_pop(x0) < 1e-8 then 0 else covar_pop(x0, y) / var_pop(x0) end sl, avg(x0) mx, avg(y) my from wd group by gene) using (gene)", WIDE)
 def fit_residuals(s, d):
     w = _wide(s, d)
-    f = w.agg(F.when(F.stddev_pop("x0") < 1e-8, 0.0).otherwise(F.covar_pop("x0", "y") / F.var_pop("x0")).alias("sl"), F.avg("x0").alias("mx"), F.avg("y").alias("my"))
-    return w.crossJoin(F.broadcast(f)).select("obs_id", r(F.col("y") - (F.col("my") - F.col("sl") * F.col("mx") + F.col("sl") * F.col("x0"))).alias("residual"))
+    f = w.groupBy("gene").agg(F.when(F.stddev_pop("x0") < 1e-8, 0.0).otherwise(F.covar_pop("x0", "y") / F.var_pop("x0")).alias("sl"), F.avg("x0").alias("mx"), F.avg("y").alias("my"))
+    return w.join(f, "gene").select("gene", "obs_id", r(F.col("y") - (F.col("my") - F.col("sl") * F.col("mx") + F.col("sl") * F.col("x0"))).alias("residual"))
 
 
-@query("LIN-02 LIN-05", "paired obs", "select obs_id, round((select avg(y) from wd where fold <> 4), 6) + 0.0 prediction, round(y, 6) + 0.0 observed from wd where fold = 4", WIDE)
+@query("LIN-02 LIN-05", "paired obs", "select gene, obs_id, round(m, 6) + 0.0 prediction, round(y, 6) + 0.0 observed from wd join (select gene, avg(y) m from wd where fold <> 4 group by gene) using (gene) where fold = 4", WIDE)
 def mean_baseline(s, d):
     w = _wide(s, d)
-    m = w.where("fold <> 4").agg(F.avg("y").alias("m"))
-    return w.where("fold = 4").crossJoin(F.broadcast(m)).select("obs_id", r("m").alias("prediction"), r("y").alias("observed"))
+    m = w.where("fold <> 4").groupBy("gene").agg(F.avg("y").alias("m"))
+    return w.where("fold = 4").join(m, "gene").select("gene", "obs_id", r("m").alias("prediction"), r("y").alias("observed"))
 
 
 _SINGLE = WIDE | {
-    "lo": " union all ".join(f"select obs_id, fold, y, {i} j, x{i} x from wd" for i in range(4)),
-    "fs": "select j, greatest(case when var_pop(x) > 0 then covar_pop(x, y) / var_pop(x) else 0 end, 0) sl, avg(x) mx, avg(y) my, var_pop(y) vy, covar_pop(x, y) c, var_pop(x) vx from lo where fold <> 4 group by j",
-    "bs": "select j, sl, mx, my from fs order by round(vy - 2 * sl * c + sl * sl * vx, 9), j limit 1",
+    "lo": " union all ".join(f"select gene, obs_id, fold, y, {i} j, x{i} x from wd" for i in range(4)),
+    "fs": "select gene, j, greatest(case when var_pop(x) > 0 then covar_pop(x, y) / var_pop(x) else 0 end, 0) sl, avg(x) mx, avg(y) my, var_pop(y) vy, covar_pop(x, y) c, var_pop(x) vx from lo where fold <> 4 group by gene, j",
+    "bs": "select gene, j, sl, mx, my from fs qualify row_number() over (partition by gene order by round(vy - 2 * sl * c + sl * sl * vx, 9), j) = 1",
 }
 
 
-@query("LIN-03", "paired obs", "select obs_id, lo.j selected, round(my + sl * (x - mx), 6) + 0.0 prediction from lo join bs on lo.j = bs.j where fold = 4", _SINGLE)
+@query("LIN-03", "paired obs", "select lo.gene, obs_id, lo.j selected, round(my + sl * (x - mx), 6) + 0.0 prediction from lo join bs on lo.gene = bs.gene and lo.j = bs.j where fold = 4", _SINGLE)
 def best_single_driver(s, d):
     w = _wide(s, d)
-    long = w.select("obs_id", "fold", "y", F.posexplode(F.array(*FEATURES)).alias("j", "x"))
+    long = w.select("gene", "obs_id", "fold", "y", F.posexplode(F.array(*FEATURES)).alias("j", "x"))
     slope = F.greatest(F.when(F.var_pop("x") > 0, F.covar_pop("x", "y") / F.var_pop("x")).otherwise(0.0), F.lit(0.0))
-    fits = long.where("fold <> 4").groupBy("j").agg(slope.alias("sl"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.var_pop("y").alias("vy"), F.covar_pop("x", "y").alias("c"), F.var_pop("x").alias("vx"))
-    best = fits.orderBy(F.round(F.expr("vy - 2 * sl * c + sl * sl * vx"), 9), "j").limit(1)
-    return long.where("fold = 4").join(F.broadcast(best), "j").select("obs_id", F.col("j").alias("selected"), r(F.expr("my + sl * (x - mx)")).alias("prediction"))
+    fits = long.where("fold <> 4").groupBy("gene", "j").agg(slope.alias("sl"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.var_pop("y").alias("vy"), F.covar_pop("x", "y").alias("c"), F.var_pop("x").alias("vx"))
+    best = fits.withColumn("place", pick([F.round(F.expr("vy - 2 * sl * c + sl * sl * vx"), 9), F.col("j")], ["gene"])).where("place = 1")
+    return long.where("fold = 4").join(best, ["gene", "j"]).select("gene", "obs_id", F.col("j").alias("selected"), r(F.expr("my + sl * (x - mx)")).alias("prediction"))
 
 
 @query("LIN-04")
 def elastic_net(s, d):
-    """Nonnegative elastic net weights of the training folds, with the largest violation of its optimality conditions."""
-    g = L.grams(_wide(s, d).where("fold <> 4"), FEATURES, "y")[None]
-    w, b = L.elastic_net(g)
-    return s.createDataFrame([(f, float(x), b, L.optimality_gap(g, w)) for f, x in zip(FEATURES, w, strict=True)], "feature string, weight double, intercept double, gap double")
+    """Nonnegative elastic net weights of the training folds by gene, with the largest violation of their optimality conditions."""
+    rows = []
+    for gene, g in sorted(L.grams(_wide(s, d).where("fold <> 4"), FEATURES, "y", "gene").items()):
+        w, b = L.elastic_net(g)
+        rows += [(int(gene), f, float(x), b, L.optimality_gap(g, w)) for f, x in zip(FEATURES, w, strict=True)]
+    return s.createDataFrame(rows, "gene int, feature string, weight double, intercept double, gap double")
 
 
-@query("LIN-06", "paired obs", "select domain, count(*) n, round(avg((y - x0) * (y - x0)), 6) + 0.0 mse, round(1 - sum((y - x0) * (y - x0)) / (var_pop(y) * count(*) + 1e-12), 5) + 0.0 r2, round(case when stddev_pop(y) * stddev_pop(x0) > 0 then covar_pop(y, x0) / (stddev_pop(y) * stddev_pop(x0)) else 0 end, 6) + 0.0 pearson from wd group by domain", WIDE)
+@query("LIN-06", "paired obs", "select gene, domain, count(*) n, round(avg((y - x0) * (y - x0)), 6) + 0.0 mse, round(1 - sum((y - x0) * (y - x0)) / (var_pop(y) * count(*) + 1e-12), 4) + 0.0 r2, round(case when stddev_pop(y) * stddev_pop(x0) > 0 then covar_pop(y, x0) / (stddev_pop(y) * stddev_pop(x0)) else 0 end, 6) + 0.0 pearson from wd group by gene, domain", WIDE)
 def prediction_metrics(s, d):
-    got = _wide(s, d).groupBy("domain").agg(*L.prediction_metrics(F.col("y"), F.col("x0")))
-    return got.select("domain", "n", r("mse").alias("mse"), r("r2", 5).alias("r2"), r("pearson").alias("pearson"))
+    got = _wide(s, d).groupBy("gene", "domain").agg(*L.prediction_metrics(F.col("y"), F.col("x0")))
+    return got.select("gene", "domain", "n", r("mse").alias("mse"), r("r2", 4).alias("r2"), r("pearson").alias("pearson"))
 
 
 @query("LIN-07 LIN-09")
@@ -77,31 +79,35 @@ def nested_feature_gate(s, d):
     w = _wide(s, d)
     cols = FEATURES + [f"x{i}d{k}" for i in range(4) for k in range(6)]
     made = w.select("*", *[F.when(F.col("domain") == k, F.col(f"x{i}")).otherwise(0.0).alias(f"x{i}d{k}") for i in range(4) for k in range(6)])
-    enabled, rows = L.nested_gate(L.grams(made, cols, "y", "fold"), list(range(4)), list(range(4, 28)), test_fold=4)
-    return s.createDataFrame([(x["validation_fold"], x["global_mse"], x["spatial_mse"], x["relative_gain"], x["improved"], enabled) for x in rows], "validation_fold int, global_mse double, spatial_mse double, relative_gain double, improved boolean, enabled boolean")
+    folded = made.withColumn("part", F.col("gene") * 100 + F.col("fold"))
+    by_part, out = L.grams(folded, cols, "y", "part"), []
+    for gene in sorted({part // 100 for part in by_part}):
+        enabled, rows = L.nested_gate({part % 100: g for part, g in by_part.items() if part // 100 == gene}, list(range(4)), list(range(4, 28)), test_fold=4)
+        out += [(int(gene), x["validation_fold"], x["global_mse"], x["spatial_mse"], x["relative_gain"], x["improved"], enabled) for x in rows]
+    return s.createDataFrame(out, "gene int, validation_fold int, global_mse double, spatial_mse double, relative_gain double, improved boolean, enabled boolean")
 
 
 _GATE = WIDE | {
-    "bf": "select fold, y t, x2 b, x1 f from wd where fold <> 4",
-    "sm": "select fold, sum((t - b) * (f - b)) num, sum((f - b) * (f - b)) den, sum((t - b) * (t - b)) bb, count(*) n from bf group by fold",
-    "ca": "select a.fold, least(greatest(round((t.num - a.num) / greatest(t.den - a.den, 1e-12), 9), 0), 1) c, a.num, a.den, a.bb, a.n from sm a, (select sum(num) num, sum(den) den from sm) t",
-    "ga": "select fold, c, bb / n base_mse, (bb - 2 * c * num + c * c * den) / n cal_mse from ca",
+    "bf": "select gene, fold, y t, x2 b, x1 f from wd where fold <> 4",
+    "sm": "select gene, fold, sum((t - b) * (f - b)) num, sum((f - b) * (f - b)) den, sum((t - b) * (t - b)) bb, count(*) n from bf group by gene, fold",
+    "ca": "select a.gene, a.fold, least(greatest(round((t.num - a.num) / greatest(t.den - a.den, 1e-12), 9), 0), 1) c, a.num, a.den, a.bb, a.n from sm a join (select gene, sum(num) num, sum(den) den from sm group by gene) t using (gene)",
+    "ga": "select gene, fold, c, bb / n base_mse, (bb - 2 * c * num + c * c * den) / n cal_mse from ca",
     "gg": "select *, round((base_mse - cal_mse) / greatest(base_mse, 1e-12), 6) + 0.0 gain from ga",
 }
 
 
-@query("LIN-08 LIN-09", "paired obs", "select round(quantile_disc(c, .5), 6) + 0.0 candidate, count_if(gain > 0) improved, round(avg(gain), 6) + 0.0 mean_gain, min(gain) worst_gain, count_if(gain > 0) >= 3 and avg(gain) >= .002 and min(gain) >= -.01 enabled from gg", _GATE)
+@query("LIN-08 LIN-09", "paired obs", "select gene, round(quantile_disc(c, .5), 6) + 0.0 candidate, count_if(gain > 0) improved, round(avg(gain), 6) + 0.0 mean_gain, min(gain) worst_gain, count_if(gain > 0) >= 3 and avg(gain) >= .002 and min(gain) >= -.01 enabled from gg group by gene", _GATE)
 def spatial_gate(s, d):
     """Closed-form strength for each held fold from the other folds' sums; the lower median of candidates."""
-    b = _wide(s, d).where("fold <> 4").select("fold", F.col("y").alias("t"), F.col("x2").alias("b"), F.col("x1").alias("f"))
+    b = _wide(s, d).where("fold <> 4").select("gene", "fold", F.col("y").alias("t"), F.col("x2").alias("b"), F.col("x1").alias("f"))
     delta, miss = F.col("f") - F.col("b"), F.col("t") - F.col("b")
-    sums = b.groupBy("fold").agg(F.sum(miss * delta).alias("num"), F.sum(delta * delta).alias("den"), F.sum(miss * miss).alias("bb"), F.count(F.lit(1)).alias("n"))
-    rest = lambda c: F.sum(c).over(Window.partitionBy()) - F.col(c)
+    sums = b.groupBy("gene", "fold").agg(F.sum(miss * delta).alias("num"), F.sum(delta * delta).alias("den"), F.sum(miss * miss).alias("bb"), F.count(F.lit(1)).alias("n"))
+    rest = lambda c: F.sum(c).over(Window.partitionBy("gene")) - F.col(c)
     strength = F.least(F.greatest(F.round(rest("num") / F.greatest(rest("den"), F.lit(1e-12)), 9), F.lit(0.0)), F.lit(1.0))
     held = sums.withColumn("c", strength).withColumn("base", F.col("bb") / F.col("n")).withColumn("cal", F.expr("(bb - 2 * c * num + c * c * den) / n"))
     gain = held.withColumn("gain", r((F.col("base") - F.col("cal")) / F.greatest("base", F.lit(1e-12))))
     improved = F.count_if(F.col("gain") > 0)
-    return gain.agg(r(F.expr("percentile_disc(0.5) within group (order by c)")).alias("candidate"), improved.alias("improved"), r(F.avg("gain")).alias("mean_gain"), F.min("gain").alias("worst_gain"), ((improved >= 3) & (F.avg("gain") >= 0.002) & (F.min("gain") >= -0.01)).alias("enabled"))
+    return gain.groupBy("gene").agg(r(F.expr("percentile_disc(0.5) within group (order by c)")).alias("candidate"), improved.alias("improved"), r(F.avg("gain")).alias("mean_gain"), F.min("gain").alias("worst_gain"), ((improved >= 3) & (F.avg("gain") >= 0.002) & (F.min("gain") >= -0.01)).alias("enabled"))
 
 
 @query("LIN-11", "paired", "select gene, round(avg(2 * lo / (sa + sb + 1e-8)), 6) + 0.0 overlap from (select a.gene, a.enh i, b.enh j, sum(least(a.x, b.x)) lo, sum(a.x) sa, sum(b.x) sb from paired a join paired b on a.obs_id = b.obs_id and a.gene = b.gene and a.enh < b.enh group by all) group by gene")
@@ -118,17 +124,17 @@ def attribution_mass(s, d):
     return A.paired(s, d).groupBy("gene", "enh", "domain").agg(r(F.avg("x")).alias("mass"))
 
 
-@query("LIN-14", "paired obs", "select round(avg(case when abs(y - x0) <= 1 then .5 * (y - x0) * (y - x0) else abs(y - x0) - .5 end), 6) + 0.0 huber from wd where domain <> 3", WIDE)
+@query("LIN-14", "paired obs", "select gene, round(avg(case when abs(y - x0) <= 1 then .5 * (y - x0) * (y - x0) else abs(y - x0) - .5 end), 6) + 0.0 huber from wd where domain <> 3 group by gene", WIDE)
 def masked_huber(s, d):
     e = F.abs(F.col("y") - F.col("x0"))
-    return _wide(s, d).where("domain <> 3").agg(r(F.avg(F.when(e <= 1, 0.5 * e * e).otherwise(e - 0.5))).alias("huber"))
+    return _wide(s, d).where("domain <> 3").groupBy("gene").agg(r(F.avg(F.when(e <= 1, 0.5 * e * e).otherwise(e - 0.5))).alias("huber"))
 
 
-@query("LIN-15", "paired obs", "select round(sum(greatest(sp - ba, 0)) / 5, 6) + 0.0 safety from (select fold, avg((x1 - y) * (x1 - y)) sp, avg((x2 - y) * (x2 - y)) ba from wd group by fold)", WIDE)
+@query("LIN-15", "paired obs", "select gene, round(sum(greatest(sp - ba, 0)) / 5, 6) + 0.0 safety from (select gene, fold, avg((x1 - y) * (x1 - y)) sp, avg((x2 - y) * (x2 - y)) ba from wd group by gene, fold) group by gene", WIDE)
 def block_safety(s, d):
     sq = lambda c: F.avg((F.col(c) - F.col("y")) ** 2)
-    blocks = _wide(s, d).groupBy("fold").agg(sq("x1").alias("sp"), sq("x2").alias("ba"))
-    return blocks.agg(r(F.sum(F.greatest(F.col("sp") - F.col("ba"), F.lit(0.0))) / 5).alias("safety"))
+    blocks = _wide(s, d).groupBy("gene", "fold").agg(sq("x1").alias("sp"), sq("x2").alias("ba"))
+    return blocks.groupBy("gene").agg(r(F.sum(F.greatest(F.col("sp") - F.col("ba"), F.lit(0.0))) / 5).alias("safety"))
 
 
 @query("LIN-17", "paired", "select gene, round(avg(e), 6) + 0.0 entropy from (select gene, obs_id, -sum(p * ln(p)) e from (select gene, obs_id, greatest(x / (sum(x) over (partition by gene, obs_id) + 1e-8), 1e-8) p from paired) group by all) group by gene")

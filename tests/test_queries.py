@@ -52,7 +52,7 @@ def adaptive(spark, rows):
 
 
 def net(spark, rows):
-    assert len(rows) == 4 and all(x.weight >= 0 and x.gap < 1e-9 for x in rows)
+    assert len(rows) == 4 * adapters.GENES and all(x.weight >= 0 and x.gap < 1e-9 for x in rows)
 
 
 def clusters(spark, rows):
@@ -75,8 +75,9 @@ def gate(spark, rows):
     for x in rows:
         gain = (x.global_mse - x.spatial_mse) / x.global_mse
         assert abs(gain - x.relative_gain) < 1e-9 and x.improved == (gain > 0)
-    gains = [x.relative_gain for x in rows]
-    assert {x.enabled for x in rows} == {sum(g > 0 for g in gains) >= 3 and np.mean(gains) >= 0.002 and min(gains) >= -0.01}
+    for gene in range(adapters.GENES):
+        gains = [x.relative_gain for x in rows if x.gene == gene]
+        assert {x.enabled for x in rows if x.gene == gene} == {sum(g > 0 for g in gains) >= 3 and np.mean(gains) >= 0.002 and min(gains) >= -0.01}
 
 
 def tails(spark, rows):
