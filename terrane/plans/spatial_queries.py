@@ -334,12 +334,12 @@ def structure_scores(s, d):
 
 
 _NET = {
-    "mp": "select gene, enh, domain, greatest(x, 0) v, y from paired where gene < 4 and enh < 8",
+    "mp": "select gene, enh, domain, greatest(x, 0) v, y from paired",
     "mean_all": "select gene, enh, avg(v) + 1e-8 total from mp group by all",
     "en": "select gene, enh, domain, round(least(greatest(avg(v) / any_value(total) - 1, -1), 1), 6) + 0.0 enrich from mp join mean_all using (gene, enh) group by all",
     "es": "select gene, enh, count_if(enrich > .05) hot, max(enrich) - min(enrich) sw from en group by all",
     "si": "select gene, enh, case when stddev_pop(v) = 0 or stddev_pop(y) = 0 then 0 else covar_pop(v, y) / (stddev_pop(v) * stddev_pop(y)) end s from mp group by all",
-    "w1": "select obs_id, gene, enh, greatest(x, 0) v from paired where gene < 4 and enh < 8",
+    "w1": "select obs_id, gene, enh, greatest(x, 0) v from paired",
     "pd": "select gene, avg(1 - (c + 1) / 2) pair_div from (select a.gene, a.enh, b.enh, case when stddev_pop(a.v) = 0 or stddev_pop(b.v) = 0 then 0 else covar_pop(a.v, b.v) / (stddev_pop(a.v) * stddev_pop(b.v)) end c from w1 a join w1 b on a.gene = b.gene and a.obs_id = b.obs_id and a.enh < b.enh group by all) group by gene",
     "nt": "select gene, 1 - avg(((s + 1) / 2 + 1) / 2) breadth, avg((hot = 1)::int) specific, avg((hot >= 2)::int) shared, avg(sw) / 2 switching from si join es using (gene, enh) group by gene",
 }
@@ -348,7 +348,7 @@ _NET = {
 @query("SPA-31 SPA-30 COR-11", "paired", "select gene, round(pair_div, 6) + 0.0 pair_diversity, round(breadth, 6) + 0.0 breadth, round(specific, 6) + 0.0 specific_fraction, round(shared, 6) + 0.0 shared_fraction, round(switching, 6) + 0.0 switching, round(.35 * pair_div + .25 * breadth + .25 * specific + .15 * greatest(switching, 0), 6) + 0.0 complexity from nt join pd using (gene)", _NET)
 def network_complexity(s, d):
     """Drivers' diversity, breadth and switching between domains. Similarities are mapped to [0, 1] twice, as published."""
-    mp = A.paired(s, d).where("gene < 4 and enh < 8").select("gene", "enh", "obs_id", "domain", F.greatest("x", F.lit(0.0)).alias("v"), "y")
+    mp = A.paired(s, d).select("gene", "enh", "obs_id", "domain", F.greatest("x", F.lit(0.0)).alias("v"), "y")
     sim = mp.groupBy("gene", "enh").agg(*moments("v", "y"), (F.avg("v") + 1e-8).alias("total")).select("gene", "enh", "total", F.when((F.col("vx") > 0) & (F.col("vy") > 0), F.col("cxy") / F.sqrt(F.col("vx") * F.col("vy"))).otherwise(0.0).alias("s"))
     means = mp.groupBy("gene", "enh", "domain").agg(F.avg("v").alias("m")).join(sim.select("gene", "enh", "total"), ["gene", "enh"])
     enrich = r(F.least(F.greatest(F.col("m") / F.col("total") - 1, F.lit(-1.0)), F.lit(1.0)))
