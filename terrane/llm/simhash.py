@@ -126,12 +126,15 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that of the smallest id, whole and unchanged."""
-    marked = add_fingerprints(docs, text_col, "_fp")
-    rows = cut(marked.select(F.col(id_col).alias("doc_id"), F.col("_fp").alias("fp")))
+    # Fingerprints are made once and stored beside the ids: texts needn't be hashed again to be picked.
+    rows = cut(add_fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", "fp").select("doc_id", "fp"))
     groups = cut(near_duplicates(rows))
     keepers = groups.where("fp = keeper_fp").select(F.col("fp").alias("_k"), F.col("component_id").alias("_c"))
+    if rows.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs.join(keepers.select("_c"), docs[id_col].eqNullSafe(F.col("_c")), "left_semi")
+    # Rows that share an id are told apart by their fingerprints; where these are the same too, one of them is picked.
+    marked = add_fingerprints(docs, text_col, "_fp")
     kept = marked.join(keepers, (marked["_fp"] == keepers["_k"]) & marked[id_col].eqNullSafe(keepers["_c"])).drop("_k", "_c")
-    # Rows that share an id and a fingerprint tie: only if there are any, one of each is picked.
-    if rows.groupBy("doc_id", "fp").count().where("count > 1").limit(1).count():
+    if not rows.groupBy("doc_id", "fp").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates(["_fp"])
     return kept.drop("_fp")
