@@ -76,4 +76,29 @@ select page_id, host, path, rule, coalesce(v, case when host <> '' and low > 0.5
 from j left join bound using (host)
 """
 
-ORACLES = {"op1_decontaminate": OP1, "op3_host_quality": OP3, "op9_url_filter": OP9}
+_STEP = "case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end"
+OP12 = rf"""
+with recursive t(i, k, c) as (select i, 0, i from (select unnest(range(256))::bigint i) union all select i, k + 1, {_STEP} from t where k < 8),
+tab as materialized (select list(c order by i) tab from t where k = 8),
+d as (select row_number() over () r, doc_id, {_WORDS} w from documents),
+i as (select {_WORDS} w from benchmark),
+df as (select r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda j: w[j] || ' ' || w[j + 1]))) f from d),
+tf as (select unnest(list_concat(w, list_transform(range(1, len(w)), lambda j: w[j] || ' ' || w[j + 1]))) f from i),
+fs as (select distinct f from (select f from df union all select f from tf)),
+hx as (select f, hex(encode(f)) x, octet_length(encode(f)) n from fs),
+bts as (select f, list_transform(range(n), lambda j: ('0x' || substr(x, 2 * j + 1, 2))::bigint) b from hx),
+cr as materialized (select f, xor(list_reduce(b, lambda c, x: xor(c // 256, tab[xor(c % 256, x) + 1]), 4294967295::bigint), 4294967295) % 10000 b from bts, tab),
+s as (select b, count(*) n from df join cr using (f) group by b),
+t2 as (select b, count(*) n from tf join cr using (f) group by b),
+g as (select b, floor(1000 * ln((coalesce(t2.n, 0) + 1)::double * (coalesce((select sum(n) from s), 0) + 10000)::double
+        / ((coalesce(s.n, 0) + 1)::double * (coalesce((select sum(n) from t2), 0) + 10000)::double)))::bigint gain
+      from (select unnest(range(10000)) b) x left join s using (b) left join t2 using (b)),
+m as (select r, floor(sum(gain)::double / count(*))::bigint weight, count(*) n_features from df join cr using (f) join g using (b) group by r),
+z as (select d.r, doc_id, len(w) n, coalesce(n_features, 0)::bigint n_features, coalesce(weight, 0) weight,
+        ('0x' || substr(sha256('7:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint h from d left join m using (r)),
+sc as (select *, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double)))::bigint score from z),
+rk as (select r, row_number() over (order by score desc, doc_id, n_features) k, count(*) over () c from sc where n >= 20)
+select doc_id, n_features, weight, score, case when k <= 25 * c // 100 then k end as rank from sc left join rk using (r)
+"""
+
+ORACLES = {"op1_decontaminate": OP1, "op3_host_quality": OP3, "op9_url_filter": OP9, "op12_importance_resampling": OP12}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import decontaminate, html, licenses, lines, mixing, quality, simhash, tokens, toxicity, urls
+from terrane.llm import decontaminate, html, licenses, lines, mixing, quality, resampling, simhash, tokens, toxicity, urls
 from terrane.llm.oracles import ORACLES
 from terrane.llm.text import table
 
@@ -74,4 +74,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_simhash, op3_host_quality, op4_toxicity, op5_html_text, op6_token_counts, op7_licenses, op8_line_dedup, op9_url_filter, op10_mixing)}
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights, scores and ranks of all documents; the target is the benchmark."""
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_simhash, op3_host_quality, op4_toxicity, op5_html_text, op6_token_counts, op7_licenses, op8_line_dedup, op9_url_filter, op10_mixing, op12_importance_resampling)}
