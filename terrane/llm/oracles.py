@@ -76,6 +76,17 @@ select page_id, host, path, rule, coalesce(v, case when host <> '' and low > 0.5
 from j left join bound using (host)
 """
 
+OP11 = """
+with p as (select row_number() over () r, page_id, coalesce(html, '') h from pages),
+g as (select *, row_number() over (partition by h order by page_id desc nulls last, r) k, first_value(page_id) over (partition by h order by page_id desc nulls last, r) top from p),
+x as (select page_id, octet_length(encode(h)) n, sha1(h) s, k, top from g)
+select page_id, n::bigint payload_bytes,
+  array_to_string(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(s, (j // 4) * 5 + 1, 5))::bigint // [32768, 1024, 32, 1][j % 4 + 1]) % 32 + 1)::int, 1)), '') payload_digest,
+  case when k = 1 then 'response' else 'revisit' end record_type, case when k > 1 then top end refers_to
+from x
+"""
+
 _STEP = "case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end"
 OP12 = rf"""
 with recursive t(i, k, c) as (select i, 0, i from (select unnest(range(256))::bigint i) union all select i, k + 1, {_STEP} from t where k < 8),
@@ -101,4 +112,4 @@ rk as (select r, row_number() over (order by score desc, doc_id, n_features) k,
 select doc_id, n_features, weight, score, case when k <= 25 * c // 100 then k end as rank from sc left join rk using (r)
 """
 
-ORACLES = {"op1_decontaminate": OP1, "op3_host_quality": OP3, "op9_url_filter": OP9, "op12_importance_resampling": OP12}
+ORACLES = {"op1_decontaminate": OP1, "op3_host_quality": OP3, "op9_url_filter": OP9, "op11_warc": OP11, "op12_importance_resampling": OP12}

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import decontaminate, html, licenses, lines, mixing, quality, resampling, simhash, tokens, toxicity, urls
+from terrane.llm import decontaminate, html, licenses, lines, mixing, quality, resampling, simhash, tokens, toxicity, urls, warc
 from terrane.llm.oracles import ORACLES
 from terrane.llm.text import table
+from terrane.operators.lineage import checkpoint_folder, discard, store
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,9 +78,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of all pages' records, read from the archives that they were written to; an unsound record is an error."""
+    path = f"{checkpoint_folder(spark).rstrip('/')}/warc-{uuid4().hex}"
+    atexit.register(discard, spark, path)
+    pages = table(spark, sf_dir, "pages")
+    if not pages.limit(1).count():
+        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    warc.write_warc(pages, path)
+    got = warc.resolve(store(warc.read_warc(spark, path, payloads=False)))
+    sound = F.when(F.col("problem").isNotNull(), F.raise_error(F.concat_ws(" ", "path", "offset", "problem"))).otherwise(F.col("record_type"))
+    return got.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", sound.alias("record_type"), F.col("refers_to").cast("long").alias("refers_to"))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights, scores and ranks of all documents; the target is the benchmark."""
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_simhash, op3_host_quality, op4_toxicity, op5_html_text, op6_token_counts, op7_licenses, op8_line_dedup, op9_url_filter, op10_mixing, op12_importance_resampling)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_simhash, op3_host_quality, op4_toxicity, op5_html_text, op6_token_counts, op7_licenses, op8_line_dedup, op9_url_filter, op10_mixing, op11_warc, op12_importance_resampling)}
