@@ -60,9 +60,25 @@ def from_moments(policy: str = "zero") -> Column:
     return F.when(good, F.col("cxy") / spread).otherwise(0.0)
 
 
+def merged_moments(parts: DataFrame, by: list[str]) -> DataFrame:
+    """Moments of groups of which ``parts`` has several rows, as from runs over parts of the data.
+
+    Sums around the common mean: the parts' own, and what their means lie apart.
+    """
+    group = Window.partitionBy(*by)
+    mean = lambda c: F.sum(F.col("n") * F.col(c)).over(group) / F.sum("n").over(group)
+    apart = parts.withColumn("_x", mean("mx")).withColumn("_y", mean("my")).withColumn("_dx", F.col("mx") - F.col("_x")).withColumn("_dy", F.col("my") - F.col("_y"))
+    whole = lambda own, a, b: F.sum(F.col(own) + F.col("n") * F.col(a) * F.col(b)).alias(own)
+    return apart.groupBy(*by).agg(F.sum("n").alias("n"), F.first("_x").alias("mx"), F.first("_y").alias("my"), whole("cxx", "_dx", "_dx"), whole("cyy", "_dy", "_dy"), whole("cxy", "_dx", "_dy"))
+
+
 def evidence(pairs: DataFrame, by: list[str] = KEYS, policy: str = "zero") -> DataFrame:
     """Per group: global and best regional correlation, its domain, advantage, specificity and evidence score."""
-    moments = domain_moments(pairs, by)
+    return evidence_of(domain_moments(pairs, by), by, policy)
+
+
+def evidence_of(moments: DataFrame, by: list[str] = KEYS, policy: str = "zero") -> DataFrame:
+    """The same from moments by group and domain."""
     local = moments.select(*by, "domain", "n", r(from_moments(policy)).alias("local"))
     overall = overall_moments(moments, by).select(*by, r(from_moments(policy)).alias("global_concordance"))
     ranked = local.withColumn("place", pick([F.col("local").desc(), F.col("domain")], by))
