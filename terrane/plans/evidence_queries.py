@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terrane.functions.numeric import adjusted, average_rank, correlation, entropy, moments, pick, r, with_q_values
 from terrane.operators import evidence as E
 from terrane.operators.lineage import cut
+from terrane.operators.periodic import random_shifts, shifted_null, shifted_sources, unit_box
 from terrane.plans.registry import query
 from terrane.sources import adapters as A
 
@@ -247,16 +249,41 @@ def paired_gains(s, d):
     return both.groupBy("gene").agg(r(F.avg("g")).alias("mean_gain"), r(F.min("g")).alias("min_gain"), r(F.max("g")).alias("max_gain"), r(F.avg((F.col("g") > 0).cast("int"))).alias("share"))
 
 
-@query("REL-16 COR-08", "paired obs", "select src.obs_id, arg_min(o.obs_id, (round(least(abs(o.u - src.u2), 1 - abs(o.u - src.u2))**2 + least(abs(o.v - src.v2), 1 - abs(o.v - src.v2))**2 + least(abs(o.w - src.w2), 1 - abs(o.w - src.w2))**2, 9), o.obs_id)) nearest from src, unit o where src.obs_id % 20 = 0 group by src.obs_id", {
-    "unit": "select obs_id, least((x - min(x) over ()) / greatest(max(x) over () - min(x) over (), 1e-8), 0.9999999999999999::double) u, least((y - min(y) over ()) / greatest(max(y) over () - min(y) over (), 1e-8), 0.9999999999999999::double) v, least((z - min(z) over ()) / greatest(max(z) over () - min(z) over (), 1e-8), 0.9999999999999999::double) w from obs",
-    "src": "select obs_id, fmod(u + 0.3::double, 1) u2, fmod(v + 0.45::double, 1) v2, fmod(w + 0.7::double, 1) w2 from unit",
+# ---- shifts in three dimensions: 99 random ones, from a seed ----
+_BOX_PERMS, _BOX_SEED = 99, 20260814
+_SHIFTS = random_shifts(_BOX_PERMS, 3, _BOX_SEED)
+_BOX = {
+    "box": "select obs_id, least((x - min(x) over ()) / greatest(max(x) over () - min(x) over (), 1e-8), 0.9999999999999999::double) u, least((y - min(y) over ()) / greatest(max(y) over () - min(y) over (), 1e-8), 0.9999999999999999::double) v, least((z - min(z) over ()) / greatest(max(z) over () - min(z) over (), 1e-8), 0.9999999999999999::double) w from obs",
+}
+_NULL = _BOX | {
+    "shift": "select * from (values " + ", ".join(f"({k}, {u!r}::double, {v!r}::double, {w!r}::double)" for k, (u, v, w) in enumerate(_SHIFTS.tolist())) + ") t(perm, mu, mv, mw)",
+    "went": "select perm, obs_id, fmod(u + mu, 1) u2, fmod(v + mv, 1) v2, fmod(w + mw, 1) w2 from box, shift",
+    "via": "select perm, went.obs_id, arg_min(o.obs_id, (round(least(abs(o.u - u2), 1 - abs(o.u - u2))**2 + least(abs(o.v - v2), 1 - abs(o.v - v2))**2 + least(abs(o.w - w2), 1 - abs(o.w - w2))**2, 9), o.obs_id)) src from went, box o group by perm, went.obs_id",
+    "nsums": f"select b.gene, b.enh, perm, b.domain, count(*) n, sum(a.x) sx, sum(b.y) sy, sum(a.x * a.x) sxx, sum(b.y * b.y) syy, sum(a.x * b.y) sxy from via join paired b using (obs_id) join paired a on a.obs_id = via.src and a.gene = b.gene and a.enh = b.enh group by all",
+    "nmaxima": f"select gene, enh, perm, max({_CORR}) m from nsums group by all",
+    "nhit": "select ev.gene, ev.enh, count_if(m >= max_regional_concordance) k from ev join nmaxima using (gene, enh) group by all",
+    "npv": f"select ev.*, (1 + coalesce(k, 0)) / {_BOX_PERMS + 1}.0::double permutation_pvalue from ev left join nhit using (gene, enh)",
+    "nbh": "select *, permutation_pvalue * count(*) over (partition by gene) / row_number() over (partition by gene order by permutation_pvalue) b from npv",
+    "nqv": "select * exclude (b), round(least(1.0::double, min(b) over (partition by gene order by permutation_pvalue range between current row and unbounded following)), 6) + 0.0 permutation_qvalue from nbh",
+}
+
+
+def _box(s, d):
+    return unit_box(A.observations(s, d).select("obs_id", "x", "y", "z"), ["x", "y", "z"])
+
+
+@query("REL-16", "obs", "select src.obs_id, arg_min(o.obs_id, (round(least(abs(o.u - src.u2), 1 - abs(o.u - src.u2))**2 + least(abs(o.v - src.v2), 1 - abs(o.v - src.v2))**2 + least(abs(o.w - src.w2), 1 - abs(o.w - src.w2))**2, 9), o.obs_id)) nearest from src, box o group by src.obs_id", _BOX | {
+    "src": "select obs_id, fmod(u + 0.3::double, 1) u2, fmod(v + 0.45::double, 1) v2, fmod(w + 0.7::double, 1) w2 from box",
 })
 def toroidal_nearest(s, d):
-    """Periodic nearest neighbours of shifted observations (every 20th asks; all are searched), by cell join."""
-    from terrane.operators.neighbours import periodic_nearest
-
-    b = A.observations(s, d).select("obs_id", "x", "y", "z")
-    lim = b.agg(*[f(c).alias(n + c) for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))])
-    unit = b.crossJoin(F.broadcast(lim)).select("obs_id", *[F.least((F.col(c) - F.col("lo" + c)) / F.greatest(F.col("hi" + c) - F.col("lo" + c), F.lit(1e-8)), F.lit(0.9999999999999999)).alias(n) for c, n in zip("xyz", "uvw", strict=True)])
-    moved = unit.where("obs_id % 20 = 0").select("obs_id", *[(F.col(n) + k) % 1 for n, k in zip("uvw", (0.3, 0.45, 0.7), strict=True)]).toDF("obs_id", "u", "v", "w")
-    return periodic_nearest(moved, unit, "obs_id", ["u", "v", "w"])
+    """Periodic nearest neighbours of all observations, shifted through the unit box."""
+    found = shifted_sources(_box(s, d), "obs_id", ["x", "y", "z"], np.array([[0.3, 0.45, 0.7]]))
+    return found.select(F.col("obs").alias("obs_id"), F.col("src").alias("nearest"))
+
+
+@query("COR-08 REL-16 COR-09 WIN-04", "paired obs", "select * from nqv", EV | _NULL)
+def periodic_null_evidence(s, d):
+    """Evidence with p- and q-values from 99 shifts in three dimensions; classes are left to the ranking."""
+    signals = A.signals(s, d).withColumnRenamed("obs_id", "obs")
+    sources = shifted_sources(_box(s, d), "obs_id", ["x", "y", "z"], _SHIFTS)
+    return E.permutation_p(E.evidence(A.paired(s, d)), shifted_null(signals, sources, _BOX_PERMS), E.KEYS, _BOX_PERMS)

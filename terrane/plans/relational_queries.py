@@ -332,7 +332,7 @@ def pairs_in_group(s, d):
 
 @query("REL-15", "obs", "select src, dst, rank from (select a.obs_id src, b.obs_id dst, row_number() over (partition by a.obs_id order by round((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z), 9), b.obs_id) rank from obs a join obs b on a.obs_id <> b.obs_id) where rank <= 6")
 def nearest_neighbours(s, d):
-    return N.nearest(A.observations(s, d), 6, ["x", "y", "z"]).select("src", "dst", F.col("rank").cast("long").alias("rank"))
+    return N.nearest_points(A.observations(s, d), 6, ["x", "y", "z"]).select("src", "dst", F.col("rank").cast("long").alias("rank"))
 
 
 @query("REL-19 SPA-28", "cells", "select t.obs_id, round(sum(w * value), 6) + 0.0 v from (select obs_id, (obs_id + k) % (select count(*) from embeddings) src, [.5, .3, .2][k + 1] w from (select vec_id obs_id from embeddings), (select unnest([0, 1, 2]) k)) t join cells c on c.obs_id = t.src and c.var_id = 9 group by t.obs_id")

@@ -109,7 +109,7 @@ _VOTE = {"nn": f"select src, dst from ({_KNN}) where rank <= 9"} | {"k0": "selec
 
 @query("SPA-09", "targets obs", "select gene, sum(v)::bigint n, sum(v * obs_id)::bigint checksum from k3 group by gene", _TWO | _VOTE)
 def graph_majority(s, d):
-    edges = N.nearest(A.observations(s, d), 9, ["x", "y", "z"]).select("src", "dst")
+    edges = N.nearest_points(A.observations(s, d), 9, ["x", "y", "z"]).select("src", "dst")
     m = S.graph_majority(_mask(s, d), edges, by=["gene"])
     return m.groupBy("gene").agg(F.sum("v").cast("long").alias("n"), F.sum(F.col("v") * F.col("obs_id")).cast("long").alias("checksum"))
 
@@ -274,7 +274,7 @@ def resampled(s, d):
     lim = o.agg(F.min("x").alias("lx"), F.max("x").alias("hx"), F.min("y").alias("ly"), F.max("y").alias("hy"))
     warped = o.crossJoin(F.broadcast(lim)).select("obs_id", ((F.col("x") - F.col("lx")) / (F.col("hx") - F.col("lx")) * 24).alias("x"), ((F.col("y") - F.col("ly")) / (F.col("hy") - F.col("ly")) * 18).alias("y"), "z")
     targets = A.lattice(s, 19, 25).select((-1 - F.col("row") * 25 - F.col("col")).cast("long").alias("obs_id"), F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"), F.lit(None).cast("double").alias("z"))
-    near = N.nearest(warped.unionByName(targets), 3, ["x", "y"], answers="id >= 0").where("src < 0")
+    near = N.nearest_points(warped.unionByName(targets), 3, ["x", "y"], answers="id >= 0").where("src < 0")
     best = near.join(warped.select(F.col("obs_id").alias("dst"), "z"), "dst")
     w = 1 / (F.sqrt("d2") + 1e-6)
     return best.groupBy("src").agg(r(F.sum(w * F.col("z")) / F.sum(w)).alias("v")).select((-1 - F.col("src")).alias("pixel"), "v")
@@ -290,13 +290,13 @@ def neighbour_correlation(s, d):
 
 @query("COR-12", "obs targets", "select gene, round(sum(z * lag) / sum(z * z), 6) + 0.0 moran from (select z.gene, z.obs_id, any_value(z.z) z, avg(n.z) lag from z join nn on nn.src = z.obs_id join z n on n.gene = z.gene and n.obs_id = nn.dst group by z.gene, z.obs_id) group by gene", {"nn": f"select src, dst from ({_KNN}) where rank <= 6", "z": "select gene, obs_id, y - avg(y) over (partition by gene) z from targets"})
 def morans_i(s, d):
-    edges = N.nearest(A.observations(s, d), 6, ["x", "y", "z"]).select("src", "dst")
+    edges = N.nearest_points(A.observations(s, d), 6, ["x", "y", "z"]).select("src", "dst")
     return S.moran(A.targets(s, d).withColumnRenamed("y", "v"), edges, ["gene"]).select("gene", r("moran").alias("moran"))
 
 
 @query("SPA-33", "obs targets", "select gene, round(.5 * least(greatest(moran, 0) / .2, 1), 6) + 0.0 validated from (select gene, sum(z * lag) / sum(z * z) moran from (select z.gene, z.obs_id, any_value(z.z) z, avg(n.z) lag from z join nn on nn.src = z.obs_id join z n on n.gene = z.gene and n.obs_id = nn.dst group by z.gene, z.obs_id) group by gene)", {"nn": f"select src, dst from ({_KNN}) where rank <= 6", "z": "select gene, obs_id, y - avg(y) over (partition by gene) z from targets"})
 def validated_score(s, d):
-    edges = N.nearest(A.observations(s, d), 6, ["x", "y", "z"]).select("src", "dst")
+    edges = N.nearest_points(A.observations(s, d), 6, ["x", "y", "z"]).select("src", "dst")
     m = S.moran(A.targets(s, d).withColumnRenamed("y", "v"), edges, ["gene"])
     return m.select("gene", r(0.5 * F.least(F.greatest("moran", F.lit(0.0)) / 0.2, F.lit(1.0))).alias("validated"))
 

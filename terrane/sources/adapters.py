@@ -65,6 +65,15 @@ def paired(spark: SparkSession, folder: str) -> DataFrame:
     return seen.select("obs_id", "domain", "gene", "enh", F.greatest(x, F.lit(0.0)).alias("x"), "y")
 
 
+def signals(spark: SparkSession, folder: str) -> DataFrame:
+    """obs_id, domain, gene, y, x: the same as ``paired``, with a target's drivers as one array."""
+    genes = _placed(spark, folder).select("obs_id", "domain", "embedding", F.explode(F.sequence(F.lit(0), F.lit(GENES - 1))).alias("gene"))
+    seen = genes.select("obs_id", "domain", "gene", "embedding", F.greatest(F.get("embedding", F.col("gene") + FIRST_GENE).cast("double"), F.lit(0.0)).alias("y"))
+    x = f"""transform(slice(embedding, {FIRST_DRIVER + 1}, {VARS - FIRST_DRIVER}), (v, enh) -> greatest(0D, case
+        when enh % 4 = 0 then 0.5D * y + 0.5D * cast(v as double) when enh % 4 = 1 and domain = (gene + enh) % {DOMAINS} then y else cast(v as double) end))"""
+    return seen.select("obs_id", "domain", "gene", "y", F.expr(x).alias("x"))
+
+
 def links(spark: SparkSession, folder: str) -> DataFrame:
     """target, region, importance, rho, distance: parts' brands against suppliers."""
     rows = table(spark, folder, "lineitem").join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
