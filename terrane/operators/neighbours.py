@@ -114,7 +114,7 @@ def _dealt(asked: DataFrame) -> DataFrame:
 
 
 def _least(q: np.ndarray, at: np.ndarray, ids: np.ndarray, k: int, most: np.ndarray, periodic: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(question, d2, id), ordered so, of each question's k least (d2, id) with d2 up to ``most``."""
+    """(question, d2, place in ``ids``), ordered so, of each question's k least (d2, id) with d2 up to ``most``."""
     found = []
     for lo in range(0, len(q), 512):
         d2 = np.zeros((len(q[lo : lo + 512]), len(at)))
@@ -130,13 +130,15 @@ def _least(q: np.ndarray, at: np.ndarray, ids: np.ndarray, k: int, most: np.ndar
         who, which = who[order], which[order]
         first = np.searchsorted(who, who)
         keep = np.arange(len(who)) - first < k
-        found.append((who[keep] + lo, d2[who[keep], which[keep]], ids[which[keep]]))
+        found.append((who[keep] + lo, d2[who[keep], which[keep]], which[keep]))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def search(asked: DataFrame, points: DataFrame, keys: list[str], axes: list[str], k: int, periodic: bool = False, per_cell: int = PER_CELL_TREE) -> DataFrame:
+def search(asked: DataFrame, points: DataFrame, keys: list[str], axes: list[str], k: int, periodic: bool = False, per_cell: int = PER_CELL_TREE, with_place: bool = False) -> DataFrame:
     """keys and found: the k least (d2, id) of ``points`` (id, axes) for each question (keys, axes), as a sorted array.
 
+    ``with_place``: found points have their axes, too.
+
     ``periodic``: in the unit box, whose sides meet. Squared distances are rounded to 9 digits, ties go to the smaller
     id. Fewer than k points give fewer. A question is answered in its own cell first; the k-th distance there bounds
     the ball whose other cells are then visited, so two rounds are exact. Cells are bounded in size and questions come to
@@ -149,7 +151,7 @@ def search(asked: DataFrame, points: DataFrame, keys: list[str], axes: list[str]
     names = list(dict.fromkeys([*keys, *axes]))
     kinds = {f.name: f.dataType.simpleString() for f in asked.schema}
     whole = ", ".join(f"`{c}` {kinds[c]}" for c in names)
-    d = len(axes)
+    d, parts = len(axes), ["d2", "id", *(axes if with_place else [])]
     images = np.stack(np.meshgrid(*[(-1, 0, 1) if periodic else (0,)] * d, indexing="ij"), axis=-1).reshape(-1, d)
 
     def batches(frames, more):
@@ -168,10 +170,13 @@ def search(asked: DataFrame, points: DataFrame, keys: list[str], axes: list[str]
                 q = np.stack([np.asarray(row[c], float) for c in axes], axis=1)
                 at = np.stack([np.asarray(row[f"p_{c}"], float) for c in axes], axis=1)
                 most = np.full(len(q), np.inf) if first else np.asarray(row["most"], float)
-                who, d2, ids = _least(q, at, np.asarray(row["id"]), k, most, periodic)
+                ids = np.asarray(row["id"])
+                who, d2, which = _least(q, at, ids, k, most, periodic)
+                values = [d2.tolist(), ids[which].tolist(), *(at[which].T.tolist() if with_place else [])]
+                listing = [dict(zip(parts, x, strict=True)) for x in zip(*values, strict=True)]
                 ends = np.searchsorted(who, np.arange(len(q) + 1))
                 out = pd.DataFrame({c: row[c] for c in names})
-                out["found"] = [[{"d2": a, "id": b} for a, b in zip(d2[s:e].tolist(), ids[s:e].tolist(), strict=True)] for s, e in zip(ends[:-1], ends[1:], strict=True)]
+                out["found"] = [listing[s:e] for s, e in zip(ends[:-1], ends[1:], strict=True)]
                 if first:
                     full = ends[1:] - ends[:-1] == k
                     out["most"] = np.where(full, d2[np.maximum(ends[1:] - 1, 0)], np.inf) if len(d2) else np.inf
@@ -183,13 +188,13 @@ def search(asked: DataFrame, points: DataFrame, keys: list[str], axes: list[str]
                     out["visits"] = [pairs[s:e, 1].tolist() for s, e in zip(stops[:-1], stops[1:], strict=True)]
                 yield out
 
-    listed = f"{whole}, found array<struct<d2: double, id: {dict(points.dtypes)['id']}>>"
+    listed = f"{whole}, found array<struct<d2: double, id: {dict(points.dtypes)['id']}{''.join(f', {c}: double' for c in parts[2:])}>>"
     home = packed(_with_cell(asked.select(*names), axes, cells.home), [], [])
     near = cut(home.mapInPandas(lambda frames: answer(frames, True), f"{listed}, most double, visits array<long>"))
     visits = near.where("size(visits) > 0").select(*names, "most", F.explode("visits").alias("cell"))
     seen = packed(visits, ["most"], ["double"]).mapInPandas(lambda frames: answer(frames, False), listed).where("size(found) > 0")
-    parts = near.where("size(visits) > 0").select(*keys, "found").unionByName(seen.select(*keys, "found"))
-    merged = parts.groupBy(*keys).agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("found"))
+    both = near.where("size(visits) > 0").select(*keys, "found").unionByName(seen.select(*keys, "found"))
+    merged = both.groupBy(*keys).agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("found"))
     return near.where("size(visits) = 0").select(*keys, "found").unionByName(merged)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from terrane.functions.numeric import correlation, moments, r
 from terrane.operators import neighbours as N
 from terrane.operators import raster as S
+from terrane.operators import triangles as T
 from terrane.operators.lineage import cut
 from terrane.plans.registry import query
 from terrane.sources import adapters as A
@@ -267,17 +268,15 @@ def warp_bounds(s, d):
     return S.bounds(px, "col", "row", lines).select("row", r("lo").alias("lo"), r("hi").alias("hi"))
 
 
-@query("SPA-27")
+@query("SPA-27 SPA-28")
 def resampled(s, d):
-    """Values at grid points from the three nearest warped points, weighted by inverse distance."""
+    """Values at the points of a grid over all observations, by weights in their Delaunay triangles; outside, the nearest one's."""
     o = A.observations(s, d)
     lim = o.agg(F.min("x").alias("lx"), F.max("x").alias("hx"), F.min("y").alias("ly"), F.max("y").alias("hy"))
-    warped = o.crossJoin(F.broadcast(lim)).select("obs_id", ((F.col("x") - F.col("lx")) / (F.col("hx") - F.col("lx")) * 24).alias("x"), ((F.col("y") - F.col("ly")) / (F.col("hy") - F.col("ly")) * 18).alias("y"), "z")
-    targets = A.lattice(s, 19, 25).select((-1 - F.col("row") * 25 - F.col("col")).cast("long").alias("obs_id"), F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"), F.lit(None).cast("double").alias("z"))
-    near = N.nearest_points(warped.unionByName(targets), 3, ["x", "y"], answers="id >= 0").where("src < 0")
-    best = near.join(warped.select(F.col("obs_id").alias("dst"), "z"), "dst")
-    w = 1 / (F.sqrt("d2") + 1e-6)
-    return best.groupBy("src").agg(r(F.sum(w * F.col("z")) / F.sum(w)).alias("v")).select((-1 - F.col("src")).alias("pixel"), "v")
+    warped = o.crossJoin(F.broadcast(lim)).select(F.col("obs_id").alias("id"), ((F.col("x") - F.col("lx")) / (F.col("hx") - F.col("lx")) * 24).alias("x"), ((F.col("y") - F.col("ly")) / (F.col("hy") - F.col("ly")) * 18).alias("y"), "z")
+    grid = A.lattice(s, 19, 25).select((F.col("row") * 25 + F.col("col")).cast("long").alias("place"), F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"))
+    weights = T.barycentric(grid, warped).join(warped.select("id", "z"), "id")
+    return weights.groupBy(F.col("place").alias("pixel"), "inside").agg(F.count(F.lit(1)).alias("n"), r(F.sum(F.col("weight") * F.col("z"))).alias("v"))
 
 
 @query("COR-10 SPA-32", "pixel", """select round((hc + vc) / 2, 6) + 0.0 spatial_neighbour_corr, round(greatest((hc + vc) / 2, 0) * 2, 6) + 0.0 proxy from (select covar_pop(v, rv) / (stddev_pop(v) * stddev_pop(rv)) hc from (select v, lead(v) over (partition by "row" order by col) rv from g) where rv is not null), (select covar_pop(v, dv) / (stddev_pop(v) * stddev_pop(dv)) vc from (select v, lead(v) over (partition by col order by "row") dv from g) where dv is not null)""", LAT)
