@@ -1,12 +1,15 @@
-"""Linear models from moments: one pass of Spark gathers a Gram matrix a fold, the rest is small algebra."""
+"""Linear models from moments: one pass of Spark gathers a Gram matrix a group, models are solved in tasks, a target each."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Features of a model; their Gram matrix is all that reaches the driver.
+#: Features of a model whose Gram matrix is gathered by SQL sums and reaches the driver.
 MAX_FEATURES = 32
 
 
@@ -26,6 +29,59 @@ def grams(rows: DataFrame, features: list[str], target: str, by: str | None = No
     return out
 
 
+def gram_rows(rows: DataFrame, by: list[str], x: str = "x", y: str = "y") -> DataFrame:
+    """by and gram: the Gram matrix of (1, x, y) of each group, row by row as one array; x is an array of one length a group.
+
+    Tasks add up what they see, a matrix a group, and a group's matrices are added: no group's rows come together.
+    """
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by) + ", gram array<double>"
+
+    def partial(frames):
+        sums: dict[tuple, np.ndarray] = {}
+        for frame in frames:
+            for key, part in frame.groupby(by, sort=False, dropna=False):
+                z = np.column_stack([np.ones(len(part)), np.stack(part[x]).astype(float), part[y].to_numpy(float)])
+                sums[key] = sums[key] + z.T @ z if key in sums else z.T @ z
+            if len(sums) > 1000:
+                yield pd.DataFrame([(*k, g.ravel()) for k, g in sums.items()], columns=[*by, "gram"])
+                sums = {}
+        yield pd.DataFrame([(*k, g.ravel()) for k, g in sums.items()], columns=[*by, "gram"])
+
+    def add(frame):
+        return frame.iloc[:1].assign(gram=[np.sum(np.stack(frame["gram"]), axis=0)])
+
+    return rows.select(*by, x, y).mapInPandas(partial, kinds).groupBy(*by).applyInPandas(add, kinds)
+
+
+def by_domain(grams: list[np.ndarray]) -> np.ndarray:
+    """Gram matrix of (1, all features, their products with each domain's indicator, target) from the domains' own matrices.
+
+    Products with different domains' indicators vanish, so nothing else is needed.
+    """
+    whole = sum(grams)
+    k, n = len(whole) - 2, len(grams)
+    out = np.zeros((k * (n + 1) + 2,) * 2)
+    shared, last = np.arange(k + 1), k * (n + 1) + 1
+    out[np.ix_([*shared, last], [*shared, last])] = whole
+    for d, g in enumerate(grams):
+        own = np.arange(k * (d + 1) + 1, k * (d + 2) + 1)
+        out[np.ix_(own, own)] = g[1:-1, 1:-1]
+        for at, part in (([0], g[:1, 1:-1]), (shared[1:], g[1:-1, 1:-1]), ([last], g[-1:, 1:-1])):
+            out[np.ix_(at, own)] = part
+            out[np.ix_(own, at)] = part.T
+    return out
+
+
+def solve_groups(grams: DataFrame, group: str, model: Callable[[pd.DataFrame], list[tuple]], schema: str) -> DataFrame:
+    """The rows that ``model`` makes of each group's matrices (column gram: square arrays), in tasks."""
+
+    def solve(frame):
+        side = int(round(len(frame["gram"].iloc[0]) ** 0.5))
+        return pd.DataFrame(model(frame.assign(gram=[np.asarray(g).reshape(side, side) for g in frame["gram"]])), columns=[x.split()[0] for x in schema.split(", ")])
+
+    return grams.groupBy(group).applyInPandas(solve, schema)
+
+
 def elastic_net(g: np.ndarray, alpha: float = 1e-3, ratio: float = 0.5, rounds: int = 5000, tol: float = 1e-12) -> tuple[np.ndarray, float]:
     """Nonnegative weights and intercept that minimise 1/(2n) |y - Xw - b|^2 + alpha (ratio |w|_1 + (1 - ratio)/2 |w|^2)."""
     n = g[0, 0]

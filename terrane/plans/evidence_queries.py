@@ -241,12 +241,14 @@ def class_summary(s, d):
     return _screen(s, d).groupBy("predicted_class").agg(F.count(F.lit(1)).alias("n"), r(F.avg(v)).alias("mean"), r(F.stddev_samp(v)).alias("std"), F.min(v).alias("lo"), F.max(v).alias("hi"))
 
 
-@query("AGG-23", "paired", "select a.gene, round(avg(a.local - b.local), 6) + 0.0 mean_gain, round(min(a.local - b.local), 6) + 0.0 min_gain, round(max(a.local - b.local), 6) + 0.0 max_gain, round(avg((a.local > b.local)::int), 6) + 0.0 share from loc a join loc b on a.gene = b.gene and a.domain = b.domain and a.enh = 0 and b.enh = 2 group by a.gene", EV)
+@query("AGG-23", "paired", "select a.gene, a.enh, round(sum(round((a.local - b.local) * 1e6)::bigint)::double / count(*)) / 1e6::double + 0.0 mean_gain, round(min(a.local - b.local), 6) + 0.0 min_gain, round(max(a.local - b.local), 6) + 0.0 max_gain, round(avg((a.local > b.local)::int), 6) + 0.0 share from loc a join loc b on a.gene = b.gene and a.domain = b.domain and a.enh > 0 and b.enh = 0 group by a.gene, a.enh", EV)
 def paired_gains(s, d):
-    sums = E.domain_moments(A.paired(s, d).where("enh in (0, 2)"))
-    local = sums.select("gene", "enh", "domain", r(E.from_moments()).alias("local"))
-    both = local.groupBy("gene", "domain").pivot("enh", [0, 2]).agg(F.max("local")).withColumn("g", F.col("0") - F.col("2"))
-    return both.groupBy("gene").agg(r(F.avg("g")).alias("mean_gain"), r(F.min("g")).alias("min_gain"), r(F.max("g")).alias("max_gain"), r(F.avg((F.col("g") > 0).cast("int"))).alias("share"))
+    """Gains by domain of every driver over the first one."""
+    local = E.domain_moments(A.paired(s, d)).select("gene", "enh", "domain", r(E.from_moments()).alias("local"))
+    first = F.max(F.when(F.col("enh") == 0, F.col("local"))).over(Window.partitionBy("gene", "domain"))
+    both = local.withColumn("g", F.col("local") - first).where("enh > 0")
+    mean = F.round(F.sum(F.round(F.col("g") * 1e6).cast("long")) / F.count(F.lit(1))) / 1e6 + F.lit(0.0)
+    return both.groupBy("gene", "enh").agg(mean.alias("mean_gain"), r(F.min("g")).alias("min_gain"), r(F.max("g")).alias("max_gain"), r(F.avg((F.col("g") > 0).cast("int"))).alias("share"))
 
 
 # ---- shifts in three dimensions: 99 random ones, from a seed ----

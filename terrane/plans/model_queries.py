@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -26,6 +27,11 @@ def _wide(s, d):
     return wide.join(folds(s, d), "obs_id")
 
 
+def _folded(s, d):
+    """gene, obs_id, domain, fold, y, x: each gene's signal and all its drivers, as an array."""
+    return A.signals(s, d).join(folds(s, d), "obs_id")
+
+
 @query("LIN-01", "paired obs", "select gene, obs_id, round(y - (my - sl * mx + sl * x0), 6) + 0.0 residual from wd join (select gene, case when stddev_pop(x0) < 1e-8 then 0 else covar_pop(x0, y) / var_pop(x0) end sl, avg(x0) mx, avg(y) my from wd group by gene) using (gene)", WIDE)
 def fit_residuals(s, d):
     w = _wide(s, d)
@@ -40,8 +46,8 @@ def mean_baseline(s, d):
     return w.where("fold = 4").join(m, "gene").select("gene", "obs_id", r("m").alias("prediction"), r("y").alias("observed"))
 
 
-_SINGLE = WIDE | {
-    "lo": " union all ".join(f"select gene, obs_id, fold, y, {i} j, x{i} x from wd" for i in range(4)),
+_SINGLE = _FOLD | {
+    "lo": "select gene, obs_id, fold, y, enh j, x from paired join fd using (obs_id)",
     "fs": "select gene, j, greatest(case when var_pop(x) > 0 then covar_pop(x, y) / var_pop(x) else 0 end, 0) sl, avg(x) mx, avg(y) my, var_pop(y) vy, covar_pop(x, y) c, var_pop(x) vx from lo where fold <> 4 group by gene, j",
     "bs": "select gene, j, sl, mx, my from fs qualify row_number() over (partition by gene order by round(vy - 2 * sl * c + sl * sl * vx, 9), j) = 1",
 }
@@ -49,22 +55,27 @@ _SINGLE = WIDE | {
 
 @query("LIN-03", "paired obs", "select lo.gene, obs_id, lo.j selected, round(my + sl * (x - mx), 6) + 0.0 prediction from lo join bs on lo.gene = bs.gene and lo.j = bs.j where fold = 4", _SINGLE)
 def best_single_driver(s, d):
-    w = _wide(s, d)
-    long = w.select("gene", "obs_id", "fold", "y", F.posexplode(F.array(*FEATURES)).alias("j", "x"))
+    """The best of all drivers by training error, and what it predicts for the held-out fold."""
+    w = _folded(s, d)
     slope = F.greatest(F.when(F.var_pop("x") > 0, F.covar_pop("x", "y") / F.var_pop("x")).otherwise(0.0), F.lit(0.0))
-    fits = long.where("fold <> 4").groupBy("gene", "j").agg(slope.alias("sl"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.var_pop("y").alias("vy"), F.covar_pop("x", "y").alias("c"), F.var_pop("x").alias("vx"))
+    long = w.where("fold <> 4").select("gene", "y", F.posexplode("x").alias("j", "x"))
+    fits = long.groupBy("gene", "j").agg(slope.alias("sl"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.var_pop("y").alias("vy"), F.covar_pop("x", "y").alias("c"), F.var_pop("x").alias("vx"))
     best = fits.withColumn("place", pick([F.round(F.expr("vy - 2 * sl * c + sl * sl * vx"), 9), F.col("j")], ["gene"])).where("place = 1")
-    return long.where("fold = 4").join(best, ["gene", "j"]).select("gene", "obs_id", F.col("j").alias("selected"), r(F.expr("my + sl * (x - mx)")).alias("prediction"))
+    chosen = w.where("fold = 4").join(best.select("gene", "j", "sl", "mx", "my"), "gene").withColumn("v", F.get("x", "j"))
+    return chosen.select("gene", "obs_id", F.col("j").alias("selected"), r(F.expr("my + sl * (v - mx)")).alias("prediction"))
 
 
 @query("LIN-04")
 def elastic_net(s, d):
-    """Nonnegative elastic net weights of the training folds by gene, with the largest violation of their optimality conditions."""
-    rows = []
-    for gene, g in sorted(L.grams(_wide(s, d).where("fold <> 4"), FEATURES, "y", "gene").items()):
+    """Nonnegative elastic net weights of all drivers on the training folds, by gene, with the largest violation of their optimality conditions."""
+
+    def model(frame):
+        g = frame["gram"].iloc[0]
         w, b = L.elastic_net(g)
-        rows += [(int(gene), f, float(x), b, L.optimality_gap(g, w)) for f, x in zip(FEATURES, w, strict=True)]
-    return s.createDataFrame(rows, "gene int, feature string, weight double, intercept double, gap double")
+        gap, gene = L.optimality_gap(g, w), int(frame["gene"].iloc[0])
+        return [(gene, f"x{i}", float(v), b, gap) for i, v in enumerate(w)]
+
+    return L.solve_groups(L.gram_rows(_folded(s, d).where("fold <> 4"), ["gene"]), "gene", model, "gene int, feature string, weight double, intercept double, gap double")
 
 
 @query("LIN-06", "paired obs", "select gene, domain, count(*) n, round(avg((y - x0) * (y - x0)), 6) + 0.0 mse, round(1 - sum((y - x0) * (y - x0)) / (var_pop(y) * count(*) + 1e-12), 4) + 0.0 r2, round(case when stddev_pop(y) * stddev_pop(x0) > 0 then covar_pop(y, x0) / (stddev_pop(y) * stddev_pop(x0)) else 0 end, 6) + 0.0 pearson from wd group by gene, domain", WIDE)
@@ -75,16 +86,19 @@ def prediction_metrics(s, d):
 
 @query("LIN-07 LIN-09")
 def nested_feature_gate(s, d):
-    """Global drivers against drivers by domain (the native spatial model), in nested refits by fold."""
-    w = _wide(s, d)
-    cols = FEATURES + [f"x{i}d{k}" for i in range(4) for k in range(6)]
-    made = w.select("*", *[F.when(F.col("domain") == k, F.col(f"x{i}")).otherwise(0.0).alias(f"x{i}d{k}") for i in range(4) for k in range(6)])
-    folded = made.withColumn("part", F.col("gene") * 100 + F.col("fold"))
-    by_part, out = L.grams(folded, cols, "y", "part"), []
-    for gene in sorted({part // 100 for part in by_part}):
-        enabled, rows = L.nested_gate({part % 100: g for part, g in by_part.items() if part // 100 == gene}, list(range(4)), list(range(4, 28)), test_fold=4)
-        out += [(int(gene), x["validation_fold"], x["global_mse"], x["spatial_mse"], x["relative_gain"], x["improved"], enabled) for x in rows]
-    return s.createDataFrame(out, "gene int, validation_fold int, global_mse double, spatial_mse double, relative_gain double, improved boolean, enabled boolean")
+    """All drivers against all drivers by domain (the native spatial model), in nested refits by fold."""
+
+    def model(frame):
+        domains, k = sorted(frame["domain"].unique()), len(frame["gram"].iloc[0]) - 2
+        empty = np.zeros((k + 2, k + 2))
+        of = {(row.fold, row.domain): row.gram for row in frame.itertuples()}
+        per_fold = {int(f): L.by_domain([of.get((f, m), empty) for m in domains]) for f in sorted(frame["fold"].unique())}
+        enabled, rows = L.nested_gate(per_fold, list(range(k)), list(range(k, k * (len(domains) + 1))), test_fold=4)
+        gene = int(frame["gene"].iloc[0])
+        return [(gene, x["validation_fold"], x["global_mse"], x["spatial_mse"], x["relative_gain"], x["improved"], enabled) for x in rows]
+
+    grams = L.gram_rows(_folded(s, d), ["gene", "fold", "domain"])
+    return L.solve_groups(grams, "gene", model, "gene int, validation_fold int, global_mse double, spatial_mse double, relative_gain double, improved boolean, enabled boolean")
 
 
 _GATE = WIDE | {

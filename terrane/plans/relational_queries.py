@@ -10,12 +10,15 @@ from terrane.operators import neighbours as N
 from terrane.operators import relational as R
 from terrane.plans.registry import query
 from terrane.sources import adapters as A
+from terrane.sources import sparse as Z
+from terrane.sources.layers import kept_layer
+from terrane.sources.tables import scratch
 
 T = A.table
 
 
 # ---- scans and sinks ----
-@query("SRC-02 SRC-03 SRC-04 SRC-05", "cells", "select var_id, list_position([40, 7, 12, 3], var_id) - 1 place, count(*) n, round(sum(value), 4) + 0.0 total from cells where var_id in (40, 7, 12, 3) group by all")
+@query("SRC-02 SRC-03 SRC-04", "cells", "select var_id, list_position([40, 7, 12, 3], var_id) - 1 place, count(*) n, round(sum(value), 4) + 0.0 total from cells where var_id in (40, 7, 12, 3) group by all")
 def read_features(s, d):
     return R.read_features(A.cells(s, d), [40, 7, 12, 3]).groupBy("var_id", "place").agg(F.count(F.lit(1)).alias("n"), r(F.sum("value"), 4).alias("total"))
 
@@ -41,11 +44,11 @@ def tsv_round_trip(s, d):
     return back.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("importance"), 2).alias("importance"))
 
 
-@query("SRC-08 TOP-01 SET-03 REL-08", "links", "select target, region, round(importance * abs(rho), 4) + 0.0 importance_x_abs_rho from (select *, row_number() over (partition by target order by importance * abs(rho) desc nulls last, region) k from links where target <> 'Brand#1' and region < 80) where k <= 20")
+@query("SRC-08 TOP-01 SET-03 REL-08", "links", "select target, region, round(importance * abs(rho), 4) + 0.0 importance_x_abs_rho from (select *, row_number() over (partition by target order by importance * abs(rho) desc nulls last, region) k from links where target <> 'Brand#1' and region in (select s_suppkey from supplier where s_acctbal > 0)) where k <= 20")
 def read_links(s, d):
     base = A.links(s, d).withColumn("importance_x_abs_rho", F.col("importance") * F.abs("rho"))
     known = base.select("target").where("target <> 'Brand#1'").distinct()
-    regions = base.select("region").where("region < 80").distinct()
+    regions = T(s, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("region")).distinct()
     return R.read_links(base, known, regions).select("target", "region", r("importance_x_abs_rho", 4).alias("importance_x_abs_rho"))
 
 
@@ -97,7 +100,32 @@ def interval_index(s, d):
     return joined.select(F.explode(F.split("t", ",")).alias("id")).where("id <> '' and id <> 'genes'").distinct()
 
 
-@query("SRC-15 PRJ-03", "cells", "select var_id, round(sum(ln(1 + greatest(value, 0))), 4) + 0.0 total from cells group by var_id")
+@query("SRC-05 SRC-02", "cells", "select row_number() over (order by var_id, obs_id) - 1 \"at\", var_id col, obs_id \"row\", value from cells where value > 0")
+def transposed_matrix(s, d):
+    """The positive cells of the matrix: written by rows with row pointers, read back, and turned into columns with theirs."""
+    path = scratch(s)
+    size = A.cells(s, d).agg((F.max("obs_id") + 1).alias("n"), (F.max("var_id") + 1).alias("m")).first()
+    Z.write_compressed(*Z.compress(A.cells(s, d).where("value > 0"), "obs_id", "var_id", "value"), path, (size.n, size.m))
+    rows, entries, _ = Z.read_compressed(s, path)
+    pointers, columns = Z.transpose(rows, entries)
+    starts = pointers.select(F.col("row").alias("var"), "start", "stop")
+    cells = Z.expand(pointers, columns, row="col", index="row", value="value").withColumn("place", F.row_number().over(Window.partitionBy("col").orderBy("row")) - 1)
+    return cells.join(starts, F.col("col") == F.col("var")).select((F.col("start") + F.col("place")).alias("at"), F.col("col").cast("int").alias("col"), "row", "value")
+
+
+@query("SRC-15 PRJ-03", "cells targets", "select c.var_id, count(*) n, round(sum(ln(1 + greatest(c.value, 0))), 4) + 0.0 total, round(sum(ln(1 + greatest(c.value, 0)) * t.y), 4) + 0.0 with_target from cells c join targets t on t.obs_id = c.obs_id and t.gene = 0 group by c.var_id")
+def kept_log1p(s, d):
+    """A kept layer of log1p values, asked for twice (built, then read), joined with a kept target by observation."""
+    base = T(s, d, "embeddings")
+    at = scratch(s)
+    long = lambda f: f.select(F.col("vec_id").alias("obs_id"), F.posexplode("embedding").alias("var_id", "v")).select("obs_id", "var_id", F.log1p(F.greatest(F.col("v").cast("double"), F.lit(0.0))).alias("v"))
+    for _ in range(2):
+        layer, _built = kept_layer(base, long, f"{at}/log1p", ["obs_id"], 8)
+    target, _built = kept_layer(base, lambda f: f.select(F.col("vec_id").alias("obs_id"), F.greatest(F.get("embedding", F.lit(A.FIRST_GENE)).cast("double"), F.lit(0.0)).alias("y")), f"{at}/target", ["obs_id"], 8)
+    return layer.join(target, "obs_id").groupBy("var_id").agg(F.count(F.lit(1)).alias("n"), r(F.sum("v"), 4).alias("total"), r(F.sum(F.col("v") * F.col("y")), 4).alias("with_target"))
+
+
+@query("PRJ-03", "cells", "select var_id, round(sum(ln(1 + greatest(value, 0))), 4) + 0.0 total from cells group by var_id")
 def log1p_layer(s, d):
     return A.cells(s, d).withColumn("v", F.log1p(F.greatest("value", F.lit(0.0)))).groupBy("var_id").agg(r(F.sum("v"), 4).alias("total"))
 
@@ -110,10 +138,12 @@ def audit_dataset(s, d):
     return got.crossJoin(F.broadcast(n)).select("n_obs", "n_vars", F.lit({"x", "y"} <= set(o.columns)).alias("has_spatial"), "n_valid")
 
 
-@query("SRC-18", "cells", "select source, count(*) n, round(coalesce(sum(value), 0), 4) + 0.0 total from (select coalesce(m.value, i.value) as value, case when m.value is not null then 'measured' when i.value is not null then 'imputed' else 'missing' end source from (select obs_id, var_id from cells where var_id < 6) w left join (select * from cells where var_id < 2) m using (obs_id, var_id) left join (select * from cells where var_id < 4) i using (obs_id, var_id)) group by source")
+@query("SRC-18", "cells", "select source, count(*) n, round(coalesce(sum(value), 0), 4) + 0.0 total from (select coalesce(m.value, i.value) as value, case when m.value is not null then 'measured' when i.value is not null then 'imputed' else 'missing' end source from cells w left join (select obs_id, var_id, value from cells where value > .5) m using (obs_id, var_id) left join (select obs_id, var_id, value / 2 as value from cells where value > -.5) i using (obs_id, var_id)) group by source")
 def layer_fallback(s, d):
+    """Measured cells are the high ones, imputed ones all but the lowest; all cells are asked for."""
     c = A.cells(s, d)
-    got = R.layered(c.where("var_id < 2"), c.where("var_id < 4"), c.where("var_id < 6").select("obs_id", "var_id"), ["obs_id", "var_id"], "value")
+    imputed = c.where("value > -0.5").select("obs_id", "var_id", (F.col("value") / 2).alias("value"))
+    got = R.layered(c.where("value > 0.5"), imputed, c.select("obs_id", "var_id"), ["obs_id", "var_id"], "value")
     return got.groupBy("source").agg(F.count(F.lit(1)).alias("n"), r(F.coalesce(F.sum("value"), F.lit(0.0)), 4).alias("total"))
 
 
@@ -323,11 +353,12 @@ def distal_peaks(s, d):
     return N.range_anti_join(A.peaks(s, d), A.genes(s, d), ["chrom"], "center", "tss", 7200).select("peak")
 
 
-@query("REL-14", "links", "select a.target, a.region i, b.region j, round(a.rho - b.rho, 6) + 0.0 diff from links a join links b on a.target = b.target and a.region < b.region where a.region < 12 and b.region < 12")
+@query("REL-14", "paired", "select a.gene, a.enh i, b.enh j, round(a.m - b.m, 6) + 0.0 diff from m a join m b on a.gene = b.gene and a.enh < b.enh", {"m": "select gene, enh, avg(x) m from paired group by all"})
 def pairs_in_group(s, d):
-    base = A.links(s, d).where("region < 12")
-    other = base.select("target", F.col("region").alias("j"), F.col("rho").alias("rho_j"))
-    return base.join(other, "target").where("region < j").select("target", F.col("region").alias("i"), "j", r(F.col("rho") - F.col("rho_j")).alias("diff"))
+    """All pairs of a gene's drivers, by their means; a group has a row a driver."""
+    base = A.paired(s, d).groupBy("gene", "enh").agg(F.avg("x").alias("m"))
+    other = base.select("gene", F.col("enh").alias("j"), F.col("m").alias("m_j"))
+    return base.join(other, "gene").where("enh < j").select("gene", F.col("enh").alias("i"), "j", r(F.col("m") - F.col("m_j")).alias("diff"))
 
 
 @query("REL-15", "obs", "select src, dst, rank from (select a.obs_id src, b.obs_id dst, row_number() over (partition by a.obs_id order by round((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z), 9), b.obs_id) rank from obs a join obs b on a.obs_id <> b.obs_id) where rank <= 6")
@@ -550,11 +581,11 @@ def intersect_and_except(s, d):
     return count(both, "both").unionByName(count(only, "only"))
 
 
-@query("SET-06 SPA-25", "cells", "select round(sum(a * b)::double / (sum(greatest(a, b)) + 1e-8), 6) + 0.0 jaccard, round(avg(a), 6) + 0.0 area_a, round(sum(b)::double / greatest(sum(a), 1), 6) + 0.0 area_ratio from (select (u.value > .1)::int a, (v.value > .05)::int b from cells u join cells v on u.obs_id = v.obs_id and u.var_id = 4 and v.var_id = 5)")
+@query("SET-06 SPA-25", "cells", "select u.var_id, round(sum((u.value > .1)::int * (v.value > .05)::int)::double / (sum(greatest((u.value > .1)::int, (v.value > .05)::int)) + 1e-8), 6) + 0.0 jaccard, round(avg((u.value > .1)::int), 6) + 0.0 area_a, round(sum((v.value > .05)::int)::double / greatest(sum((u.value > .1)::int), 1), 6) + 0.0 area_ratio from cells u join cells v on u.obs_id = v.obs_id and v.var_id = u.var_id + 1 group by u.var_id")
 def mask_overlap(s, d):
-    c = A.cells(s, d)
-    m = c.where("var_id in (4, 5)").groupBy("obs_id").agg(F.max(F.when(F.col("var_id") == 4, (F.col("value") > 0.1).cast("int"))).alias("a"), F.max(F.when(F.col("var_id") == 5, (F.col("value") > 0.05).cast("int"))).alias("b"))
-    return m.agg(r(F.sum(F.col("a") * F.col("b")) / (F.sum(F.greatest("a", "b")) + 1e-8)).alias("jaccard"), r(F.avg("a")).alias("area_a"), r(F.sum("b") / F.greatest(F.sum("a"), F.lit(1))).alias("area_ratio"))
+    """The mask of each variable against that of the next one, side by side in the observation's row."""
+    pairs = T(s, d, "embeddings").select(F.expr("explode(transform(sequence(0, size(embedding) - 2), i -> struct(i as var_id, int(double(embedding[i]) > 0.1D) as a, int(double(embedding[i + 1]) > 0.05D) as b)))").alias("p")).select("p.*")
+    return pairs.groupBy("var_id").agg(r(F.sum(F.col("a") * F.col("b")) / (F.sum(F.greatest("a", "b")) + 1e-8)).alias("jaccard"), r(F.avg("a")).alias("area_a"), r(F.sum("b") / F.greatest(F.sum("a"), F.lit(1))).alias("area_ratio"))
 
 
 @query("FIG-07", "cells", "select a.var_id, round(avg(log2((greatest(a.value, 0) + 1e-3) / (greatest(b.value, 0) + 1e-3))), 6) + 0.0 mean_logfc from cells a join cells b on a.obs_id = b.obs_id and b.var_id = 3 and b.value > 0.05 where a.var_id between 11 and 30 group by a.var_id")

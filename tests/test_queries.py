@@ -52,7 +52,7 @@ def adaptive(spark, rows):
 
 
 def net(spark, rows):
-    assert len(rows) == 4 * adapters.GENES and all(x.weight >= 0 and x.gap < 1e-9 for x in rows)
+    assert len(rows) == 53 * adapters.GENES and all(x.weight >= 0 and x.gap < 1e-9 for x in rows)
 
 
 def clusters(spark, rows):
