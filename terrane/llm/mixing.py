@@ -21,8 +21,9 @@ from terrane.llm.text import SPACE, bounded, split_words
 from terrane.operators.lineage import cut
 
 WEIGHTS, MAX_PASSES, SEED = (1, 2, 3), 3, 17
-#: The knapsack is solved exactly up to this budget; greedy steps bring larger ones below it.
-EXACT_BUDGET = 1 << 14
+#: Words of a budget times parts (a length's counts are split into powers of two) that a knapsack goes through.
+#: Up to this the whole budget is fitted exactly; beyond, what proportional counts leave of it, this many over the parts.
+WORK = 500_000_000
 #: Documents that share source and length are ranked in hash ranges of about this many.
 RANK_ROWS = 2000
 
@@ -49,10 +50,12 @@ def source_targets(per_source: DataFrame) -> DataFrame:
     return levels.withColumn("target", F.coalesce(F.least(F.col("cap"), first * F.col("weight")), F.col("cap"))).select("source", "source_size", "weight", "target")
 
 
-def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, exact: int = EXACT_BUDGET) -> np.ndarray:
+def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, work: int = WORK) -> np.ndarray:
     """Documents to take of each size, at most ``counts``, so that their sizes sum to or nearly to ``budget``.
 
-    The sum never exceeds the budget. Sizes are positive, distinct and ascending.
+    The sum never exceeds the budget, and is the largest such sum if budget times parts is at most ``work``: for 50
+    documents up to ten million words, of any lengths. Larger budgets take proportional counts first, then the
+    largest documents that fit, until the rest is that small. Sizes are positive, distinct and ascending.
     """
     take = np.zeros(len(sizes), np.int64)
     total = int((sizes * counts).sum())
@@ -60,35 +63,36 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, exact: int =
         return take
     if budget >= total:
         return counts.astype(np.int64).copy()
-    share = max(0.0, (budget - exact // 2) / total)
-    take = np.minimum(np.floor(counts * share), counts).astype(np.int64)
-    left = budget - int((sizes * take).sum())
+    exact = work // int(sum(int(c).bit_length() for c in counts))
+    left = budget
+    if budget > exact:
+        take = np.minimum(np.floor(counts * max(0.0, (budget - exact // 2) / total)), counts).astype(np.int64)
+        left = budget - int((sizes * take).sum())
+        for i in range(len(sizes) - 1, -1, -1):
+            if left <= exact:
+                break
+            more = min(int(counts[i] - take[i]), (left - exact // 2) // int(sizes[i]))
+            if more > 0:
+                take[i] += more
+                left -= more * int(sizes[i])
+    # Bounded knapsack over the counts still free, split into powers of two: by is the part that first reached a sum.
+    cap, free_counts = min(left, max(exact, 1)), counts - take
+    reached, by, parts = np.zeros(cap + 1, bool), np.full(cap + 1, -1, np.int32), []
+    reached[0] = True
     for i in range(len(sizes) - 1, -1, -1):
-        if left <= exact:
-            break
-        more = min(int(counts[i] - take[i]), (left - exact // 2) // int(sizes[i]))
-        if more > 0:
-            take[i] += more
-            left -= more * int(sizes[i])
-    left_counts = counts - take
-    # Bounded knapsack: bit b of the mask is set if b words can be reached; binary splitting of counts.
-    cap = min(left, exact)
-    full = (1 << (cap + 1)) - 1
-    mask, parts = 1, []
-    for i, s in enumerate(sizes.tolist()):
-        free, k = min(int(left_counts[i]), cap // s), 1
-        while free > 0:
+        s = int(sizes[i])
+        free, k = min(int(free_counts[i]), cap // s), 1
+        while free > 0 and not reached[cap]:
             n = min(k, free)
-            new = mask | ((mask << (n * s)) & full)
-            if new != mask:
-                parts.append((i, n, mask))
-                mask = new
+            new = np.nonzero(reached[: cap + 1 - n * s] & ~reached[n * s :])[0] + n * s
+            reached[new], by[new] = True, len(parts)
+            parts.append((i, n))
             free, k = free - n, 2 * k
-    rest = mask.bit_length() - 1
-    for i, n, before in reversed(parts):
-        if not (before >> rest) & 1:
-            take[i] += n
-            rest -= n * int(sizes[i])
+    rest = int(np.nonzero(reached)[0][-1])
+    while rest:
+        i, n = parts[by[rest]]
+        take[i] += n
+        rest -= n * int(sizes[i])
     return take
 
 

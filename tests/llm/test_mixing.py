@@ -32,6 +32,35 @@ def test_large_budgets_go_through_the_greedy_steps():
         assert abs(int((M.fit_budget(sizes, counts, budget) * sizes).sum()) - budget) <= 1
 
 
+def best_sum(sizes, counts, budget):
+    """The largest sum up to the budget, from all subsets: bit b is set if b words can be reached."""
+    mask, full = 1, (1 << (budget + 1)) - 1
+    for s, c in zip(sizes, counts):
+        for _ in range(c):
+            mask |= (mask << int(s)) & full
+    return mask.bit_length() - 1
+
+
+def test_few_long_documents_are_fitted_exactly():
+    """What can be reached is reached, however long the documents."""
+    for sizes, counts, budget, wanted in (([120_000, 130_000, 140_000], [1, 1, 1], 250_000, 250_000), ([20_000, 30_001], [5, 5], 60_002, 60_002), ([17_000, 40_000, 41_000], [3, 1, 1], 51_000, 51_000)):
+        assert int((M.fit_budget(np.array(sizes), np.array(counts), budget) * sizes).sum()) == wanted
+    r = np.random.default_rng(8)
+    for n in (10, 20, 50):
+        sizes = np.unique(r.integers(20_000, 200_000, n))
+        counts = np.ones(len(sizes), int)
+        for share in (0.05, 0.4, 0.8, 0.97):
+            budget = int(sizes.sum() * share)
+            assert int((M.fit_budget(sizes, counts, budget) * sizes).sum()) == best_sum(sizes, counts, budget)
+
+
+def test_long_documents_among_short_ones():
+    """A long document isn't shut out because the rest is short."""
+    sizes, counts = np.array([7, 900_000, 1_300_000]), np.array([1000, 1, 1])
+    for budget in (900_000, 1_300_003, 2_200_000, 906_999):
+        assert int((M.fit_budget(sizes, counts, budget) * sizes).sum()) == best_sum(sizes, counts, budget)
+
+
 def water_fill(sizes):
     names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
     weight = {s: M.WEIGHTS[i % 3] for i, s in enumerate(names)}
