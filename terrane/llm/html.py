@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from terrane.llm import boosting
 from terrane.llm.text import small_batches, with_output
 
-TRAIN_PAGES, SEED = 1600, 5
+TRAIN_PAGES, SEED = 2000, 5
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?:class|id|role|itemprop|aria-label|data-[\w-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _PART = re.compile(r"[a-z]+")
@@ -53,6 +53,9 @@ MEANINGS = {
     "talk": "comment comments reply replies discussion disqus respond reader feedback thread", "form": "form search login register input contact poll survey", "share": "share social follow tweet facebook like tags byline author meta",
 }
 _MEANING = [(name, tuple(sorted(set(text.split())))) for name, text in MEANINGS.items()]
+#: A class name that begins or ends so says what a page has or how it is laid out, not what the element is: with-sidebar, menu-open.
+_HAS = frozenset("with has have no not without is are hide show".split())
+_STATE = frozenset("open opened closed layout enabled disabled visible hidden template page".split())
 _SHORT = {w for _, ws in _MEANING for w in ws if len(w) <= 4}
 
 
@@ -61,10 +64,14 @@ def meanings(tag_tail: str) -> int:
     """Bits of the meanings that a tag's attributes have."""
     bits = 0
     for value in _ATTRIBUTE.findall(tag_tail):
-        for token in _PART.findall(re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower()):
-            for i, (_, words) in enumerate(_MEANING):
-                if token in words or any(w not in _SHORT and token.startswith(w) for w in words):
-                    bits |= 1 << i
+        for name in re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower().split():
+            tokens = _PART.findall(name)
+            if len(tokens) > 1 and (tokens[0] in _HAS or tokens[-1] in _STATE):
+                continue
+            for token in tokens:
+                for i, (_, words) in enumerate(_MEANING):
+                    if token in words or any(w not in _SHORT and token.startswith(w) for w in words):
+                        bits |= 1 << i
     return bits
 
 
@@ -233,8 +240,14 @@ def describe(nodes: Nodes) -> np.ndarray:
     total = sums[home]
     share = lambda a, b: a / np.maximum(b, 1)
     up = sums[p]
+    # How much of the page stands in the nearest form, and in the nearest element whose attributes tell of boilerplate.
+    part = share(sums[:, 0], total[:, 0])
+    in_form, in_told = np.where(kind == KINDS.index("form"), part, 1.0), np.where((bits & ~1) > 0, part, 1.0)
+    for at in inner[1:]:
+        in_form[at] = np.where(kind[at] == KINDS.index("form"), part[at], in_form[parent[at]])
+        in_told[at] = np.where((bits[at] & ~1) > 0, part[at], in_told[parent[at]])
     columns = [
-        *[kind == i for i in range(len(KINDS))], *[kind[p] == i for i in range(len(KINDS))], *tell.T, *tell[p].T, *above.T,
+        in_form, in_told, *[kind == i for i in range(len(KINDS))], *[kind[p] == i for i in range(len(KINDS))], *tell.T, *tell[p].T, *above.T,
         depth, np.log1p(sums[:, 0]), np.log1p(sums[:, 1]), share(sums[:, 3], sums[:, 0]), share(sums[:, 2], sums[:, 1]), share(sums[:, 1], sums[:, 4]), share(sums[:, 5], sums[:, 4]),
         share(sums[:, 0], sums[:, 7]), np.log1p(sums[:, 6]), np.log1p(sums[:, 7]), share(sums[:, 0], total[:, 0]), share(sums[:, 5], total[:, 5]), share(sums[:, 6], total[:, 6]),
         share(before - before[home], total[:, 0]), n_children[p], same, share(same, n_children[p]), share(sums[:, 0], up[:, 0]), share(up[:, 3], up[:, 0]), share(up[:, 5], up[:, 4]), np.log1p(up[:, 1]), share(up[:, 1], up[:, 4]),
@@ -324,8 +337,10 @@ def _boilerplate(r: random.Random) -> str:
 
 def _article(r: random.Random) -> str:
     out = [f"<{(t := r.choice(('h1', 'h1', 'h2')))}>{_MARK}{_sentence(r, 2, 12)}</{t}>"] if r.random() < 0.85 else []
-    if r.random() < 0.2 and out:
-        out[0] = f"<header>{out[0]}</header>"
+    if out and (how := r.random()) < 0.35:
+        named = f' class="{r.choice(("entry", "post", "article", "page", "story"))}-{r.choice(("header", "head", "title"))}"' if how < 0.2 else ""
+        meta = f'<{(t := r.choice(("div", "p")))} class="{r.choice(("meta", "byline", "entry-meta", "post-author"))}">{_sentence(r, 1, 4)} <a href=/x>{_sentence(r, 1, 3)}</a></{t}>' if how < 0.1 else ""
+        out[0] = f"<header{named}>{out[0]}{meta}</header>"
     for _ in range(r.choice((0, 1, 1, 1, 2, 2, 3, 5, 8, 13, 20))):
         how = r.random()
         body = lambda low, high: " ".join(_sentence(r, low, high) for _ in range(r.choice((1, 1, 2, 4, 8))))
@@ -337,16 +352,32 @@ def _article(r: random.Random) -> str:
         elif how < 0.78:
             out.append(f"<h{(k := r.randint(2, 4))}>{_MARK}{_sentence(r, 1, 8)}</h{k}>")
         elif how < 0.86:
-            out.append(f"<{(t := r.choice(('ul', 'ol')))}>" + "".join(f"<li>{_MARK}{body(2, 15)}</li>" for _ in range(r.randint(2, 6))) + f"</{t}>")
+            out.append(_items(r))
         elif how < 0.9:
             out.append("<table>" + "".join("<tr>" + "".join(f"<td>{_MARK}{_sentence(r, 1, 6)}</td>" for _ in range(3)) + "</tr>" for _ in range(r.randint(1, 4))) + "</table>")
-        elif how < 0.96:
+        elif how < 0.93:
             out.append(f"<{(t := r.choice(('blockquote', 'pre', 'figcaption', 'div')))}>{_MARK}{body(3, 25)}</{t}>")
         elif r.random() < 0.5:
             out.append(_boilerplate(r))
+        else:  # a form of the article's page that says nothing of itself
+            out.append(f"<form{_attribute(r, 'form')}><p>{_sentence(r, 2, 20)}</p></form>")
     return "".join(out)
 
 
+def _items(r: random.Random) -> str:
+    """A list of an article: of sentences, or of a few words each, as in a recipe."""
+    tag, short = r.choice(("ul", "ol")), r.random() < 0.5
+    item = lambda: _sentence(r, 1, 4) if short else " ".join(_sentence(r, 2, 15) for _ in range(r.choice((1, 1, 2, 4, 8))))
+    return f"<{tag}>" + "".join(f"<li>{_MARK}{item()}</li>" for _ in range(r.randint(2, 8))) + f"</{tag}>"
+
+
+def _wrapped(r: random.Random, body: str) -> str:
+    """The page or its article in a form, as some sites have it, or in an element that says nothing."""
+    if r.random() < 0.4:
+        return f'<form{_attribute(r, "form", "good")} method="post"><input type=hidden name=a>{body}</form>'
+    return f'<div {r.choice(("class", "id"))}="{r.choice(("layout", "wrap", "outer", "grid", "row", "container"))}">{body}</div>'
+
+
 def _page(r: random.Random) -> str:
     if (bare := r.random()) < 0.1:
         return _article(r) or f"<p>{_MARK}{_sentence(r, 3, 20)}" if bare < 0.06 else _MARK + " ".join(_sentence(r, 2, 20) for _ in range(3))
@@ -356,8 +387,13 @@ def _page(r: random.Random) -> str:
     for _ in range(r.choice((0, 0, 1, 2))):
         outer = r.choice(("div", "main", "section"))
         main = f"<{outer}{_attribute(r, 'good')}>{_boilerplate(r) if r.random() < 0.4 else ''}{main}{_boilerplate(r) if r.random() < 0.4 else ''}</{outer}>"
+    if r.random() < 0.08:  # nothing but a title and lists
+        main = f"<{tag}{named}><h1>{_MARK}{_sentence(r, 1, 6)}</h1>{''.join(_items(r) for _ in range(r.randint(1, 3)))}</{tag}>"
+    if r.random() < 0.12:
+        main = _wrapped(r, main)
     before, after = ("".join(_boilerplate(r) for _ in range(r.randint(0, 4))) for _ in range(2))
-    return f"<html><head><title>x</title></head><body>{before}{main}{after}</body></html>"
+    body = f"{before}{main}{after}"
+    return f"<html><head><title>x</title></head><body>{_wrapped(r, body) if r.random() < 0.12 else body}</body></html>"
 
 
 @functools.lru_cache(4)
