@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terrane.functions.numeric import entropy, pick, r
+from terrane.operators import intervals as I
 from terrane.operators import neighbours as N
 from terrane.operators import relational as R
+from terrane.operators import sketches as K
 from terrane.plans.registry import query
 from terrane.sources import adapters as A
 from terrane.sources import sparse as Z
@@ -594,3 +596,50 @@ def active_logfc(s, d):
     base = c.where("var_id = 3 and value > 0.05").select("obs_id", F.col("value").alias("b"))
     v = F.log2((F.greatest("value", F.lit(0.0)) + 1e-3) / (F.greatest("b", F.lit(0.0)) + 1e-3))
     return c.where("var_id between 11 and 30").join(base, "obs_id").groupBy("var_id").agg(r(F.avg(v)).alias("mean_logfc"))
+
+
+# ---- along time ----
+_EVENTS = "select event_id, user_id, event_type, value, (epoch_us(ts) // 1000000)::bigint s from events"
+
+
+def _events(s, d):
+    return T(s, d, "events").select("event_id", "user_id", "event_type", "value", F.unix_timestamp("ts").alias("s"))
+
+
+@query("REL-20", "", "select p.event_id, max_by(c.event_id, (c.s, c.event_id)) click_id, p.s - max(c.s) gap from e p left join (select * from e where event_type = 'click') c on c.user_id = p.user_id and c.s between p.s - 21600 and p.s where p.event_type = 'purchase' group by p.event_id, p.s", {"e": _EVENTS})
+def as_of_events(s, d):
+    """The last click of the same user within six hours up to each purchase."""
+    e = _events(s, d)
+    clicks = e.where("event_type = 'click'").select("user_id", F.col("event_id").alias("click_id"), F.col("s").alias("at"))
+    found = I.as_of_join(e.where("event_type = 'purchase'"), clicks, ["user_id"], "s", "at", "click_id", 21600)
+    return found.select("event_id", "found.click_id", (F.col("s") - F.col("found.at")).alias("gap"))
+
+
+@query("REL-20", "peak", "select peak, event_id gene, least(p.\"end\", g.e) - greatest(p.start, g.s) shared from peak p join (select *, s + 60 + floor(value * 600)::bigint e from e where event_type = 'signup') g on g.user_id = p.chrom and p.start < g.e and g.s < p.\"end\"", {"e": _EVENTS})
+def overlapping_intervals(s, d):
+    """All peaks and intervals of very different lengths that share a point, and how much they share."""
+    spans = _events(s, d).where("event_type = 'signup'").select(F.col("event_id").alias("gene"), F.col("user_id").alias("chrom"), F.col("s").alias("start"), (F.col("s") + 60 + F.floor(F.col("value") * 600)).alias("end"))
+    met = I.overlap_join(A.peaks(s, d).select("peak", "chrom", "start", "end"), spans, ["chrom"], "start", "end", 512)
+    return met.select("a.peak", "b.gene", (F.least("a.end", "b.end") - F.greatest("a.start", "b.start")).alias("shared"))
+
+
+@query("WIN-11", "", "select event_id, count(*) over w n, round(sum(value) over w, 4) + 0.0 total, max(value) over w most from e window w as (partition by user_id order by s range between 21600 preceding and current row)", {"e": _EVENTS})
+def trailing_frames(s, d):
+    """What each user did in the six hours up to each event, in blocks of time."""
+    found = I.range_frame(_events(s, d), ["user_id"], "s", 21600, {"n": F.count(F.lit(1)), "total": F.sum("value"), "most": F.max("value")})
+    return found.select("event_id", "n", r("total", 4).alias("total"), "most")
+
+
+@query("AGG-24", "", "select event_type, kind, count(*) n, round(sum(value), 2) + 0.0 total, grouping(event_type, kind)::bigint level from (select event_type, case when value is null then 'none' when value < 5 then 'low' else 'high' end kind, value from events) group by cube (event_type, kind)")
+def event_cube(s, d):
+    """Counts and totals by type and kind, by each alone, and of all, from one grouping."""
+    rows = T(s, d, "events").select("event_type", F.expr("case when value is null then 'none' when value < 5 then 'low' else 'high' end").alias("kind"), "value")
+    return rows.cube("event_type", "kind").agg(F.count(F.lit(1)).alias("n"), (F.round(F.sum("value"), 2) + F.lit(0.0)).alias("total"), F.grouping_id().cast("long").alias("level"))
+
+
+@query("AGG-24")
+def merged_sketches(s, d):
+    """Distinct users, quantiles of values and most frequent users, by type of event, merged from sketches kept by day."""
+    path = f"{scratch(s)}/sketches"
+    K.sketch(T(s, d, "events").withColumn("day", F.to_date("ts")), ["event_type", "day"], "user_id", "value").write.parquet(path)
+    return K.merge(s.read.parquet(path), ["event_type"]).select("event_type", "n", "distinct", *[F.get("quantiles", i).alias(f"q{q}") for i, q in enumerate((50, 90, 99))], "frequent")

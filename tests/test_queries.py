@@ -133,9 +133,20 @@ def some(spark, rows):
     assert rows
 
 
+def sketched(spark, rows):
+    events = spark.read.parquet(f"{FOLDER}/events.parquet").select("event_type", "user_id", "value").collect()
+    assert {x.event_type for x in rows} == {e.event_type for e in events}
+    for x in rows:
+        own = [e for e in events if e.event_type == x.event_type]
+        users, values = [e.user_id for e in own], sorted(e.value for e in own if e.value is not None)
+        assert x.n == len(own) and abs(x.distinct - len(set(users))) <= 0.03 * len(set(users)) + 1
+        assert all(abs(np.searchsorted(values, v, side="right") / len(values) - q) < 0.03 or values.count(v) > 0.03 * len(values) for q, v in ((0.5, x.q50), (0.9, x.q90), (0.99, x.q99)))
+        assert all(f["count"] == users.count(f["item"]) for f in x.frequent) and x.frequent[0]["count"] == max(users.count(u) for u in set(users))
+
+
 CHECKS = {
     "active_contour_mask": masks_a_bright_part, "diffusion_cluster_mask": masks_a_bright_part, "adaptive_quantile_mask": adaptive, "elastic_net": net, "kmeans_domains": clusters, "mixture_mask": mixed,
-    "nested_feature_gate": gate, "one_tailed_p_values": tails, "principal_components": components, "random_walker_mask": walker, "resampled": resampled, "set_encoder": encoded, "simulated_recovery": recovered,
+    "nested_feature_gate": gate, "one_tailed_p_values": tails, "principal_components": components, "random_walker_mask": walker, "resampled": resampled, "merged_sketches": sketched, "set_encoder": encoded, "simulated_recovery": recovered,
     "simulated_scenarios": scenarios, "streamed_event_windows": windows, "resumable_chunks": some, "star_and_manifest": some,
 }
 
