@@ -21,7 +21,7 @@ def sketch(rows: DataFrame, by: list[str], key: str, value: str, tracked: int =
     """
     return rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.hll_sketch_agg(F.col(key), F.lit(DISTINCT_BITS)).alias("distinct"), F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(QUANTILE_K)).alias("quantiles"),
-        F.expr(f"approx_top_k_accumulate(`{key}`, {tracked})").alias("frequent"),
+        F.expr(f"approx_top_k_accumulate(`{key}`, {tracked}) filter (where `{key}` is not null)").alias("frequent"),
     )
 
 
