@@ -231,26 +231,32 @@ def set_encoder(s, d):
     return L.forward(parts, ["gene", "row", "col"], 1.0)[1]
 
 
-# ---- simulations ----
+# ---- simulations: known truth laid over what the given lines show at each pixel, which their noise follows ----
+def _seen(s, d):
+    return A.table(s, d, "lineitem").groupBy((F.col("l_suppkey") % 48).cast("int").alias("row"), (F.col("l_partkey") % 64).cast("int").alias("col")).agg(F.avg("l_quantity").alias("value"))
+
+
 _SIM = {
     "gd": "select r.r \"row\", c.c col, c.c / 63.0::double x, r.r / 47.0::double y from (select unnest(range(48))::int r) r cross join (select unnest(range(64))::int c) c",
     "gt": "select *, (pow((x - .5) / .48, 2) + pow((y - .5) / .43, 2) <= 1) tissue from gd",
+    "ob": "select (l_suppkey % 48)::int \"row\", (l_partkey % 64)::int col, count(*) n from lineitem group by all",
     "sm": "select \"row\", col, tissue, exp(-(pow(x - .3, 2) + pow(y - .5, 2)) / (2 * .16 * .16)) * tissue::int l, exp(-(pow(x - .7, 2) + pow(y - .5, 2)) / (2 * .16 * .16)) * tissue::int rr, (x <= .5)::int west from gt",
 }
 
 
-@query("SIM-01 SIM-02 SIM-03", "", 'select "row", col, enh, round(case when enh = 0 then l else rr end, 6) + 0.0 activity, ((case when enh = 0 then west else 1 - west end) * tissue::int)::double attribution, round(l * west + rr * (1 - west), 6) + 0.0 gene from sm, (select unnest([0, 1]) enh)', _SIM)
+@query("SIM-01 SIM-02 SIM-03", "", 'select "row", col, enh, round(case when enh = 0 then l else rr end, 6) + 0.0 activity, ((case when enh = 0 then west else 1 - west end) * tissue::int)::double attribution, round(l * west + rr * (1 - west), 6) + 0.0 gene, coalesce(n, 0) lines from sm left join ob using ("row", col), (select unnest([0, 1]) enh)', _SIM)
 def simulated_complementary(s, d):
     m = M.decomposition(s, "complementary", drivers=2)
-    return m.select("row", "col", "enh", r("activity").alias("activity"), r("attribution").alias("attribution"), r("gene").alias("gene"))
+    lines = A.table(s, d, "lineitem").groupBy((F.col("l_suppkey") % 48).cast("int").alias("row"), (F.col("l_partkey") % 64).cast("int").alias("col")).agg(F.count(F.lit(1)).alias("lines"))
+    return m.join(lines, ["row", "col"], "left").select("row", "col", "enh", r("activity").alias("activity"), r("attribution").alias("attribution"), r("gene").alias("gene"), F.coalesce("lines", F.lit(0)).alias("lines"))
 
 
 @query("SIM-01")
 def simulated_scenarios(s, d):
     """All six scenarios with noise: totals of activity, attribution and signal."""
-    out = None
+    out, seen = None, _seen(s, d)
     for name in M.SCENARIOS:
-        part = M.decomposition(s, name, noise=0.04).groupBy("enh").agg(F.sum("activity").alias("activity"), F.sum("attribution").alias("attribution"), F.sum("gene").alias("gene")).withColumn("scenario", F.lit(name))
+        part = M.decomposition(s, name, noise=0.04, seen=seen).groupBy("enh").agg(F.sum("activity").alias("activity"), F.sum("attribution").alias("attribution"), F.sum("gene").alias("gene")).withColumn("scenario", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -258,7 +264,7 @@ def simulated_scenarios(s, d):
 @query("SIM-04 COR-07 AGG-20")
 def simulated_recovery(s, d):
     """The mixed simulation through evidence, permutation and classes: drivers by true and predicted class."""
-    m = M.mixed_complexity(s).where("tissue")
+    m = M.mixed_complexity(s, seen=_seen(s, d)).where("tissue")
     domain = (F.least((F.col("row") * 2 / 48).cast("int"), F.lit(1)) * 3 + F.least((F.col("col") * 3 / 64).cast("int"), F.lit(2))).alias("domain")
     pix = m.select(F.lit(0).alias("gene"), "enh", "row", "col", domain, F.col("activity").alias("x"), F.col("gene").alias("y"))
     observed = E.evidence(pix, policy="zero_std")
@@ -269,10 +275,12 @@ def simulated_recovery(s, d):
     return classed.join(truth, "enh").groupBy("truth", "predicted_class").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SIM-05", "", 'select "row", col, (col // 8 + 2 * ("row" // 8)) % 4 internal_fold, least(col * 5 // 64, 4) vertical_fold from gd', {"gd": _SIM["gd"]})
+@query("SIM-05", "pixel", 'select "row", col, (col // 12 + 2 * ("row" // 12)) % 4 internal_fold, least(col * 5 // 101, 4) vertical_fold from pixel')
 def checkerboard_folds(s, d):
-    g = M.grid(s, 48, 64)
-    return g.select("row", "col", ((F.floor(F.col("col") / 8) + 2 * F.floor(F.col("row") / 8)) % 4).cast("int").alias("internal_fold"), F.least(F.floor(F.col("col") * 5 / 64), F.lit(4)).cast("int").alias("vertical_fold"))
+    """Folds of all observed pixels: a checkerboard of an eighth of the columns by a sixth of the rows, and vertical slabs."""
+    across, down = A.GRID_COLS // 8, A.GRID_ROWS // 6
+    inner = (F.floor(F.col("col") / across) + 2 * F.floor(F.col("row") / down)) % 4
+    return A.pixels(s, d).select("row", "col", inner.cast("int").alias("internal_fold"), F.least(F.floor(F.col("col") * 5 / A.GRID_COLS), F.lit(4)).cast("int").alias("vertical_fold"))
 
 
 @query("FIG-05", "paired", "select gene, enh, round(case when stddev_pop(x) >= 1e-8 and stddev_pop(y) >= 1e-8 and count(*) >= 3 then covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) end, 6) + 0.0 raw_rho, round(case when stddev_pop(case when y > .08 then x end) >= 1e-8 and stddev_pop(case when y > .08 then y end) >= 1e-8 and count_if(y > .08) >= 3 then covar_pop(case when y > .08 then x end, case when y > .08 then y end) / (stddev_pop(case when y > .08 then x end) * stddev_pop(case when y > .08 then y end)) end, 6) + 0.0 latent_rho from paired group by gene, enh")

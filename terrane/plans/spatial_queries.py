@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terrane.functions.numeric import correlation, moments, r
+from terrane.operators import clusters as C
 from terrane.operators import neighbours as N
 from terrane.operators import raster as S
 from terrane.operators import triangles as T
@@ -371,25 +372,21 @@ def top2_variance_projection(s, d):
 
 @query("SPA-34")
 def principal_components(s, d):
-    """The first three components of the standardised features."""
-    from pyspark.ml.feature import PCA, StandardScaler
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    rows = A.table(s, d, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("raw"))
-    scaled = StandardScaler(withMean=True, withStd=True, inputCol="raw", outputCol="z").fit(rows).transform(rows)
-    return PCA(k=3, inputCol="z", outputCol="pc").fit(scaled).transform(scaled).select("vec_id", vector_to_array("pc").alias("pc"))
+    """The first fifteen components of the standardised features, and each one's share of their variance."""
+    rows = A.table(s, d, "embeddings").select("vec_id", "embedding")
+    mean, deviation, found, variances = C.components(rows, "embedding", 15)
+    share = F.array(*[F.lit(float(v)) for v in variances / max((deviation > 1e-12).sum(), 1)])
+    return C.projected(rows, "embedding", mean, deviation, found, "pc").withColumn("explained", share)
 
 
 @query("SPA-02")
 def kmeans_domains(s, d):
-    """Six domains of the standardised coordinates."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-
-    o = A.observations(s, d)
-    rows = VectorAssembler(inputCols=["x", "y", "z"], outputCol="raw").transform(o)
-    scaled = StandardScaler(withMean=True, withStd=True, inputCol="raw", outputCol="features").fit(rows).transform(rows)
-    return KMeans(k=6, seed=7, initSteps=5, maxIter=40).fit(scaled).transform(scaled).select("obs_id", F.col("prediction").alias("domain"))
+    """Six domains of the standardised coordinates, by the best of twenty starts."""
+    o = A.observations(s, d).select("obs_id", *[F.col(c).cast("double").alias(c) for c in "xyz"])
+    scale = o.agg(*[f(c).alias(f"{n}_{c}") for c in "xyz" for n, f in (("m", F.avg), ("s", F.stddev_pop))])
+    z = o.crossJoin(F.broadcast(scale)).select("obs_id", *[((F.col(c) - F.col(f"m_{c}")) / F.greatest(F.col(f"s_{c}"), F.lit(1e-8))).alias(c) for c in "xyz"])
+    centres, _ = C.kmeans(z, ["x", "y", "z"], 6)
+    return C.labelled(z, ["x", "y", "z"], centres, "domain").select("obs_id", "domain")
 
 
 _PAIRED = LAT | {

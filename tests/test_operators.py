@@ -217,7 +217,7 @@ def test_mixed_simulation_has_its_classes(spark):
 def test_mixed_simulation_recovers_core_without_false_regional(spark):
     from terrane.plans.catalogue import QUERIES
 
-    rows = QUERIES["simulated_recovery"](spark, "").collect()
+    rows = QUERIES["simulated_recovery"](spark, "/root/testdata/sf0.001").collect()
     assert sum(x.n for x in rows if x.truth == "core_concordant" and x.predicted_class == "core_concordant") == 10
     assert not [x for x in rows if x.truth == "unsupported" and x.predicted_class == "regional_candidate"]
 
