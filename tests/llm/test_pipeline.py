@@ -24,7 +24,7 @@ def test_empty_table(spark, tmp_path):
 
 
 def test_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 13))
 
 
 def test_stages_take_nasty_rows(spark, nasty):
