@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from terrane.functions.numeric import adjusted, average_rank, correlation, entropy, moments, pick, r, with_q_values
 from terrane.operators import evidence as E
 from terrane.operators.lineage import cut
+from terrane.operators.order import prefix_sums
 from terrane.operators.periodic import random_shifts, shifted_null, shifted_sources, unit_box
 from terrane.plans.registry import query
 from terrane.sources import adapters as A
@@ -229,10 +230,11 @@ def recovery_metrics(s, d):
 @query("AGG-21", "paired", """select round(sum((tp - lag_tp) * tp / n) / max(pos), 6) average_precision from (select score, tp, n, coalesce(lag(tp) over (order by score desc), 0) lag_tp, max(tp) over () pos from
 (select score, sum(sum(t)) over (order by score desc) tp, sum(count(*)) over (order by score desc) n from (select regional_evidence_score score, (enh % 4 = 1)::int t from cl) group by score))""", EV)
 def average_precision(s, d):
-    by_score = _screen(s, d).groupBy(F.col("regional_evidence_score").alias("score")).agg(F.sum((F.col("enh") % 4 == 1).cast("long")).alias("t"), F.count(F.lit(1)).alias("c"))
-    w = Window.orderBy(F.desc("score"))
-    steps = by_score.select("score", "t", F.sum("t").over(w).alias("tp"), F.sum("c").over(w).alias("n"))
-    return steps.agg(F.round(F.sum(F.col("t") * F.col("tp") / F.col("n")) / F.sum("t"), 6).alias("average_precision"))
+    """Precision at each score, over the true drivers found there; scores have six digits, so they are whole numbers of millionths."""
+    score = (-F.round(F.col("regional_evidence_score") * 1e6)).cast("long")
+    by_score = cut(_screen(s, d).groupBy(score.alias("k")).agg(F.sum((F.col("enh") % 4 == 1).cast("long")).alias("t"), F.count(F.lit(1)).alias("c")))
+    steps = prefix_sums(by_score, "k", "t", "hits").join(prefix_sums(by_score.select("k", "c"), "k", "c", "rows").drop("c"), "k")
+    return steps.agg(F.round(F.sum(F.col("t") * (F.col("hits") + F.col("t")) / (F.col("rows") + F.col("c"))) / F.sum("t"), 6).alias("average_precision"))
 
 
 @query("AGG-22 AGG-23", "paired", "select predicted_class, count(*) n, round(avg(regional_evidence_score), 6) + 0.0 mean, round(stddev_samp(regional_evidence_score), 6) + 0.0 std, min(regional_evidence_score) lo, max(regional_evidence_score) hi from cl group by predicted_class", EV)

@@ -10,6 +10,8 @@ from terrane.operators import intervals as I
 from terrane.operators import neighbours as N
 from terrane.operators import relational as R
 from terrane.operators import sketches as K
+from terrane.operators.lineage import cut
+from terrane.operators.order import numbered, prefix_sums
 from terrane.plans.registry import query
 from terrane.sources import adapters as A
 from terrane.sources import sparse as Z
@@ -239,8 +241,8 @@ def latent_and_logfc(s, d):
 
 @query("PRJ-16 TOP-03", "", "select k, p_partkey from (select row_number() over (order by p_retailprice desc, p_partkey) k, p_partkey from part) where k between 11 and 40")
 def rank_range(s, d):
-    placed = T(s, d, "part").withColumn("k", F.row_number().over(Window.orderBy(F.desc("p_retailprice"), "p_partkey")))
-    return placed.where("k between 11 and 40").select(F.col("k").cast("long").alias("k"), "p_partkey")
+    placed = numbered(T(s, d, "part").select("p_retailprice", "p_partkey"), [F.desc("p_retailprice"), F.col("p_partkey")], "k")
+    return placed.where("k between 11 and 40").select("k", "p_partkey")
 
 
 @query("PRJ-17", "targets obs", "select t.obs_id, t.gene, case when o.domain <> 2 then round(t.y, 6) + 0.0 else 0.0 end context, (o.domain <> 2)::int visible from targets t join obs o using (obs_id)")
@@ -503,14 +505,14 @@ _FOLD = {"o": "select obs_id, round(x, 2) c from obs", "l": "select *, least((ro
 def folds(s, d, k=5):
     """obs_id, fold: contiguous slabs of x with about as many observations each; equal coordinates stay together.
 
-    Counts per coordinate are cumulated, so only distinct coordinates go through one task.
+    Counts per coordinate are cumulated by blocks, so no task sees all coordinates.
     """
-    o = A.observations(s, d).select("obs_id", F.round("x", 2).alias("c"))
-    counts = o.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    first = counts.select("c", F.least(F.floor(before * k / F.sum("n").over(Window.partitionBy())), F.lit(k - 1)).alias("f"))
-    labels = first.select("c", (F.dense_rank().over(Window.orderBy("f")) - 1).cast("long").alias("fold"))
-    return o.join(labels, "c").select("obs_id", "fold")
+    o = A.observations(s, d).select("obs_id", F.round(F.round("x", 2) * 100).cast("long").alias("c"))
+    counts = cut(o.groupBy("c").agg(F.count(F.lit(1)).alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    first = prefix_sums(counts, "c", "n", "before").select("c", F.least(F.floor(F.col("before") * k / total), F.lit(k - 1)).alias("f"))
+    labels = first.select("f").distinct().select("f", (F.dense_rank().over(Window.orderBy("f")) - 1).cast("long").alias("fold"))
+    return o.join(first.join(F.broadcast(labels), "f"), "c").select("obs_id", "fold")
 
 
 @query("WIN-05", "obs", "select * from fd", _FOLD)
@@ -559,8 +561,8 @@ def first_and_forced(s, d):
 
 @query("TOP-06", "links", "select row_number() over (order by rho desc nulls last, importance asc, target, region) k, target, region from links")
 def multi_key_order(s, d):
-    w = Window.orderBy(F.desc_nulls_last("rho"), "importance", "target", "region")
-    return A.links(s, d).select(F.row_number().over(w).cast("long").alias("k"), "target", "region")
+    order = [F.desc_nulls_last("rho"), F.col("importance"), F.col("target"), F.col("region")]
+    return numbered(A.links(s, d), order, "k").select("k", "target", "region")
 
 
 @query("TOP-07", "links", "select target, arg_max(region, (rho, -region)) best from links where rho is not null group by target")

@@ -302,7 +302,7 @@ def validated_score(s, d):
 
 
 _ACT = {
-    "pr": "select p.gene, p.enh, p.obs_id, o.x ox, o.y oy, o.z oz, p.x, p.y from paired p join obs o using (obs_id) where p.gene < 2 and p.enh < 4 and p.y > 0.08",
+    "pr": "select p.gene, p.enh, p.obs_id, o.x ox, o.y oy, o.z oz, p.x, p.y from paired p join obs o using (obs_id) where p.y > 0.08",
     "px": "select *, greatest(quantile_cont(case when x > 0 then x end, .99) over (partition by gene, enh), 1e-8) qx, greatest(quantile_cont(case when y > 0 then y end, .99) over (partition by gene, enh), 1e-8) qy from pr",
     "nm": "select gene, enh, obs_id, ox, oy, oz, least(greatest(x, 0), qx) / qx e, least(greatest(y, 0), qy) / qy c from px",
     "ft": "select gene, enh, case when stddev_pop(c) < 1e-8 then 0 else covar_pop(c, e) / var_pop(c) end sl, avg(e) me, avg(c) mc from nm group by gene, enh",
@@ -329,7 +329,7 @@ def structure_scores(s, d):
     from terrane.operators.structure import structure_scores as scores
 
     o = A.observations(s, d).select("obs_id", F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("z").alias("oz"))
-    active = A.paired(s, d).where("gene < 2 and enh < 4 and y > 0.08").select("gene", "enh", "obs_id", "x", "y").join(o, "obs_id")
+    active = A.paired(s, d).where("y > 0.08").select("gene", "enh", "obs_id", "x", "y").join(o, "obs_id")
     return scores(active)
 
 

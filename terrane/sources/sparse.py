@@ -12,33 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terrane.operators.lineage import cut
+from terrane.operators.order import prefix_sums
 from terrane.sources.tables import read_manifest, write_manifest
 
-#: Keys, and places, of a block.
+#: Indexes, and places, of a block.
 BLOCK = 4096
 
 
-def prefix_sums(counts: DataFrame, key: str, value: str, out: str = "before", block: int = BLOCK) -> DataFrame:
-    """``counts`` (one row a whole-number key) with the sum of ``value`` over all smaller keys.
-
-    Sums within blocks of keys, and over blocks by the same function again, until one block is left.
-    """
-    sums = _before(counts.select(F.col(key).alias("k"), F.col(value).alias("n")), block)
-    return counts.join(sums.select(F.col("k").alias(key), F.col("before").alias(out)), key)
-
-
-def _before(counts: DataFrame, block: int) -> DataFrame:
-    """k, before: of k, n."""
-    least = counts.agg(F.min("k")).first()[0] or 0
-    blocked = counts.select("k", "n", F.floor((F.col("k") - least) / block).alias("b"))
-    totals = cut(blocked.groupBy("b").agg(F.sum("n").alias("n")).toDF("k", "n"))
-    before = Window.partitionBy("b").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    own = blocked.select("b", "k", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("own"))
-    if totals.limit(2).count() < 2:
-        return own.select("k", F.col("own").alias("before"))
-    return own.join(_before(totals, block).toDF("b", "base"), "b").select("k", (F.col("own") + F.col("base")).alias("before"))
-
-
 def compress(cells: DataFrame, row: str, index: str, value: str) -> tuple[DataFrame, DataFrame]:
     """(pointers, entries) of cells, one row each, ordered by row, then index; rows without cells have no pointer.
 

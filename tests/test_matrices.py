@@ -3,6 +3,7 @@ from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
+from terrane.operators import order as O
 from terrane.sources import layers as L
 from terrane.sources import sparse as S
 
@@ -60,10 +61,20 @@ def test_files_and_chosen_rows(spark, frame, tmp_path):
 def test_prefix_sums(spark):
     r = random.Random(1)
     rows = [(k, r.randint(0, 9)) for k in r.sample(range(-500, 100_000), 300)]
-    found = {x.k: x.before for x in S.prefix_sums(spark.createDataFrame(rows, "k long, n long"), "k", "n", block=10).collect()}
+    found = {x.k: x.before for x in O.prefix_sums(spark.createDataFrame(rows, "k long, n long"), "k", "n", block=10).collect()}
     assert found == {k: sum(n for j, n in rows if j < k) for k, _ in rows}
 
 
+def test_numbers_in_one_order(spark):
+    r = random.Random(2)
+    rows = [(i, r.choice((None, 1.0, 2.0, float("nan"))) if r.random() < 0.5 else r.random()) for i in range(500)]
+    frame = spark.createDataFrame(rows, "id long, v double").repartition(5)
+    found = {x.id: x.k for x in O.numbered(frame, [F.desc_nulls_last("v"), F.col("id")], "k", 7).collect()}
+    assert [i for i, _ in sorted(found.items(), key=lambda x: x[1])] == [x.id for x in frame.orderBy(F.desc_nulls_last("v"), "id").collect()] and sorted(found.values()) == list(range(1, 501))
+    same = O.numbered(spark.createDataFrame([(1,)] * 50, "v long"), [F.col("v")], "k").collect()
+    assert sorted(x.k for x in same) == list(range(1, 51)) and O.numbered(frame.limit(0), [F.col("v")], "k").count() == 0
+
+
 def test_empty_matrix(spark, frame):
     pointers, entries = S.compress(frame.limit(0), "obs", "var", "v")
     assert pointers.count() == entries.count() == S.expand(pointers, entries).count() == 0
