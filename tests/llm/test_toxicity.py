@@ -23,6 +23,20 @@ def test_pairs_are_learned():
     assert s[2] > 0.5 and (s[[0, 1, 3, 4]] < 0.5).all()
 
 
+def test_what_no_sum_of_weights_can_tell():
+    """ab and cd are label 1, ac and bd label 0: weights would have to add up to more and to less for the same four terms."""
+    import pandas as pd
+
+    r, texts, labels = random.Random(7), [], []
+    for _ in range(3000):
+        kind = r.choice(("ab", "cd", "ac", "bd", "", ""))
+        texts.append(" ".join([prose(r, 6), *[x + "word" for x in kind], prose(r, 6)]))
+        labels.append(int(kind in ("ab", "cd")))
+    m = T.fit([np.array(sorted({T.bucket(t) for t in T.terms(x)})) for x in texts], np.array(labels))
+    s = m.score(pd.Series(["aword bword", "cword dword", "aword cword", "bword dword", "x"]))
+    assert (s[:2] > 0.5).all() and (s[2:] < 0.5).all()
+
+
 def test_margin_is_that_of_the_scores():
     rng = np.random.default_rng(0)
     m = T.Model(np.arange(3), 0.5, rng.normal(size=3), rng.normal(size=(3, 4)))
@@ -41,6 +55,15 @@ def test_held_out_accuracy(spark):
     assert sum(r.predicted for r in got if r.toxic) >= 0.6 * sum(r.toxic for r in got)
 
 
+def test_rows_that_were_never_trained_on(spark):
+    """Held-out rows alone, of the largest given table: what is toxic is found, and clean rows are left alone."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    got = T.score_toxicity(docs, labels).where("held_out").join(labels, "doc_id").collect()
+    toxic, clean = [r for r in got if r.toxic], [r for r in got if r.toxic == 0]
+    assert len(toxic) > 20 and sum(r.predicted for r in toxic) >= 0.8 * len(toxic) and sum(r.predicted for r in clean) <= 0.01 * len(clean)
+
+
 def test_labels_lang_source_and_held_out_rows_dont_matter(spark):
     folder = "/root/testdata/sf0.001"
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
