@@ -194,7 +194,10 @@ _SPEAR = {
 
 
 def _spearman(s, d):
-    ranks = A.paired(s, d).select("gene", "enh", average_rank("x", ["gene", "enh"]).alias("rx"), average_rank("y", ["gene", "enh"]).alias("ry"))
+    # A target's ranks are the same for all its drivers: they are made once, before drivers become rows.
+    own = A.targets(s, d).select("obs_id", "gene", average_rank("y", ["gene"]).alias("ry"))
+    pairs = A.signals(s, d).select("obs_id", "gene", "x").join(own, ["obs_id", "gene"]).select("gene", "ry", F.posexplode("x").alias("enh", "x"))
+    ranks = pairs.select("gene", "enh", average_rank("x", ["gene", "enh"]).alias("rx"), "ry")
     return ranks.groupBy("gene", "enh").agg(*moments("rx", "ry")).select("gene", "enh", "n", r(F.coalesce(correlation("null"), F.lit(0.0))).alias("rho"))
 
 

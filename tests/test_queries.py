@@ -123,12 +123,6 @@ def scenarios(spark, rows):
     assert len({x.scenario for x in rows}) == 6 and all(x.activity >= 0 for x in rows)
 
 
-def windows(spark, rows):
-    # Rows later than the watermark are dropped, by the stream's contract.
-    n = spark.read.parquet(f"{FOLDER}/events.parquet").count()
-    assert 0.99 * n <= sum(x.n for x in rows) <= n and len({(x.start, x.event_type) for x in rows}) == len(rows)
-
-
 def some(spark, rows):
     assert rows
 
@@ -147,7 +141,7 @@ def sketched(spark, rows):
 CHECKS = {
     "active_contour_mask": masks_a_bright_part, "diffusion_cluster_mask": masks_a_bright_part, "adaptive_quantile_mask": adaptive, "elastic_net": net, "kmeans_domains": clusters, "mixture_mask": mixed,
     "nested_feature_gate": gate, "one_tailed_p_values": tails, "principal_components": components, "random_walker_mask": walker, "resampled": resampled, "merged_sketches": sketched, "set_encoder": encoded, "simulated_recovery": recovered,
-    "simulated_scenarios": scenarios, "streamed_event_windows": windows, "resumable_chunks": some, "star_and_manifest": some,
+    "simulated_scenarios": scenarios, "resumable_chunks": some, "star_and_manifest": some,
 }
 
 
