@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terrane.functions.numeric import correlation, moments, r
 from terrane.operators import clusters as C
+from terrane.operators import linear as L
 from terrane.operators import neighbours as N
 from terrane.operators import raster as S
 from terrane.operators import triangles as T
@@ -356,9 +358,18 @@ def network_complexity(s, d):
     per_gene = sim.join(spread, ["gene", "enh"]).groupBy("gene").agg(
         (1 - F.avg(((F.col("s") + 1) / 2 + 1) / 2)).alias("breadth"), F.avg((F.col("hot") == 1).cast("int")).alias("specific"), F.avg((F.col("hot") >= 2).cast("int")).alias("shared"), (F.avg("sw") / 2).alias("switching")
     )
-    other = mp.select("gene", "obs_id", F.col("enh").alias("enh2"), F.col("v").alias("v2"))
-    pairs = mp.join(other, ["gene", "obs_id"]).where("enh < enh2").groupBy("gene", "enh", "enh2").agg(*moments("v", "v2"))
-    div = pairs.groupBy("gene").agg(F.avg(1 - (F.when((F.col("vx") > 0) & (F.col("vy") > 0), F.col("cxy") / F.sqrt(F.col("vx") * F.col("vy"))).otherwise(0.0) + 1) / 2).alias("pair_div"))
+
+    def diversity(frame):
+        """From the drivers' products, which rows give all at once."""
+        g = frame["gram"].iloc[0]
+        mean = g[0, 1:-1] / g[0, 0]
+        cov = g[1:-1, 1:-1] / g[0, 0] - np.outer(mean, mean)
+        spread = np.sqrt(np.maximum(np.diag(cov), 0))
+        both = np.outer(spread, spread)
+        similar = np.where(both > 1e-12, cov / np.where(both > 1e-12, both, 1.0), 0.0)[np.triu_indices(len(mean), 1)]
+        return [(int(frame["gene"].iloc[0]), float(np.mean(1 - (similar + 1) / 2)))]
+
+    div = L.solve_groups(L.gram_rows(A.signals(s, d), ["gene"]), "gene", diversity, "gene int, pair_div double")
     full = per_gene.join(div, "gene")
     score = 0.35 * F.col("pair_div") + 0.25 * F.col("breadth") + 0.25 * F.col("specific") + 0.15 * F.greatest("switching", F.lit(0.0))
     return full.select("gene", r("pair_div").alias("pair_diversity"), r("breadth").alias("breadth"), r("specific").alias("specific_fraction"), r("shared").alias("shared_fraction"), r("switching").alias("switching"), r(score).alias("complexity"))
