@@ -7,31 +7,58 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct rounded values that a mixture is fitted to, at most.
-MAX_VALUES = 200_000
+from terrane.operators.lineage import cut
 
+#: Distinct values whose rounds of EM go over an array of counts; rounds over more values are Spark's aggregates.
+ARRAY_VALUES = 200_000
 
-def mixture(counts: DataFrame, rounds: int = 100) -> dict[str, float]:
+
+def _em_sums(rows: DataFrame, mean: float, array_values: int):
+    """A function of (mu, sd, w) that gives each component's share of rows, and its sums of distances and their squares."""
+    held = rows.limit(array_values + 1).toPandas()
+    if len(held) <= array_values:
+        x, n = held["x"].to_numpy(float) - mean, held["n"].to_numpy(float)
+
+        def local(mu, sd, w):
+            p = w[:, None] / sd[:, None] * np.exp(-0.5 * ((x - mu[:, None]) / sd[:, None]) ** 2)
+            share = n * p / (p.sum(0) + 1e-300)
+            return np.stack([share.sum(1), (share * x).sum(1), (share * x * x).sum(1)], axis=1)
+
+        return local
+    d = F.col("x") - mean
+
+    def passed(mu, sd, w):
+        p = [F.lit(float(w[k] / sd[k])) * F.exp(-0.5 * F.pow((d - float(mu[k])) / float(sd[k]), F.lit(2.0))) for k in (0, 1)]
+        share = [F.col("n") * x / (p[0] + p[1] + 1e-300) for x in p]
+        return np.array(rows.agg(*[F.sum(part * power) for part in share for power in (F.lit(1.0), d, d * d)]).first()).reshape(2, 3)
+
+    return passed
+
+
+def mixture(counts: DataFrame, rounds: int = 100, tolerance: float = 1e-9, array_values: int = ARRAY_VALUES) -> dict[str, float]:
     """Two Gaussians by EM from (value, n): weights, means and deviations, low and high.
 
-    The values' counts are the sufficient data; they are bounded by rounding, which is checked.
+    A round needs six sums over the values' counts; it is the last once no parameter moves by more than ``tolerance``
+    of the spread. Values are taken from their mean, so that squares cost no digits.
     """
-    rows = counts.limit(MAX_VALUES + 1).collect()
-    if len(rows) > MAX_VALUES:
-        raise ValueError("too many distinct values: round them more")
-    x, n = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], float)
-    order = np.argsort(x)
-    x, n = x[order], n[order]
-    at = lambda q: float(x[np.searchsorted(np.cumsum(n), q * n.sum())])
-    mean = (x * n).sum() / n.sum()
-    spread = float(np.sqrt((n * (x - mean) ** 2).sum() / n.sum()) + 1e-4)
-    mu, sd, w = np.array([at(0.25), at(0.75)]), np.array([spread, spread]), np.array([0.5, 0.5])
+    rows = cut(counts.toDF("x", "n").select(F.col("x").cast("double").alias("x"), F.col("n").cast("double").alias("n")).where("x is not null and not isnan(x)"))
+    total, mean, q25, q75 = rows.select(F.sum("n"), F.sum(F.col("x") * F.col("n")) / F.sum("n"), *[F.percentile("x", F.lit(q), F.col("n").cast("int")) for q in (0.25, 0.75)]).first()
+    if not total:
+        raise ValueError("there are no values to fit")
+    d = F.col("x") - mean
+    spread = float(np.sqrt(rows.agg(F.sum(F.col("n") * d * d)).first()[0] / total)) + 1e-4
+    mu, sd, w = np.array([q25, q75]) - mean, np.array([spread, spread]), np.array([0.5, 0.5])
+    sums = _em_sums(rows, mean, array_values)
     for _ in range(rounds):
-        p = w[:, None] / sd[:, None] * np.exp(-0.5 * ((x - mu[:, None]) / sd[:, None]) ** 2)
-        share = n * p / (p.sum(0) + 1e-300)
-        total = share.sum(1) + 1e-12
-        w, mu = total / n.sum(), (share * x).sum(1) / total
-        sd = np.sqrt((share * (x - mu[:, None]) ** 2).sum(1) / total + 1e-8)
+        found = sums(mu, sd, w)
+        weight = found[:, 0] + 1e-12
+        new_mu = found[:, 1] / weight
+        new_sd = np.sqrt(np.maximum(found[:, 2] / weight - new_mu**2, 0) + 1e-8)
+        moved = max(np.abs(new_mu - mu).max(), np.abs(new_sd - sd).max()) / spread
+        w, mu, sd = weight / total, new_mu, new_sd
+        if moved < tolerance:
+            break
+    mu = mu + mean
     low, high = np.argsort(mu)
     return {f"{k}_{name}": float(v[i]) for name, i in (("low", low), ("high", high)) for k, v in (("mu", mu), ("sd", sd), ("w", w))}
 

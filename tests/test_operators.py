@@ -153,6 +153,9 @@ def test_mixture_finds_two_groups(spark):
     v = np.round(np.concatenate([r.normal(0, 1, 4000), r.normal(6, 0.5, 1000)]), 2)
     m = masks.mixture(spark.createDataFrame([(float(x),) for x in v], "v double").groupBy("v").agg(F.count(F.lit(1)).alias("n")))
     assert abs(m["mu_low"]) < 0.1 and abs(m["mu_high"] - 6) < 0.1 and abs(m["w_high"] - 0.2) < 0.02
+    # The same from aggregates, a pass a round.
+    passes = masks.mixture(spark.createDataFrame([(float(x),) for x in v], "v double").groupBy("v").agg(F.count(F.lit(1)).alias("n")), array_values=10)
+    assert all(abs(passes[k] - m[k]) < 1e-9 for k in m)
 
 
 def test_elastic_net_meets_its_conditions():
