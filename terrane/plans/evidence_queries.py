@@ -257,7 +257,7 @@ def paired_gains(s, d):
 
 
 # ---- shifts in three dimensions: 99 random ones, from a seed ----
-_BOX_PERMS, _BOX_SEED = 99, 20260814
+_BOX_PERMS, _BOX_SEED = 99, 31
 _SHIFTS = random_shifts(_BOX_PERMS, 3, _BOX_SEED)
 _BOX = {
     "box": "select obs_id, least((x - min(x) over ()) / greatest(max(x) over () - min(x) over (), 1e-8), 0.9999999999999999::double) u, least((y - min(y) over ()) / greatest(max(y) over () - min(y) over (), 1e-8), 0.9999999999999999::double) v, least((z - min(z) over ()) / greatest(max(z) over () - min(z) over (), 1e-8), 0.9999999999999999::double) w from obs",
