@@ -43,9 +43,9 @@ def rule_table(spark, rules=RULES) -> DataFrame:
     return made.select("rule", "verdict", F.lower(F.expr("substring(rule, 1, locate('/', rule) - 1)")).alias("rule_host"), F.expr("substring(rule, locate('/', rule))").alias("rule_path")).where(at > 0)
 
 
-def suffixes(host: str) -> str:
-    """SQL for the host and its parent domains."""
-    return f"transform(sequence(1, size(split({host}, '[.]'))), i -> array_join(slice(split({host}, '[.]'), i, size(split({host}, '[.]'))), '.'))"
+def suffixes(host: str, labels: int) -> str:
+    """SQL for the host and its parent domains, as far as they have at most ``labels`` labels: longer ones fit no rule."""
+    return f"transform(sequence(1, least({labels}, size(split({host}, '[.]')))), k -> substring_index({host}, '.', -k))"
 
 
 def suffix_of(host: Column) -> Column:
@@ -104,8 +104,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     """
     parsed = cut(pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path")))
     hosts = parsed.select("host").distinct()
+    labels = rules.agg(F.max(F.size(F.split("rule_host", "[.]")))).first()[0] or 1
     fitting = (
-        hosts.select("host", F.explode(F.expr(suffixes("host"))).alias("rule_host")).join(rules, "rule_host")
+        hosts.select("host", F.explode(F.expr(suffixes("host", labels))).alias("rule_host")).join(rules, "rule_host")
         .groupBy("host").agg(F.collect_set(F.struct(F.length("rule").alias("n"), "rule", "verdict", "rule_path")).alias("rules"))
     )
     ruled = parsed.join(bounded(cut(fitting)), "host", "left").withColumn("best", F.expr(

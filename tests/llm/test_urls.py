@@ -19,6 +19,18 @@ def test_hosts_paths_and_rules(spark):
     assert {r.verdict for r in none} == {"allow"}
 
 
+def test_hosts_of_thousands_of_labels(spark):
+    """Parent domains are built as far as rules go, so a long host costs no more than its length."""
+    import time
+
+    long = "a." * 20_000
+    rows = [(1, f"http://{long}example.net/en/x"), (2, f"http://{long}net/"), (3, f"http://{long}org/de/"), (4, f"http://x..example.com/de/{long}")]
+    began = time.time()
+    got = {r.page_id: (r.rule, r.verdict) for r in U.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), U.rule_table(spark)).collect()}
+    assert got == {1: ("example.net/en/", "allow"), 2: ("net/", "block"), 3: (None, got[3][1]), 4: ("example.com/de/", "block")}
+    assert time.time() - began < 30
+
+
 def strength(children):
     """The prior's strength for (bad, n) around (parent's bad, parent's n), by moments."""
     spread = chance = most = 0.0
