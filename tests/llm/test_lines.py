@@ -259,3 +259,20 @@ def test_similarity_is_exact():
     pairs += [(a, varied(r, varied(r, varied(r, a)))) for a, _ in pairs] + [("", "x"), ("😀" * 7, "😀" * 6), ("abcd", "abcd"), ("abcd", "abcde")]
     got = shingles.alike(pa.array([a for a, _ in pairs]), pa.array([b for _, b in pairs]), 0.8)
     assert got.tolist() == [similarity(a, b) >= 0.8 for a, b in pairs]
+
+
+def test_leaves_only_its_result_on_disk(spark):
+    """Tables of the way, of keys, pairs and texts above all, go before the next step; a later one finds them gone."""
+    from pathlib import Path
+
+    from terrane.operators.lineage import checkpoint_folder
+
+    folder = Path(checkpoint_folder(spark).removeprefix("file:"))
+    files = lambda: {p: p.stat().st_size for p in folder.rglob("*") if p.is_file()}
+    texts = [(i, "\n".join(f"line {i % 7} of a text with words {j} and more of the words {j * 37 % 101} {i % 3}" for j in range(20))) for i in range(300)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    before = files()
+    gone = L.removed_lines(docs)
+    left = {p: n for p, n in files().items() if p not in before}
+    assert not [p for p in left if p.suffix == ".parquet"]
+    assert gone.count() > 0 and sum(left.values()) < 200_000
