@@ -30,6 +30,8 @@ class Thresholds:
 
 
 KEYS = ["gene", "enh"]
+#: Cells of a block of a torus; numbers that its shifts are laid over at once; groups whose means, or rows of a torus whose blocks, are broadcast.
+BLOCK_CELLS, AT_ONCE, MEANS = 1 << 17, 1 << 20, 100_000
 
 
 def domain_moments(pairs: DataFrame, by: list[str] = KEYS) -> DataFrame:
@@ -128,41 +130,66 @@ def permutation_p(observed: DataFrame, null: DataFrame, by: list[str], n: int) -
     return with_q_values(p, "permutation_pvalue", [by[0]], "permutation_qvalue").withColumn("permutation_qvalue", r("permutation_qvalue"))
 
 
-def toroidal_null(pixels: DataFrame, shifts: list[tuple[int, int]], rows: int, cols: int, by: list[str] = KEYS) -> DataFrame:
+def toroidal_null(pixels: DataFrame, shifts: list[tuple[int, int]], rows: int, cols: int, by: list[str] = KEYS, cells: int = BLOCK_CELLS) -> DataFrame:
     """Per group and shift (perm: its place in ``shifts``, as (dy, dx)): the largest domain correlation after x is rolled around the grid.
 
-    pixels: by, row, col, domain, x, y; cells without a pixel count in neither. A group's pixels are one array
-    (bounded by the grid), shuffled once; all shifts are laid over it at once in NumPy, as sums by domain are
-    products with the domains' indicators.
+    pixels: by, row, col, domain, x, y; cells without a pixel count in neither. The grid is cut into blocks of rows, of
+    about ``cells`` cells; a block gets its own pixels and those that a shift rolls into it, so a task holds one block
+    of one group. Shifts are laid over it a few at a time in NumPy, as sums by domain are products with the domains'
+    indicators, and the blocks' sums are added up.
     """
-    cell = (F.col("row") * cols + F.col("col")).cast("int").alias("cell")
-    packed = pixels.groupBy(*by).agg(F.collect_list(F.struct(cell, "domain", "x", "y")).alias("grid")).select(*by, *[F.col(f"grid.{c}").alias(f"_{c}") for c in ("cell", "domain", "x", "y")])
-    at = np.arange(rows * cols)
-    source = np.stack([((at // cols - dy) % rows) * cols + (at % cols - dx) % cols for dy, dx in shifts]) if shifts else np.empty((0, rows * cols), int)
-
-    def largest(frames):
-        for frame in frames:
-            out = []
-            for row in frame.itertuples(index=False):
-                x, y, domain = np.full(rows * cols, np.nan), np.full(rows * cols, np.nan), np.full(rows * cols, -1)
-                cells = np.asarray(row[-4], int)
-                # Centred, so that sums of squares cost no digits.
-                domain[cells], x[cells], y[cells] = row[-3], np.asarray(row[-2], float) - np.mean(row[-2]), np.asarray(row[-1], float) - np.mean(row[-1])
-                moved = x[source]
-                there = np.isfinite(moved) & np.isfinite(y)
-                moved, still = np.where(there, moved, 0.0), np.where(there, y, 0.0)
-                kinds = np.unique(domain[domain >= 0])
-                of = (domain[:, None] == kinds[None, :]).astype(float)
-                n, sx, sy = there @ of, moved @ of, still @ of
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    cxx, cyy, cxy = (moved * moved) @ of - sx * sx / n, (still * still) @ of - sy * sy / n, (moved * still) @ of - sx * sy / n
-                    spread = np.sqrt(np.maximum(cxx, 0) * np.maximum(cyy, 0))
-                    local = np.where((spread > 1e-8) & (n >= 8), cxy / spread, 0.0)
-                out.append((*row[:-4], np.round(local, 6).max(axis=1)))
-            yield pd.DataFrame([(*keys, k, v) for *keys, values in out for k, v in enumerate(values.tolist())], columns=[*by, "perm", "null_max"])
-
-    kinds = ", ".join(f"`{c}` {packed.schema[c].dataType.simpleString()}" for c in by)
-    return packed.mapInPandas(largest, f"{kinds}, perm int, null_max double").withColumn("null_max", r("null_max"))
+    height = max(1, min(rows, cells // cols))
+    last = (rows - 1) // height
+    dys = sorted({dy % rows for dy, _ in shifts})
+    at = np.arange(cols)
+
+    # The blocks that a row's pixels belong to or are rolled into, made once a row of the grid.
+    to = F.transform(F.array(*[F.lit(d) for d in (0, *dys)]), lambda d: F.floor(((F.col("row") + d) % rows) / height).cast("int"))
+    visited = pixels.sparkSession.range(rows).select(F.col("id").cast("int").alias("row"), F.array_distinct(to).alias("_blocks"))
+    # Centred by the group, so that sums of squares cost no digits and blocks' sums can be added.
+    means = pixels.groupBy(*by).agg(F.avg("x").alias("_mx"), F.avg("y").alias("_my"))
+    spread = pixels.withColumn("_block", F.lit(0)) if last == 0 else pixels.join(F.broadcast(visited) if rows <= MEANS else visited, "row").withColumn("_block", F.explode("_blocks"))
+    names = [*by, "_block", "row", "col", "domain", "x", "y"]
+    centred = spread.join(F.broadcast(means) if len(means.head(MEANS + 1)) <= MEANS else means, by).select(*names[:-2], (F.col("x") - F.col("_mx")).alias("x"), (F.col("y") - F.col("_my")).alias("y"))
+    out = [*by, "perm", "domain", "n", "sx", "sy", "sxx", "syy", "sxy"]
+
+    def sums(frame):
+        row, col, domain, x, y = (frame[c].to_numpy() for c in ("row", "col", "domain", "x", "y"))
+        home = row // height == frame["_block"].iloc[0]
+        if not home.any():
+            return pd.DataFrame({c: [] for c in out})
+        present, place = np.unique(row, return_inverse=True)
+        # A row of nothing comes last, for rows that no pixel has.
+        xs = np.full((len(present) + 1, cols), np.nan)
+        xs[place, col] = x
+        own, place = np.unique(row[home], return_inverse=True)
+        kind, still = np.full((len(own), cols), -1), np.full((len(own), cols), np.nan)
+        kind[place, col[home]], still[place, col[home]] = domain[home], y[home]
+        kinds, kind, still = np.unique(domain[home]), kind.ravel(), still.ravel()
+        of = (kind[:, None] == kinds[None, :]).astype(float)
+        found = []
+        step = max(1, AT_ONCE // len(still))
+        for lo in range(0, len(shifts), step):
+            rolled = []
+            for dy, dx in shifts[lo : lo + step]:
+                want = (own - dy) % rows
+                i = np.searchsorted(present, want)
+                i[present[np.minimum(i, len(present) - 1)] != want] = len(present)
+                rolled.append(xs[i][:, (at - dx) % cols].ravel())
+            moved = np.stack(rolled)
+            there = np.isfinite(moved) & np.isfinite(still)
+            a, b = np.where(there, moved, 0.0), np.where(there, still, 0.0)
+            found.append(np.stack([m @ of for m in (there.astype(float), a, b, a * a, b * b, a * b)], axis=-1))
+        values = np.concatenate(found).reshape(-1, 6) if found else np.zeros((0, 6))
+        perm = np.arange(len(values)) // len(kinds)
+        return pd.DataFrame({**{c: frame[c].iloc[0] for c in by}, "perm": perm, "domain": np.tile(kinds, len(shifts)), "n": values[:, 0].astype(np.int64), **{c: values[:, k] for k, c in enumerate(out[-5:], 1)}}, columns=out)
+
+    kinds = ", ".join(f"`{c}` {pixels.schema[c].dataType.simpleString()}" for c in by)
+    parts = centred.groupBy(*by, "_block").applyInPandas(sums, f"{kinds}, perm int, domain int, n long, sx double, sy double, sxx double, syy double, sxy double")
+    whole = parts.groupBy(*by, "perm", "domain").agg(*[F.sum(c).alias(c) for c in out[-6:]])
+    minus = lambda a, b: F.expr(f"case when n > 0 then s{a}{b} - s{a} * s{b} / n else 0 end").alias(f"c{a}{b}")
+    central = whole.select(*by, "perm", "n", minus("x", "x"), minus("y", "y"), minus("x", "y"))
+    return central.groupBy(*by, "perm").agg(F.max(r(from_moments("zero_std"))).alias("null_max"))
 
 
 def elbow(scores: DataFrame, rank: str, score: str) -> DataFrame:

@@ -321,3 +321,24 @@ def test_simulated_noise_is_smooth_and_scaled(spark):
     v = np.array(list(rows.values()))
     near = np.array([(rows[r, c], rows[r, c + 1]) for r, c in rows if (r, c + 1) in rows])
     assert 0.02 < v.std() < 0.06 and np.corrcoef(near.T)[0, 1] > 0.6
+
+
+def test_torus_in_blocks(spark):
+    """Nulls of a torus that is cut into blocks are those of the whole one; shifts wrap, cells and a value are missing."""
+    rows, cols, rng = 23, 5, np.random.default_rng(3)
+    shifts = [(3, 1), (10, 4), (22, 0), (0, 2)]
+    pixels = [(g, 0, k // cols, k % cols, int(k % cols > 2), float(rng.normal()), float(rng.normal())) for g in range(2) for k in range(rows * cols) if k % 11]
+    pixels[7] = (*pixels[7][:5], None, 1.0)
+    frame = spark.createDataFrame(pixels, "gene int, enh int, row int, col int, domain int, x double, y double")
+    wanted = {}
+    for g in range(2):
+        at = {(p[2], p[3]): p for p in pixels if p[0] == g}
+        for k, (dy, dx) in enumerate(shifts):
+            local = []
+            for d in (0, 1):
+                both = [(at[q][5], p[6]) for p in at.values() if p[4] == d and (q := ((p[2] - dy) % rows, (p[3] - dx) % cols)) in at and at[q][5] is not None]
+                local.append(round(float(np.corrcoef(np.array(both).T)[0, 1]), 6))
+            wanted[g, k] = max(local)
+    for cells in (15, 35, 1000):
+        found = {(q.gene, q.perm): q.null_max for q in E.toroidal_null(frame, shifts, rows, cols, cells=cells).collect()}
+        assert found == pytest.approx(wanted, abs=2e-6)
