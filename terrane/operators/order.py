@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -45,3 +47,34 @@ def numbered(frame: DataFrame, order: list[Column], out: str, parts: int | None
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = at.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     return at.join(F.broadcast(sizes), "_part").withColumn(out, F.col("_before") + F.col("_row") + 1).drop("_id", "_part", "_row", "_before")
+
+
+#: Slices of a group's values, and groups whose cuts are broadcast.
+SLICES, GROUPS = 16, 100_000
+
+
+def sliced(frame: DataFrame, value: str, by: list[str]) -> tuple[DataFrame, DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``frame`` with ``_slice``, the place of its value among cuts of its group; by, _slice, _before and _n: rows in smaller slices, rows in all; what adds ``_slice`` to other columns of the same rows.
+
+    Cuts are about where a share of the rows lies; they fix how evenly slices are filled, not what follows from them.
+    """
+    shares = F.array(*[F.lit(k / SLICES) for k in range(1, SLICES)])
+    cuts = cut(frame.groupBy(*by).agg(F.percentile_approx(value, shares, F.lit(200)).alias("_cuts")))
+    cuts = F.broadcast(cuts) if cuts.count() <= GROUPS else cuts
+    place = lambda rows: rows.join(cuts, by).withColumn("_slice", F.size(F.filter("_cuts", lambda q: q < F.col(value)))).drop("_cuts")
+    placed = place(frame)
+    groups = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("_c").over(groups.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = cut(placed.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_c")).select(*by, "_slice", before.alias("_before"), F.sum("_c").over(groups).alias("_n")))
+    return placed, sizes, place
+
+
+def centred_ranks(values: DataFrame, sizes: DataFrame, value: str, by: list[str], count: str, out: str) -> DataFrame:
+    """``values`` (one row a group, slice and value, with its ``count`` of rows) with the mean rank of these rows less the group's mean rank.
+
+    A task sorts a slice of a group, in place of the group; equal values are one row.
+    """
+    sizes = F.broadcast(sizes) if sizes.count() <= GROUPS else sizes
+    below = F.sum(count).over(Window.partitionBy(*by, "_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
+    ranked = values.withColumn("_below", F.coalesce(below, F.lit(0))).join(sizes, [*by, "_slice"])
+    return ranked.withColumn(out, F.col("_before") + F.col("_below") + (F.col(count) - F.col("_n")) / 2.0).drop("_below", "_before", "_n", "_slice")

@@ -8,10 +8,10 @@ import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terrane.functions.numeric import adjusted, average_rank, correlation, entropy, moments, pick, r, with_q_values
+from terrane.functions.numeric import adjusted, correlation, entropy, moments, pick, r, with_q_values
 from terrane.operators import evidence as E
 from terrane.operators.lineage import cut
-from terrane.operators.order import prefix_sums
+from terrane.operators.order import centred_ranks, prefix_sums, sliced
 from terrane.operators.periodic import random_shifts, shifted_null, shifted_sources, unit_box
 from terrane.plans.registry import query
 from terrane.sources import adapters as A
@@ -193,12 +193,24 @@ _SPEAR = {
 }
 
 
+#: Rows of a value of a target from which its rank is broadcast.
+_HOT = 1000
+
+
 def _spearman(s, d):
-    # A target's ranks are the same for all its drivers: they are made once, before drivers become rows.
-    own = A.targets(s, d).select("obs_id", "gene", average_rank("y", ["gene"]).alias("ry"))
-    pairs = A.signals(s, d).select("obs_id", "gene", "x").join(own, ["obs_id", "gene"]).select("gene", "ry", F.posexplode("x").alias("enh", "x"))
-    ranks = pairs.select("gene", "enh", average_rank("x", ["gene", "enh"]).alias("rx"), "ry")
-    return ranks.groupBy("gene", "enh").agg(*moments("rx", "ry")).select("gene", "enh", "n", r(F.coalesce(correlation("null"), F.lit(0.0))).alias("rho"))
+    # A target's ranks are the same for all its drivers: they are made once, before drivers become rows. Values of many rows are few.
+    own, own_sizes, _ = sliced(A.targets(s, d).select("gene", "y"), "y", ["gene"])
+    own = cut(centred_ranks(own.groupBy("gene", "_slice", "y").agg(F.count(F.lit(1)).alias("c")), own_sizes, "y", ["gene"], "c", "ry"))
+    hot, rare = (own.where(f"c {op} {_HOT}").select("gene", "y", "ry") for op in (">", "<="))
+    rows = A.signals(s, d).select("gene", "y", "x").join(F.broadcast(hot), ["gene", "y"], "left")
+    rows = rows.where("ry is not null").unionByName(rows.where("ry is null").drop("ry").join(rare, ["gene", "y"]).select("gene", "y", "x", "ry"))
+    _, sizes, place = sliced(A.signals(s, d).select("gene", F.posexplode("x").alias("enh", "x")), "x", ["gene", "enh"])
+    # The same slices over rows with their target's rank; equal values share a rank, so a value's sums are all that a correlation needs.
+    with_rank = place(rows.select("gene", "ry", F.posexplode("x").alias("enh", "x")))
+    values = with_rank.groupBy("gene", "enh", "_slice", "x").agg(F.count(F.lit(1)).alias("c"), F.sum("ry").alias("sy"), F.sum(F.col("ry") * F.col("ry")).alias("syy"))
+    ranks = centred_ranks(values, sizes, "x", ["gene", "enh"], "c", "rx")
+    sums = ranks.groupBy("gene", "enh").agg(F.sum("c").alias("n"), (F.sum(F.col("c") * F.col("rx") * F.col("rx")) / F.sum("c")).alias("vx"), (F.sum("syy") / F.sum("c")).alias("vy"), (F.sum(F.col("rx") * F.col("sy")) / F.sum("c")).alias("cxy"))
+    return sums.select("gene", "enh", "n", r(F.coalesce(correlation("null"), F.lit(0.0))).alias("rho"))
 
 
 @query("COR-04 WIN-02", "paired", "select * from rho", _SPEAR)

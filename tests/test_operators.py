@@ -13,6 +13,7 @@ from terrane.operators import neighbours as N
 from terrane.operators import relational as R
 from terrane.operators import simulate as M
 from terrane.operators.components import connected_components
+from terrane.operators.order import centred_ranks, sliced
 from terrane.sources import tables as T
 
 
@@ -342,3 +343,19 @@ def test_torus_in_blocks(spark):
     for cells in (15, 35, 1000):
         found = {(q.gene, q.perm): q.null_max for q in E.toroidal_null(frame, shifts, rows, cols, cells=cells).collect()}
         assert found == pytest.approx(wanted, abs=2e-6)
+
+
+def test_ranks_by_slices(spark):
+    """Ranks of groups that several slices hold: ties, one value alone, more rows than slices."""
+    rng = random.Random(5)
+    rows = [(0, float(rng.choice([0, 0, 0, 1.5, 2, rng.random() * 9]))) for _ in range(300)] + [(1, 4.0)] * 7 + [(2, float(k)) for k in range(50)]
+    frame = spark.createDataFrame(rows, "g int, v double")
+    placed, sizes, _ = sliced(frame, "v", ["g"])
+    assert placed.where("g = 2").select("_slice").distinct().count() > 8
+    values = placed.groupBy("g", "_slice", "v").agg(F.count(F.lit(1)).alias("c"))
+    found = {(q.g, q.v): q.k for q in centred_ranks(values, sizes, "v", ["g"], "c", "k").collect()}
+    for g in range(3):
+        own = sorted(v for h, v in rows if h == g)
+        for v in set(own):
+            first = own.index(v) + 1
+            assert found[g, v] == first + (own.count(v) - 1) / 2 - (len(own) + 1) / 2
