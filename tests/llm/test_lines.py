@@ -276,3 +276,17 @@ def test_leaves_only_its_result_on_disk(spark):
     left = {p: n for p, n in files().items() if p not in before}
     assert not [p for p in left if p.suffix == ".parquet"]
     assert gone.count() > 0 and sum(left.values()) < 200_000
+
+
+def test_native_and_links_of_a_group_of_near_copies_grow_with_its_lines(spark):
+    r = random.Random(17)
+    base = prose(r, 60)
+    lines = [f"{base} {prose(r, 1)}{i}" for i in range(120)]
+    docs = spark.createDataFrame(list(enumerate(lines)), "id long, text string")
+    signed = L._signed(docs)
+    plan = signed._jdf.queryExecution().toString()
+    assert "InArrow" not in plan and "Python" not in plan
+    stored = store(signed)
+    links = {(q.u, q.v) for q in L.near_equal(docs, stored).collect()}
+    joined = {x for p in links for x in p}
+    assert joined == {q.h for q in stored.collect()} and len(links) <= 12 * len(lines)
