@@ -107,12 +107,104 @@ def gather(splits: Splits, leaf: np.ndarray, count: np.ndarray, lo: np.ndarray,
             cell, held = cell + 1, 0
         cell_of_leaf[i] = cell
         held += counts[i]
-    width = 1 << max(0, int(np.ceil(np.log2(cell + 1))))
-    d = lo.shape[1]
-    low, high = np.full((2 * width - 1, d), np.inf), np.full((2 * width - 1, d), -np.inf)
-    at = cell_of_leaf[leaf] + width - 1
-    np.minimum.at(low, at, lo)
-    np.maximum.at(high, at, hi)
+    cells = cell_of_leaf[leaf]
+    low, high = np.full((cell + 1, lo.shape[1]), np.inf), np.full((cell + 1, lo.shape[1]), -np.inf)
+    np.minimum.at(low, cells, lo)
+    np.maximum.at(high, cells, hi)
+    return Cells(splits, cell_of_leaf, *_boxes(low, high))
+
+
+def _boxes(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A complete binary tree of boxes over the cells' bounds."""
+    width = 1 << max(0, int(np.ceil(np.log2(len(lo)))))
+    low, high = np.full((2 * width - 1, lo.shape[1]), np.inf), np.full((2 * width - 1, lo.shape[1]), -np.inf)
+    low[width - 1 : width - 1 + len(lo)], high[width - 1 : width - 1 + len(lo)] = lo, hi
     for node in range(width - 2, -1, -1):
         low[node], high[node] = np.minimum(low[2 * node + 1], low[2 * node + 2]), np.maximum(high[2 * node + 1], high[2 * node + 2])
-    return Cells(splits, cell_of_leaf, low, high)
+    return low, high
+
+
+def _halved(at: np.ndarray, most: int) -> np.ndarray:
+    """Places of the points in cells (a row each) of equally many, up to ``most``, halved along their widest axes; -1 fills up."""
+    depth = max(0, int(np.ceil(np.log2(len(at) / most))))
+    size = -(-len(at) // (1 << depth))
+    member = np.full(size << depth, -1)
+    member[: len(at)] = np.arange(len(at))
+    for level in range(depth):
+        member = member.reshape(1 << level, -1)
+        p = at[member]
+        x = np.take_along_axis(p, np.ptp(p, axis=1).argmax(axis=1)[:, None, None], axis=2)[..., 0]
+        member = np.take_along_axis(member, np.argpartition(x, x.shape[1] // 2, axis=1), axis=1)
+    return member.reshape(1 << depth, size)
+
+
+def _d2(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return np.round(sum((p[..., a] - q[..., a]) ** 2 for a in range(p.shape[-1])), 9)
+
+
+def closest(at: np.ndarray, rank: np.ndarray, k: int, per_cell: int = 64, work: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """(point, neighbour): the k nearest other points of each; squared distances are rounded to 9 digits, ties go to the smaller rank.
+
+    The cell of a point bounds the ball whose cells are then searched. ``work`` distances are held at once.
+    """
+    member = _halved(at, per_cell)
+    size = member.shape[1]
+    most = np.full(len(at), np.inf)
+    if size > k:
+        for lo in range(0, len(member), step := max(1, work // size**2)):
+            m = member[lo : lo + step]
+            d2 = _d2(at[m][:, :, None], at[m][:, None])
+            d2[np.broadcast_to((m < 0)[:, None], d2.shape)] = np.inf
+            d2[:, np.arange(size), np.arange(size)] = np.inf
+            kth = np.partition(d2, k - 1, axis=2)[..., k - 1]
+            most[m[m >= 0]] = kth[m >= 0]
+    cells = Cells(Splits(np.zeros(1, np.int64), np.zeros(1), 0), np.zeros(1, np.int64), *_boxes(at[member].min(axis=1), at[member].max(axis=1)))
+    found, todo = [], [np.arange(lo, min(lo + 4096, len(at))) for lo in range(0, len(at), 4096)]
+    while todo:
+        q = todo.pop()
+        who, cell = cells.near(at[q], (np.sqrt(most[q]) + 1e-6) ** 2)
+        if len(who) * size > work and len(q) > 1:
+            todo += [q[: len(q) // 2], q[len(q) // 2 :]]
+            continue
+        there = member[cell]
+        d2 = _d2(at[q[who]][:, None], at[there])
+        row, col = np.nonzero((d2 <= most[q[who]][:, None]) & (there >= 0) & (there != q[who][:, None]))
+        u, v = q[who[row]], there[row, col]
+        order = np.lexsort((rank[v], d2[row, col], u))
+        u, v = u[order], v[order]
+        near = np.arange(len(u)) - np.searchsorted(u, u) < k
+        found.append((u[near], v[near]))
+    u, v = zip(*found, strict=True)
+    return np.concatenate(u), np.concatenate(v)
+
+
+def components(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The least node that each of n nodes reaches."""
+    low = np.arange(n)
+    while len(u):
+        a, b = low[u], low[v]
+        np.minimum.at(low, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(low, low[low]):
+            low = low[low]
+        apart = low[u] != low[v]
+        u, v = u[apart], v[apart]
+    return low
+
+
+def largest_share(at: np.ndarray, ids: np.ndarray, k: int) -> float:
+    """The share of points in the largest component of the graph of each point's k nearest others; points without a position stand alone."""
+    n = len(at)
+    placed = np.flatnonzero(~np.isnan(at).any(axis=1))
+    if not len(placed):
+        return 1.0 / n
+    order = np.argsort(ids[placed], kind="stable")
+    placed = placed[order]
+    # Of the points of one position, those of the k + 1 smallest ids are all that others find; the rest go with the first.
+    _, spot = np.unique(at[placed], axis=0, return_inverse=True)
+    by = np.argsort(spot.ravel(), kind="stable")
+    first = np.searchsorted(spot.ravel()[by], spot.ravel()[by])
+    ask = by[np.arange(len(by)) - first <= k]
+    u, v = closest(at[placed[ask]], ask, k)
+    more = np.arange(len(by)) - first > k
+    low = components(n, placed[np.concatenate((ask[u], by[more]))], placed[np.concatenate((ask[v], by[first[more]]))])
+    return float(np.bincount(low).max() / n)

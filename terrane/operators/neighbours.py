@@ -2,7 +2,7 @@
 
 No join here is a cross join of tables: candidates meet by an equi join on cells. Searches look at a
 point's own cell, and then at all cells that the ball of the distance found there meets. Searches within
-many groups (``nearest`` with ``by``) use a grid a group instead, and widen the ring until it is sure.
+many groups (``nearest``) set the groups apart along one more axis.
 """
 
 from __future__ import annotations
@@ -11,17 +11,15 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from terrane.functions.numeric import pick
 from terrane.operators.cells import PER_CELL as PER_CELL_TREE
 from terrane.operators.cells import SAMPLE, Cells, fit, gather
 from terrane.operators.lineage import cut
 
-#: Points in a cell, on average.
-PER_CELL = 8
-
 
 def range_join(left: DataFrame, right: DataFrame, on: list[str], at: str, to: str, reach: int) -> DataFrame:
     """Pairs with equal ``on`` and abs(left.at - right.to) <= reach: bins of the reach's width, three of them a row."""
@@ -37,50 +35,45 @@ def range_anti_join(left: DataFrame, right: DataFrame, on: list[str], at: str, t
     return left.withColumn("_bin", F.floor(F.col(at) / reach)).join(spread, same & (F.col("_bin") == F.col("_b")) & (F.abs(F.col(at) - F.col("_to")) <= reach), "left_anti").drop("_bin")
 
 
-def _d2(a: str, b: str, axes: list[str]) -> Column:
-    return sum(((F.col(f"{a}.{c}") - F.col(f"{b}.{c}")) ** 2 for c in axes), F.lit(0.0))
+def _apart(points: DataFrame, axes: list[str], by: list[str], node: str) -> tuple[DataFrame, float]:
+    """by, id, axes and _group (stored), and how far groups are apart on that axis: further than any two points of one.
+
+    Points without coordinates are left out.
+    """
+    base = points.select(*by, F.col(node).alias("id"), *[F.col(c).cast("double").alias(c) for c in axes])
+    base = cut(base.where(" and ".join(f"{c} is not null and not isnan({c})" for c in axes)))
+    span = base.agg(*[(F.max(c) - F.min(c)).alias(c) for c in axes]).first()
+    gap = 1.0 + 2 * sum((span[c] or 0.0) ** 2 for c in axes) ** 0.5
+    if not by:
+        return cut(base.withColumn("_group", F.lit(0.0))), gap
+    named = [F.col(c).alias(f"_{c}") for c in by]
+    groups = cut(base.select(*named).distinct().withColumn("_group", F.row_number().over(Window.orderBy(*[f"_{c}" for c in by])) * gap))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+    return cut(base.join(groups, same).select(*by, "id", *axes, "_group")), gap
 
 
 def nearest(points: DataFrame, k: int, axes: list[str], by: list[str] | None = None, node: str = "obs_id", answers: str = "true") -> DataFrame:
-    """by, src, dst, rank: the k nearest other points of each point of its group; ties by id. Distances are rounded to 9 digits.
+    """by, src, dst, rank, d2: the k nearest other points of each point of its group; ties by id. Distances are rounded to 9 digits.
 
-    Cells have about PER_CELL points. A round looks at the cells within a ring; points whose k-th
-    neighbour isn't surely within the ring go on to a ring of twice the width. A group's last round looks
-    at all its cells, so the result is exact. Points without coordinates are left out. Only points for
+    Groups are set apart along one more axis, so that one ``search`` answers all of them, however large or small.
+    Points without coordinates are left out. Points of one position ask once, for one more than k. Only points for
     which ``answers`` (SQL over id) holds are neighbours of others.
     """
     by = by or []
-    base = points.select(*by, F.col(node).alias("id"), *[F.col(c).cast("double").alias(c) for c in axes])
-    base = cut(base.where(" and ".join(f"{c} is not null and not isnan({c})" for c in axes)))
-    size = base.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *[F.min(c).alias(f"lo_{c}") for c in axes], *[F.max(c).alias(f"hi_{c}") for c in axes])
-    span = F.greatest(*[F.col(f"hi_{c}") - F.col(f"lo_{c}") for c in axes], F.lit(1e-12)) if len(axes) > 1 else F.greatest(F.col(f"hi_{axes[0]}") - F.col(f"lo_{axes[0]}"), F.lit(1e-12))
-    per_axis = F.greatest(F.lit(1), F.floor(F.pow(F.col("_n") / PER_CELL, F.lit(1.0 / len(axes)))))
-    size = size.withColumn("_w", span / per_axis).withColumn("_m", per_axis)
-    joined = base.join(F.broadcast(size), by) if by else base.crossJoin(F.broadcast(size))
-    celled = cut(joined.select(*by, "id", *axes, "_w", "_m", "_n", *[F.floor((F.col(c) - F.col(f"lo_{c}")) / F.col("_w")).alias(f"c_{c}") for c in axes]))
-    known = cut(celled.where(F.expr(answers)))
-    todo, ring, out = celled, 1, None
-    while True:
-        ring_of = F.least(F.lit(ring), F.col("_m"))
-        asked = todo.alias("a").select("*", ring_of.alias("_ring"))
-        for c in axes:
-            asked = asked.withColumn(f"t_{c}", F.explode(F.sequence(F.col(f"c_{c}") - F.col("_ring"), F.col(f"c_{c}") + F.col("_ring"))))
-        asked = asked.alias("a")
-        same = reduce(lambda a, b: a & b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in by] + [F.col(f"a.t_{c}") == F.col(f"b.c_{c}") for c in axes])
-        pairs = asked.join(known.alias("b"), same).where("a.id <> b.id").select(
-            *[F.col(f"a.{c}").alias(c) for c in by], F.col("a.id").alias("src"), F.col("b.id").alias("dst"), F.round(_d2("a", "b", axes), 9).alias("d2"), "a._ring", "a._w", "a._m", "a._n"
-        )
-        found = cut(pairs.withColumn("rank", pick([F.col("d2"), F.col("dst")], [*by, "src"])).where(F.col("rank") <= k))
-        # Everything within ring cells' width has been seen; a full ring has seen the group.
-        sure = found.groupBy(*by, "src").agg(F.count(F.lit(1)).alias("got"), F.max("d2").alias("far"), F.first("_ring").alias("_ring"), F.first("_w").alias("_w"), F.first("_m").alias("_m"), F.first("_n").alias("_n"))
-        done = cut(sure.where("(got = least(%d, _n - 1) and sqrt(far) + 1e-6 < _ring * _w) or _ring >= _m" % k).select(*by, "src"))
-        part = found.join(done, [*by, "src"], "left_semi").select(*by, "src", "dst", "rank", "d2")
-        out = part if out is None else out.unionByName(part)
-        key = reduce(lambda a, b: a & b, [todo[c] == done[c] for c in by] + [todo["id"] == done["src"]])
-        todo = cut(todo.join(done, key, "left_anti").where((F.col("_m") > ring) & (F.col("_n") > 1)))
-        if todo.limit(1).count() == 0:
-            return out
-        ring *= 2
+    base, gap = _apart(points, axes, by, node)
+    at = [*axes, "_group"]
+    found = search(base.select(*at).distinct(), base.where(F.expr(answers)), at, at, k + 1)
+    others = F.slice(F.filter("found", lambda x: (x["id"] != F.col("src")) & (x["d2"] < gap * gap)), 1, k)
+    listed = base.withColumnRenamed("id", "src").join(found, at).select(*by, "src", F.posexplode(others).alias("rank", "x"))
+    return listed.select(*by, "src", F.col("x.id").alias("dst"), (F.col("rank") + 1).alias("rank"), F.col("x.d2").alias("d2"))
+
+
+def blocks(points: DataFrame, axes: list[str], by: list[str], node: str = "obs_id", size: int = 1024) -> DataFrame:
+    """by, id, block: the points of each group in blocks of about ``size`` that lie together."""
+    base, _ = _apart(points, axes, by, node)
+    at = [*axes, "_group"]
+    cells = build_cells(base, at, 1, size)
+    return _with_cell(base, at, cells.home).select(*by, "id", F.col("cell").alias("block"))
 
 
 def _thin(points: DataFrame, axes: list[str], k: int) -> DataFrame:

@@ -328,11 +328,13 @@ _ACT = {
 @query("SPA-29 SPA-11 LIN-01", "paired obs", "select gene, enh, round(max(case when w = 1 then s end), 5) + 0.0 diff_structure, round(max(case when w = 2 then s end), 5) + 0.0 logfc_structure, round(max(case when w = 3 then s end), 5) + 0.0 residual_structure, round(.4 * max(case when w = 1 then s end) + .25 * max(case when w = 2 then s end) + .35 * max(case when w = 3 then s end), 5) + 0.0 total from st group by gene, enh", _ACT)
 def structure_scores(s, d):
     """Difference, fold change and residual of each driver against its gene in the active part: size, autocorrelation, hot spots."""
-    from terrane.operators.structure import structure_scores as scores
+    from terrane.operators.structure import packed_scores
 
     o = A.observations(s, d).select("obs_id", F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("z").alias("oz"))
-    active = A.paired(s, d).where("y > 0.08").select("gene", "enh", "obs_id", "x", "y").join(o, "obs_id")
-    return scores(active)
+    # As ``paired``: drivers that an array is too short for are 0, or the gene itself where they follow it.
+    drivers = F.expr(f"transform(sequence(0, {A.VARS - A.FIRST_DRIVER - 1}), i -> struct(i as enh, coalesce(get(x, i), if(i % 4 = 1 and domain = (gene + i) % {A.DOMAINS}, y, 0D)) as x, y as y))")
+    active = A.signals(s, d).where("y > 0.08").select("gene", "obs_id", drivers.alias("drivers")).join(o, "obs_id")
+    return packed_scores(active)
 
 
 _NET = {

@@ -375,3 +375,71 @@ def test_structure_scores_leave_no_tables(spark):
     before = set(folder.glob("*/*"))
     assert structure_scores(active).count() == 2
     assert not [p for p in set(folder.glob("scratch-*/*")) - before]
+
+
+def test_closest_points_and_largest_share():
+    """Against all pairs: ties, equal points, cells of few points; and the share of the largest component."""
+    from terrane.operators.cells import closest, largest_share
+
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 7, 65, 300):
+        for at in (rng.normal(size=(n, 3)), rng.integers(0, 4, (n, 3)).astype(float), rng.integers(0, 2, (n, 3)).astype(float)):
+            ids = rng.permutation(n)
+            d = np.round(sum((at[:, None, a] - at[None, :, a]) ** 2 for a in range(3)), 9)
+            pairs = {(i, j) for i in range(n) for j in [j for j in np.lexsort((ids, d[i])).tolist() if j != i][:6]}
+            u, v = closest(at, ids, 6, 16, 1 << 12)
+            assert set(zip(u.tolist(), v.tolist(), strict=True)) == pairs
+            low = list(range(n))
+            for _ in range(n):
+                for i, j in pairs:
+                    low[i] = low[j] = min(low[i], low[j])
+            assert largest_share(at, ids, 6) == pytest.approx(max(np.bincount(low)) / n)
+    assert largest_share(np.array([[np.nan] * 3, [0.0] * 3]), np.array([1, 2]), 6) == 0.5
+
+
+def test_structure_scores_send_values_to_blocks(spark):
+    """As by hand, with drivers that some observations lack; hot spots in tasks and by joins; no row a neighbour, driver and view."""
+    from terrane.operators.structure import packed_scores, structure_scores
+
+    rng = random.Random(4)
+    places = {k: tuple(rng.random() for _ in range(3)) for k in range(300)}
+    rows = [(g, e, k, max(0.0, rng.gauss(0.2, 1)), 0.1 + places[k][0], *places[k]) for g in range(2) for e in range(12) for k in range(300) if (e + k) % 7 or e > 8]
+    active = spark.createDataFrame(rows, "gene int, enh int, obs_id long, x double, y double, ox double, oy double, oz double")
+
+    def stages():
+        gateway = spark.sparkContext._gateway
+        store = spark.sparkContext._jsc.sc().statusStore()
+        listed = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {(s := listed.apply(i)).stageId(): s.shuffleWriteRecords() for i in range(listed.size())}
+
+    before = stages()
+    found = {(q.gene, q.enh): (q.diff_structure, q.logfc_structure, q.residual_structure, q.total) for q in structure_scores(active).collect()}
+    # A row a neighbour, driver and view would be 2 * 300 * 6 * 12 * 3 = 129,600 rows.
+    assert max(n for k, n in stages().items() if k not in before) < 3 * len(rows)
+    packed = active.groupBy("gene", "obs_id", "ox", "oy", "oz").agg(F.collect_list(F.struct("enh", "x", "y")).alias("drivers"))
+    assert {(q.gene, q.enh): (q.diff_structure, q.logfc_structure, q.residual_structure, q.total) for q in packed_scores(packed, whole=20).collect()} == found
+
+    at = np.array([places[k] for k in range(300)])
+    d = np.round(sum((at[:, None, a] - at[None, :, a]) ** 2 for a in range(3)), 9)
+    near = [[j for j in np.lexsort((np.arange(300), d[i])).tolist() if j != i][:6] for i in range(300)]
+    for e in (0, 3, 10):
+        own = {p[2]: (p[3], p[4]) for p in rows if p[0] == 0 and p[1] == e}
+        x, y = np.array(list(own.values())).T
+        ks = np.array(list(own))
+        a, c = (np.minimum(v, q) / q for v, q in ((v, max(np.quantile(v[v > 0], 0.99), 1e-8)) for v in (x, y)))
+        slope = np.cov(c, a, bias=True)[0, 1] / c.var()
+        scores = []
+        for w, raw in enumerate((a - c, np.log2((a + 1e-3) / (c + 1e-3)), a - (a.mean() - slope * c.mean() + slope * c))):
+            v = np.round(np.abs(raw), 9)
+            z = dict(zip(ks.tolist(), v - v.mean(), strict=True))
+            lag = {k: np.mean([z[j] for j in near[k] if j in z]) for k in z if any(j in z for j in near[k])}
+            moran = sum(z[k] * lag[k] for k in lag) / sum(z[k] ** 2 for k in lag)
+            hot = ks[v >= round(float(np.quantile(v, 0.9)), 9)]
+            low = {k: k for k in hot.tolist()}
+            pairs = [(i, j) for i in low for j in sorted((k for k in low if k != i), key=lambda k: (d[i, k], k))[:6]]
+            for _ in low:
+                for i, j in pairs:
+                    low[i] = low[j] = min(low[i], low[j])
+            share = max(list(low.values()).count(k) for k in low) / len(low)
+            scores.append((raw.std() if w == 2 else np.abs(raw).mean()) * (1 + max(moran, 0)) * share)
+        assert found[0, e] == pytest.approx((*scores, 0.4 * scores[0] + 0.25 * scores[1] + 0.35 * scores[2]), abs=2e-5)
