@@ -290,3 +290,48 @@ def test_native_and_links_of_a_group_of_near_copies_grow_with_its_lines(spark):
     links = {(q.u, q.v) for q in L.near_equal(docs, stored).collect()}
     joined = {x for p in links for x in p}
     assert joined == {q.h for q in stored.collect()} and len(links) <= 12 * len(lines)
+
+
+def test_bitmaps_let_all_near_equal_pairs_pass_and_hold_back_most_others(spark):
+    """Variants of one line: bitmaps part those below the limit, so few are compared; lines of all kinds of sets of words."""
+    from pyspark.sql import functions as F
+
+    from terrane.operators.lineage import Scratch
+
+    r = random.Random(18)
+    pairs = [p for low, high, n in ((1, 6, 60), (7, 30, 60), (30, 200, 60), (600, 700, 5)) for p in similar_pairs(r, low, high, n)]
+    pairs += [("ab " * 400, "ab " * 350), ("😀" * 7, "😀" * 6), ("abcd", "abcde"), ("x" * 3000, "x" * 3000 + "y")]
+    base = prose(r, 60).split(" ")
+    variants = []
+    for _ in range(120):
+        w = list(base)
+        for k in r.sample(range(60), 8):
+            w[k] = prose(r, 1)
+        variants.append(" ".join(w))
+    pairs += [(a, b) for i, a in enumerate(variants) for b in variants[:i]]
+    near = {p for p in pairs if similarity(*p) >= 0.8}
+    texts = spark.createDataFrame([(x,) for x in sorted({x for p in pairs for x in p})], "line string").select(F.xxhash64("line").alias("h"), "line")
+    named = {q.line: q.h for q in texts.collect()}
+    marks = {q.h: q for q in L._marked(texts).collect()}
+    assert all(marks[named[x]].n == len(shingles(x)) for x in named if "😀" not in x)
+    frame = spark.createDataFrame([(named[a], named[b]) for a, b in pairs], "u long, v long")
+    held = Scratch(spark)
+    found = {(q.u, q.v) for q in L._likely(L._marked(texts), held.keep(frame), held).collect()}
+    assert {(named[a], named[b]) for a, b in near} <= found and len(found) < len(near) + 0.1 * len(pairs)
+
+
+def test_pairs_below_the_limit_are_no_rows_of_the_join(spark, monkeypatch):
+    """Variants of one line that are near-equal to none of the others: their pairs went to the texts before."""
+    r = random.Random(19)
+    base = prose(r, 60).split(" ")
+    lines = []
+    for _ in range(150):
+        w = list(base)
+        for k in r.sample(range(60), 8):
+            w[k] = prose(r, 1)
+        lines.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(lines)), "id long, text string")
+    compared, whole = [], L._verified
+    monkeypatch.setattr(L, "_verified", lambda texts, pairs, held: compared.append(pairs.count()) or whole(texts, pairs, held))
+    L.near_equal(docs, store(L._signed(docs))).collect()
+    assert compared and sum(compared) < 0.1 * 150 * 149 / 2
